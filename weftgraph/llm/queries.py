@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from weftgraph.llm.decontam import OP8_SQL, op8_decontam
+from weftgraph.llm.langid import op5_langid
 from weftgraph.llm.media import op2_media
+from weftgraph.llm.simhash import op4_simhash
 
 QUERIES = {
     "op2_media": op2_media,
+    "op4_simhash": op4_simhash,
+    "op5_langid": op5_langid,
     "op8_decontam": op8_decontam,
 }
 ORACLE = {"op8_decontam": OP8_SQL}
