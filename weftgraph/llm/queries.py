@@ -5,12 +5,16 @@ from __future__ import annotations
 from weftgraph.llm.decontam import OP8_SQL, op8_decontam
 from weftgraph.llm.langid import op5_langid
 from weftgraph.llm.media import op2_media
+from weftgraph.llm.mixing import OP7_SQL, op7_mixing
+from weftgraph.llm.sharding import op3_sharding
 from weftgraph.llm.simhash import op4_simhash
 
 QUERIES = {
     "op2_media": op2_media,
+    "op3_sharding": op3_sharding,
     "op4_simhash": op4_simhash,
     "op5_langid": op5_langid,
+    "op7_mixing": op7_mixing,
     "op8_decontam": op8_decontam,
 }
-ORACLE = {"op8_decontam": OP8_SQL}
+ORACLE = {"op7_mixing": OP7_SQL, "op8_decontam": OP8_SQL}

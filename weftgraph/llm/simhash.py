@@ -146,9 +146,9 @@ def near_links(prints: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, text_hash, print, component_id): one row per row of `docs`.
+    """(id, text_hash, print, root, component_id): one row per row of `docs`.
 
-    `text_hash` tells rows apart that share an id.
+    `text_hash` tells rows apart that share an id; `root` is a fingerprint that names the class.
     """
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
     rows = checkpointed(fingerprints(keyed, "text", ["id", "text_hash"], shingle))
@@ -156,9 +156,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(near_links(prints.select("print")))
     linked = prints.join(roots.withColumnRenamed("node", "print"), "print")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
-    linked = linked.join(least, "root").select("print", "least")
-    classes = prints.join(linked, "print", "left").select("print", F.coalesce("least", "first").alias("component_id"))
-    return rows.join(classes, "print").select("id", "text_hash", "print", "component_id")
+    linked = linked.join(least, "root").select("print", "root", "least")
+    classes = prints.join(linked, "print", "left").select("print", F.coalesce("root", "print").alias("root"), F.coalesce("least", "first").alias("component_id"))
+    return rows.join(classes, "print").select("id", "text_hash", "print", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """`docs` with one row of each class: that of the smallest id (null last, then by text hash)."""
+    found = near_duplicates(docs, id_col, text_col, shingle)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "text_hash")).alias("w"))
+    word = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+    kept = first.select(word(F.col("w.id")).alias("__id"), F.col("w.text_hash").alias("__hash"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, word(F.col(id_col)).alias("__id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__hash"))
+    rows = rows.join(kept, ["__id", "__hash"], "left_semi").groupBy("__id", "__hash").agg(F.first("row").alias("row"))
+    return rows.select("row.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
