@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
@@ -19,18 +20,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder of the cluster.
-
-    The folder is the session's `spark.checkpoint.dir`; only where that is unset
-    (tests, one machine) a temporary folder is named.
-    """
+def _shared_dir(df: DataFrame) -> str:
+    """The session's `spark.checkpoint.dir`; where that is unset (tests, one machine), a temporary folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weft-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the shared folder of the cluster."""
+    _shared_dir(df)
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table in that folder.
+
+    Unlike a checkpoint it starts again from measured sizes: estimates multiply from
+    join to join, and a loop of checkpoints ends up planning with astronomical numbers.
+    """
+    path = f"{_shared_dir(df)}/weft-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def map_texts(
     df: DataFrame,
     text_col: str,
