@@ -30,6 +30,9 @@ def set_from_rels(graph: PropertyGraph, label: str, target: str, rel_type: str,
 
     Nodes without any keep the property they had, or take `missing`.
     """
+    if label not in graph.nodes:
+        log.warning("no nodes of label %s; %s is not set", label, target)
+        return
     nodes = graph.nodes[label]
     end, at = (DST, 2) if incoming else (SRC, 1)
     found = [df for k, df in graph.rels.items() if k[0] == rel_type and k[at] == label]

@@ -216,12 +216,14 @@ class Job:
         return self.result
 
     def write(self, out: str) -> None:
-        """Write beside the current tables, then swap: a lost job leaves what was there."""
+        """Write beside the current tables, then swap: a lost job leaves `current`, or else `previous`."""
         jvm, new, old = self.spark._jvm, f"{out}/next", f"{out}/current"
         self.result.graph.write(new, layout=schema.layout(self.cfg.graph_schema))
         path = jvm.org.apache.hadoop.fs.Path
         fs = path(out).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(path(old), True)
+        if fs.exists(path(old)):
+            fs.delete(path(f"{out}/previous"), True)
+            fs.rename(path(old), path(f"{out}/previous"))
         fs.rename(path(new), path(old))
         self.result.graph = g.PropertyGraph.read(self.spark, old, {k: n.key for k, n in self.result.graph.nodes.items()}, list(self.result.graph.rels))
 

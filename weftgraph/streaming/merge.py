@@ -38,6 +38,11 @@ def _version(df: DataFrame, path: str, n: int) -> DataFrame | None:
 
 
 def windowed_counts(stream: DataFrame, time: str, by: list[str], width: str, lateness: str, slide: str | None = None) -> DataFrame:
-    """Rows by event-time window and columns; rows later than the watermark are left out."""
+    """Rows by event-time window and columns; rows later than the watermark are left out.
+
+    Times without a zone are taken in the session's.
+    """
+    if dict(stream.dtypes)[time] == "timestamp_ntz":
+        stream = stream.withColumn(time, F.col(time).cast("timestamp"))
     window = F.window(time, width, slide) if slide else F.window(time, width)
     return stream.withWatermark(time, lateness).groupBy(window.alias("window"), *by).agg(F.count(F.lit(1)).alias("n"))
