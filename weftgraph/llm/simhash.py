@@ -158,7 +158,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     linked = linked.join(least, "root").select("print", "root", "least")
     classes = prints.join(linked, "print", "left").select("print", F.coalesce("root", "print").alias("root"), F.coalesce("least", "first").alias("component_id"))
-    return rows.join(classes, "print").select("id", "text_hash", "print", "root", "component_id")
+    classes = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id", "text_hash"), F.lit(SALTS)).cast("int"))
+    return salted.join(classes, ["print", "salt"]).select("id", "text_hash", "print", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
