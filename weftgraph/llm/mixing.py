@@ -34,6 +34,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 DIGITS = 3
 #: A source table of at most so many rows (about 1 MB) is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 10_000
+SALTS = 16
 
 
 def n_words(text: Column) -> Column:
@@ -96,9 +97,16 @@ def plan_mix(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
 
 
 def with_plan(df: DataFrame, plan: DataFrame, source: Column) -> DataFrame:
-    """`df` with its source's row; `plan` is broadcast only when its measured size allows it."""
-    small = plan.count() <= BROADCAST_ROWS
-    return df.withColumn("skey", source_key(source)).join(F.broadcast(plan) if small else plan, "skey").drop("skey")
+    """`df` with its source's row; `plan` is broadcast only when its measured size allows it.
+
+    A larger plan is joined by shuffle, with every source dealt over SALTS partitions.
+    """
+    df = df.withColumn("skey", source_key(source))
+    if plan.count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(plan), "skey").drop("skey")
+    salted = plan.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    df = df.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return df.join(salted, ["skey", "__salt"]).drop("skey", "__salt")
 
 
 def extra_share(draw_col: Column, size: Column) -> Column:

@@ -85,7 +85,7 @@ def score(ratio: list[float], token: str) -> float:
 def score_column(ratio: list[float], token: Column) -> Column:
     numbers = F.split(F.lit(",".join(map(repr, ratio))), ",").cast("array<double>")  # folded into one literal
     where = F.split(F.lit(",".join(str(_ALPHABET.find(chr(i)) % _N) for i in range(128))), ",").cast("array<int>")
-    code = lambda at: F.element_at(where, F.ascii(F.substring(token, at, F.lit(1))) + 1)
+    code = lambda at: F.coalesce(F.get(where, F.ascii(F.substring(token, at, F.lit(1)))), F.lit(_N - 1))
     step = lambda acc, i: acc + F.element_at(numbers, code(i - 1) * _N + code(i) + 1)
     return F.aggregate(F.sequence(F.lit(2), F.length(token)), F.lit(0.0), step)
 
