@@ -215,3 +215,25 @@ def test_queries_match_sql(spark, sf):
         if got != sorted(map(repr, cur.fetchall())):
             wrong.append(name)
     assert not wrong
+
+
+def test_statements():
+    from weftgraph.config import Connection
+    from weftgraph.operators.statements import batched, connector_options, node_statement, rel_statement
+
+    props = [PropertyMapping(source_field="id"), PropertyMapping(source_field="full", target="name")]
+    node = NodeMapping(source="s", label="P", key="id", properties=props)
+    assert batched(node_statement(node)) == "UNWIND $rows AS row MERGE (n:P {id: row.id}) SET n.name = row.name"
+    assert node_statement(node.model_copy(update={"properties": props[:1]}), "event") == "MERGE (n:P {id: event.id})"
+    rel = RelationshipMapping(source="s", rel_type="R", from_label="P", from_key="id", from_field="a", to_label="Q", to_key="k", to_field="b", properties=props[1:])
+    assert rel_statement(rel) == "MATCH (a:P {id: row.from_val}) MATCH (b:Q {k: row.to_val}) MERGE (a)-[r:R]->(b) SET r.name = row.name"
+    assert connector_options(Connection(username="u", password="p"), 7)["batch.size"] == "7"
+
+
+def test_sequence_follows_files(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.csv").write_text(f"k,v\n1,{i}a\n1,{i}b\n")
+    df = read_source(spark, SourceConfig(name="s", type="csv", path=str(tmp_path / "*.csv")))
+    seq = g.with_sequence(df)
+    assert sorted(tuple(r[g.SEQ])[0].rsplit("/", 1)[-1] for r in seq.collect()) == ["0.csv"] * 2 + ["1.csv"] * 2 + ["2.csv"] * 2
+    assert [tuple(r) for r in g.merge([seq], ["k"]).collect()] == [("1", "2b")]

@@ -31,12 +31,10 @@ def with_sequence(df: DataFrame) -> DataFrame:
     if SEQ in df.columns:
         return df
     row = F.monotonically_increasing_id()
-    try:
-        files = df.withColumn(SEQ, F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), row.alias("r")))
-        files.schema  # noqa: B018  resolves _metadata, which only file scans have
-        return files
-    except Exception:  # an AnalysisException of any Spark flavour
-        return df.withColumn(SEQ, F.struct(F.lit("").alias("f"), F.lit(0).cast("long").alias("b"), row.alias("r")))
+    plan = df._jdf.queryExecution().analyzed() if hasattr(df, "_jdf") else None
+    if plan is not None and "_metadata" in plan.metadataOutput().mkString(","):  # a file scan
+        return df.withColumn(SEQ, F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), row.alias("r")))
+    return df.withColumn(SEQ, F.struct(F.lit("").alias("f"), F.lit(0).cast("long").alias("b"), row.alias("r")))
 
 
 def _mapped(df: DataFrame, properties: Sequence[PropertyMapping]) -> dict[str, Column]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 import threading
+import uuid
 from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs, urlsplit
@@ -75,10 +76,9 @@ def _(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A folder for files of these round trips, where all executors see it."""
-    sc = spark.sparkContext
-    base = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base}/{threading.get_ident()}-{id(object())}" if base else tempfile.mkdtemp(prefix="weft-")
+    """A new folder for files of these round trips, where all executors see it."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    return f"{base}/weft-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="weft-")
 
 
 @query("src_csv", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
@@ -394,3 +394,95 @@ def _(spark, sf_dir):
     from weftgraph.plans.engine import run
 
     return run(IngestConfig.model_validate(job_config(sf_dir)), spark=spark).graph.nodes["Customer"].df.select("custkey", "orders")
+
+
+# Mapping front-ends, runs on top of a former output, and streams
+
+_SHEET = """source_entity,field_cardinality,source_column,data_type,is_key,transform,target_entity,target_column,relationship_type,rel_source_key,rel_target_key
+customer,1:1,c_custkey,int,true,,customer,custkey,,,
+customer,1:1,c_name,string,false,"strip,uppercase",customer,name,,,
+customer,1:M,c_nationkey,int,false,,nation,n_nationkey,LIVES_IN,nationkey,
+customer,1:1,c_nationkey,int,false,,customer,nationkey,,,
+nation,1:1,n_nationkey,int,true,,nation,,,,
+nation,1:1,n_name,string,false,lowercase,nation,name,,,
+"""
+
+
+def _sheet_graph(spark: SparkSession, sf_dir: str) -> g.PropertyGraph:
+    from weftgraph.plans.csv_mapping import load_csv_mapping
+    from weftgraph.plans.engine import run
+
+    with tempfile.NamedTemporaryFile("w", suffix=".csv") as f:  # read by the driver only
+        f.write(_SHEET)
+        f.flush()
+        sources = [{"name": n, "type": "spark_parquet", "path": _path(sf_dir, n)} for n in ("customer", "nation")]
+        cfg = load_csv_mapping(f.name, sources=sources)
+    return run(cfg, spark=spark).graph
+
+
+@query("map_sheet_nodes", "SELECT c_custkey AS custkey, upper(c_name) AS name, CAST(c_nationkey AS BIGINT) AS nationkey FROM customer")
+def _(spark, sf_dir):
+    return _sheet_graph(spark, sf_dir).nodes["customer"].df
+
+
+@query("map_sheet_rels", "SELECT DISTINCT c_nationkey AS from_val, c_nationkey AS to_val FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def _(spark, sf_dir):
+    return _sheet_graph(spark, sf_dir).rel("LIVES_IN")
+
+
+@query("map_kg_nodes", "SELECT substr(sha256(concat_ws('|', CAST(n_regionkey AS VARCHAR), n_name)), 1, 12) AS _id, n_name AS name, CAST(n_regionkey AS DOUBLE) AS region FROM nation")
+def _(spark, sf_dir):
+    from weftgraph.plans.engine import run
+    from weftgraph.plans.kg_schema import from_dict
+
+    raw = {
+        "idGeneration": {"strategy": "sha256-hash", "hashLength": 12, "separator": "|"},
+        "nodes": [{"label": "Nation", "source": "nation", "naturalKey": ["n_regionkey", "n_name"], "properties": {"name": "n_name", "region": {"sourceField": "n_regionkey", "type": "number"}}}],
+    }
+    cfg = from_dict(raw, sources=[{"name": "nation", "type": "spark_parquet", "path": _path(sf_dir, "nation")}])
+    return run(cfg, spark=spark).graph.nodes["Nation"].df
+
+
+@query("job_rerun", "SELECT c_custkey AS custkey, c_name AS name, lower(c_mktsegment) AS segment, CASE WHEN n > 0 THEN n END AS orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE NOT o_totalprice > 200000 GROUP BY o_custkey) ON c_custkey = o_custkey")
+def _(spark, sf_dir):
+    """The same job twice over one output: the graph is the same as after one run."""
+    from weftgraph.config import IngestConfig
+    from weftgraph.plans.engine import run
+
+    cfg = IngestConfig.model_validate(job_config(sf_dir, output_path=f"{_scratch(spark)}/graph"))
+    run(cfg, spark=spark)
+    return run(cfg, spark=spark).graph.nodes["Customer"].df
+
+
+@query("stream_merge", "SELECT event_id, event_type AS last_type, value AS last_value FROM events WHERE event_type <> 'error'")
+def _(spark, sf_dir):
+    from weftgraph.config import ValidationConfig
+    from weftgraph.streaming.merge import merge_stream
+
+    rules = ValidationConfig(rules=[ValidationRuleConfig(field="event_type", rule="one_of", params={"values": ["purchase", "view", "signup", "click"]})])
+    path = _path(sf_dir, "events")
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(_folder(spark, path))
+    out = _scratch(spark)
+    merge_stream(stream, _LAST.model_copy(update={"key": "event_id", "validation": rules}), f"{out}/t", f"{out}/c").awaitTermination()
+    return spark.read.parquet(f"{out}/t/v0")
+
+
+def _folder(spark: SparkSession, path: str) -> str:
+    """A folder with a table's files, as streams read folders; a single file is copied to one."""
+    if spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)).isDirectory():
+        return path
+    copy = f"{_scratch(spark)}/in"
+    spark.read.parquet(path).write.parquet(copy)
+    return copy
+
+
+@query("stream_windows", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def _(spark, sf_dir):
+    from weftgraph.streaming.merge import windowed_counts
+
+    path = _path(sf_dir, "events")
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(_folder(spark, path))
+    name = f"weft_{uuid.uuid4().hex}"
+    counts = windowed_counts(stream, "ts", ["event_type"], "1 day", "1 hour")
+    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.col("window.start").cast("string").alias("day"), "event_type", "n")
