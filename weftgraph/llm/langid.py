@@ -29,7 +29,7 @@ BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 16, 16, 4, 0.4, 7
 #: The share of calibration documents that the rejection threshold may turn away.
 ALPHA = 0.001
 #: The threshold is at most so many times the confidence of a blind guess, so short clean texts stay.
-OVER_CHANCE = 1.4
+OVER_CHANCE = 1.15
 UNKNOWN = "und"
 _PIECE = 1 << 20
 
