@@ -57,11 +57,11 @@ def test_text_transforms(spark):
     assert run(spark, TEXTS, s, {"type": "to_bool"}) == both(lambda t: t.lower() in {"true", "1", "yes", "y"})
     assert run(spark, TEXTS, s, {"type": "replace", "params": {"old": "a", "new": "$1"}}) == both(lambda t: t.replace("a", "$1"))
     assert run(spark, TEXTS, s, {"type": "replace", "params": {"new": "-"}}) == both(lambda t: t.replace("", "-"))
-    assert run(spark, TEXTS, s, {"type": "default", "params": {"value": "n"}}) == [t or "n" for t in TEXTS]
+    assert run(spark, TEXTS, s, {"type": "default", "params": {"default": "n"}}) == [t or "n" for t in TEXTS]
     assert run(spark, TEXTS, s, {"type": "template", "params": {"template": "<{value}>{{}}"}}) == both(lambda t: f"<{t}>{{}}")
     assert run(spark, TEXTS, s, {"type": "template", "params": {"template": "{value:>9}"}}) == both(lambda t: f"{t:>9}")
     assert run(spark, TEXTS, s, {"type": "sha256", "params": {"length": 10}}) == [hashlib.sha256(t.encode()).hexdigest()[:10] if t else None for t in TEXTS]
-    assert run(spark, [1, None], T.LongType(), {"type": "default", "params": {"value": "N/A"}}) == ["1", "N/A"]
+    assert run(spark, [1, None], T.LongType(), {"type": "default", "params": {"default": "N/A"}}) == ["1", "N/A"]
 
 
 @pytest.mark.parametrize("fmt", ["%Y-%m-%d", "%d/%m/%Y %H:%M", "%Y%m%d", "%b %d, %Y", "%d %B %Y %I:%M %p", "%y-%m-%d", "%Y-%m-%dT%H:%M:%S.%f"])

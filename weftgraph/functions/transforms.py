@@ -96,14 +96,15 @@ def replace(x: Column, kind: T.DataType, old: str = "", new: str = "", **_: Any)
 
 
 @_built_in("default")
-def default(x: Column, kind: T.DataType, value: Any = "", **_: Any) -> Column:
-    """`value` for null and ''; both become text where their types differ."""
-    other = F.lit(value)
-    number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    same = value is None or isinstance(kind, T.StringType) and isinstance(value, str) or isinstance(kind, T.NumericType) and number or isinstance(kind, T.BooleanType) and isinstance(value, bool)
+def or_default(x: Column, kind: T.DataType, default: Any = None, **_: Any) -> Column:
+    """`default` for null and ''; both become text where their types differ."""
+    if default is None:
+        return F.when(~empty(x, kind), x)
+    number = isinstance(default, (int, float)) and not isinstance(default, bool)
+    same = isinstance(kind, T.StringType) and isinstance(default, str) or isinstance(kind, T.NumericType) and number or isinstance(kind, T.BooleanType) and isinstance(default, bool)
     if not same:
-        return F.when(empty(x, kind), F.lit(str(value))).otherwise(pystr(x, kind))
-    return F.when(empty(x, kind), other).otherwise(x)
+        return F.when(empty(x, kind), F.lit(str(default))).otherwise(pystr(x, kind))
+    return F.when(empty(x, kind), F.lit(default)).otherwise(x)
 
 
 @_built_in("template")

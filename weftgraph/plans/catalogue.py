@@ -177,7 +177,7 @@ _transform("xf_uppercase", "part", "p_partkey", "p_name", "upper(p_name)", [{"ty
 _transform("xf_lowercase", "customer", "c_custkey", "c_mktsegment", "lower(c_mktsegment)", [{"type": "lowercase"}])
 _transform("xf_strip", "part", "p_partkey", "t", "p_name", [{"type": "strip"}], lambda d: d.withColumn("t", F.concat(F.lit("\t   "), "p_name", F.lit("\u001c\n "))))
 _transform("xf_replace", "part", "p_partkey", "p_brand", "replace(p_brand, 'Brand', 'B')", [{"type": "replace", "params": {"old": "Brand", "new": "B"}}])
-_transform("xf_default", "orders", "o_orderkey", "t", "CASE WHEN o_orderstatus = 'F' THEN 'none' ELSE o_orderstatus END", [{"type": "default", "params": {"value": "none"}}], lambda d: d.withColumn("t", F.when(F.col("o_orderstatus") == "F", "").otherwise(F.col("o_orderstatus"))))
+_transform("xf_default", "orders", "o_orderkey", "t", "CASE WHEN o_orderstatus = 'F' THEN 'none' ELSE o_orderstatus END", [{"type": "default", "params": {"default": "none"}}], lambda d: d.withColumn("t", F.when(F.col("o_orderstatus") == "F", "").otherwise(F.col("o_orderstatus"))))
 _transform("xf_template", "customer", "c_custkey", "c_custkey", "'customer:' || CAST(c_custkey AS VARCHAR) || '{}'", [{"type": "template", "params": {"template": "customer:{value}{{}}"}}])
 _transform("xf_sha256", "customer", "c_custkey", "c_name", "substr(sha256(c_name), 1, 24)", [{"type": "sha256", "params": {"length": 24}}])
 _transform("xf_concat", "customer", "c_custkey", "c_custkey", "CAST(c_custkey AS VARCHAR)", [{"type": "concat", "params": {"separator": "-"}}])

@@ -13,7 +13,7 @@ log = logging.getLogger(__name__)
 
 #: Declared types and the transform that each stands for; other types stand for none.
 TYPES = {"int": "to_int", "integer": "to_int", "float": "to_float", "bool": "to_bool", "boolean": "to_bool", "datetime": "to_datetime", "date": "to_datetime"}
-YES = {"true", "1", "yes", "y"}
+YES = {"true", "yes", "1", "x"}
 
 
 def typed_chain(declared: str, named: list[Any], types: dict[str, str]) -> list[TransformConfig] | None:
