@@ -62,7 +62,10 @@ def test_strict_endpoints_and_degree(spark, tmp_path):
 def test_output_is_merged_again(spark, tmp_path):
     cfg = job(tmp_path, settings={"output_path": str(tmp_path / "out"), "coerce_endpoints": True}, schema={"constraints": [{"label": "Person", "property": "emp_id"}], "indexes": [{"label": "Person", "properties": ["name"]}]})
     cfg = IngestConfig.model_validate(cfg)
-    assert run(cfg, spark=spark).nodes_merged["Person"] == 3
+    first = run(cfg, spark=spark)
+    assert first.nodes_merged["Person"] == 3 and first.nodes_created == {"Person": 3, "Department": 2} and first.relationships_created == {"WORKS_IN": 4} and first.records_skipped == 1
+    assert {r.from_val for r in first.dangling["rels:WORKS_IN"].collect()} == {"3", "4"}
+    assert {r.name: r.employees for r in first.graph.nodes["Department"].df.collect()} == {"Engineering": 1, "Product": 1}
     (tmp_path / "e.csv").write_text("emp_id,name,email,title,dept_id\n1,Anna,a@x.org,CTO,10\n7,New,n@x.org,Dev,20\n")
     again = run(cfg, spark=spark)
     assert {(r.emp_id, r.name) for r in again.graph.nodes["Person"].df.collect()} == {(1, "Anna"), (2, "Bob"), (4, "Di"), (7, "New")}
@@ -186,7 +189,7 @@ def test_streams(spark, tmp_path):
         spark.createDataFrame(batch, "id int, v string").coalesce(1).write.mode("append").parquet(str(src))
         stream = spark.readStream.schema("id int, v string").parquet(str(src))
         merge_stream(stream, m, str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination(60)
-    assert {(r.id, r.v) for r in spark.read.parquet(str(tmp_path / "t" / "v1")).collect()} == {(1, "c"), (2, "b"), (3, "d")}
+    assert {(r.id, r.v) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {(1, "c"), (2, "b"), (3, "d")}
 
 
 def test_stream_windows(spark, sf, tmp_path):

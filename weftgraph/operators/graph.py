@@ -142,15 +142,22 @@ class PropertyGraph:
         for t in {t for t, _, _ in self.rels}:
             self.rel(t).createOrReplaceTempView(f"rel_{t}")
 
-    def write(self, path: str, mode: str = "overwrite", layout: dict[str, list[str]] | None = None) -> None:
+    def write_nodes(self, label: str, path: str, order: Sequence[str] = ()) -> None:
+        """One label as Parquet, sorted by `order` if that is given."""
+        df = self.nodes[label].df
+        if order:
+            df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+        df.write.mode("overwrite").parquet(f"{path}/nodes/{label}")
+
+    def write_rels(self, at: tuple[str, str, str], path: str) -> None:
+        self.rels[at].write.mode("overwrite").parquet(f"{path}/rels/{at[0]}/{at[1]}-{at[2]}")
+
+    def write(self, path: str, layout: dict[str, list[str]] | None = None) -> None:
         """A Parquet table for each label and relationship; `layout` names sort columns by label."""
-        for label, n in self.nodes.items():
-            df, order = n.df, (layout or {}).get(label)
-            if order:
-                df = df.repartitionByRange(*order).sortWithinPartitions(*order)
-            df.write.mode(mode).parquet(f"{path}/nodes/{label}")
-        for (t, a, b), df in self.rels.items():
-            df.write.mode(mode).parquet(f"{path}/rels/{t}/{a}-{b}")
+        for label in self.nodes:
+            self.write_nodes(label, path, (layout or {}).get(label, ()))
+        for at in self.rels:
+            self.write_rels(at, path)
 
     @staticmethod
     def read(spark: SparkSession, path: str, nodes: dict[str, str], rels: Sequence[tuple[str, str, str]]) -> PropertyGraph:
@@ -174,39 +181,40 @@ def _table(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def matched(rows: DataFrame, graph: PropertyGraph, m: RelationshipMapping, coerce: bool = False, how: str = "inner") -> DataFrame:
-    """Rows whose endpoints exist (`inner`), or those with an endpoint that does not (`left_anti`).
-
-    Endpoints of another type family never match unless `coerce` compares texts.
-    """
-    ends = [(SRC, m.from_label, m.from_key), (DST, m.to_label, m.to_key)]
-    keys = []
-    for end, label, key in ends:
+def _ends(rows: DataFrame, graph: PropertyGraph, m: RelationshipMapping, coerce: bool) -> list[tuple[Column, DataFrame] | None]:
+    """For both endpoints: what a row is joined by and the keys to join, or None where nothing can match."""
+    out: list[tuple[Column, DataFrame] | None] = []
+    for end, label, key in ((SRC, m.from_label, m.from_key), (DST, m.to_label, m.to_key)):
         nodes = graph.nodes.get(label)
         if nodes is None:
             log.warning("relationship %s refers to label %s, which has no nodes", m.rel_type, label)
-            keys.append((end, None))
+            out.append(None)
             continue
         x, k = F.col(end), column(nodes.df, key)
         kinds = type_of(rows, x), type_of(nodes.df, k)
         if _family(kinds[0]) is not _family(kinds[1]):
             if not coerce:
                 log.warning("%s.%s is %s, but %s is %s: nothing matches", label, key, kinds[1].simpleString(), end, kinds[0].simpleString())
-                keys.append((end, None))
+                out.append(None)
                 continue
             x, k = pystr(x, kinds[0]), pystr(k, kinds[1])
-        # a node key is unique after the merge; another property may not be, and then every node matches
-        found = nodes.df.select(k.alias("__key"))
-        keys.append((end, (x, found if key == nodes.key else found.where("__key is not null"))))
-    if any(found is None for _, found in keys):
-        return rows.where(F.lit(how == "left_anti"))
-    if how == "inner":
-        for _, (x, found) in keys:
-            rows = rows.join(found, x == F.col("__key")).drop("__key")
-        return rows
-    parts = [rows.join(found.distinct(), x == F.col("__key"), "left_anti") for _, (x, found) in keys]
-    first_ok = rows.join(keys[0][1][1].distinct(), keys[0][1][0] == F.col("__key"), "left_semi")
-    return parts[0].unionByName(first_ok.join(keys[1][1][1].distinct(), keys[1][1][0] == F.col("__key"), "left_anti"))
+        out.append((x, nodes.df.select(k.alias("__key"))))
+    return out
+
+
+def matched(rows: DataFrame, graph: PropertyGraph, m: RelationshipMapping, coerce: bool = False) -> DataFrame:
+    """Rows whose endpoints exist, once for each pair of nodes that they name.
+
+    A node key is unique after its merge; another property may not be, and then every
+    node with the value matches. Endpoints of another type family never match unless
+    `coerce` compares texts.
+    """
+    ends = _ends(rows, graph, m, coerce)
+    if None in ends:
+        return rows.where(F.lit(False))
+    for x, keys in ends:
+        rows = rows.join(keys, x == F.col("__key")).drop("__key")
+    return rows
 
 
 def merge_nodes(graph: PropertyGraph, label: str, key: str, projections: Sequence[DataFrame]) -> None:
@@ -222,4 +230,13 @@ def merge_rels(graph: PropertyGraph, m: RelationshipMapping, projections: Sequen
 
 
 def dangling_rels(graph: PropertyGraph, m: RelationshipMapping, projection: DataFrame, coerce: bool = False) -> DataFrame:
-    return matched(projection, graph, m, coerce, "left_anti").drop(SEQ)
+    """Rows with an endpoint that does not exist; both ends are looked up in one pass."""
+    rows, lost = projection, F.lit(False)
+    for i, end in enumerate(_ends(projection, graph, m, coerce)):
+        if end is None:
+            return projection.drop(SEQ)
+        x, keys = end
+        found = keys.distinct().withColumn(f"__found{i}", F.lit(True))
+        rows = rows.join(found, x == F.col("__key"), "left").drop("__key")
+        lost = lost | F.col(f"__found{i}").isNull()
+    return rows.where(lost).drop("__found0", "__found1", SEQ)

@@ -1,8 +1,10 @@
 """Jobs: configuration to lazy plans to a merged graph, with metrics.
 
 Sources, validation, projection and merge are one plan for each label and relationship.
-The jobs that run are the counts of each mapping (with its rejects in the same pass),
-the check of a `fail` rule, constraints, and the write.
+With an output, each label and relationship is written once and read back for what uses
+it, and counts are observed in that write. Without one, the jobs that run are a count for
+each mapping (with its rejects in the same pass), the check of a `fail` rule, and
+constraints.
 """
 
 from __future__ import annotations
@@ -14,12 +16,12 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.config import IngestConfig, NodeMapping, RelationshipMapping, ValidationConfig, load_config
-from weftgraph.metrics import JobMetrics, track_step
+from weftgraph.metrics import JobMetrics, StepMetric, track_step
 from weftgraph.operators import graph as g
 from weftgraph.operators import hooks, schema
 from weftgraph.operators.validation import ERRORS, Validated, validate, with_errors
@@ -29,6 +31,11 @@ from weftgraph.sources import read_source
 log = logging.getLogger(__name__)
 
 
+def counts() -> tuple[Column, Column]:
+    """What is counted of checked rows."""
+    return F.count(F.lit(1)).alias("n"), F.count_if(F.size(ERRORS) > 0).alias("bad")
+
+
 @dataclass
 class IngestResult:
     """Rows taken by label and type (`nodes_created`), and the graph they merged into."""
@@ -73,6 +80,10 @@ class Job:
         self.metrics, self.result = JobMetrics(), IngestResult(graph=g.PropertyGraph())
         self.result.metrics = self.metrics
         self.sources: dict[str, DataFrame] = {}
+        self.out = cfg.settings.output_path
+        self.staged: dict[object, DataFrame] = {}
+        self.after_write: list[Callable[[], None]] = []
+        self.rel_rows: list[tuple[str, RelationshipMapping, DataFrame]] = []
         self.persisted: list[DataFrame] = []
 
     def read(self, count: bool) -> None:
@@ -120,57 +131,105 @@ class Job:
         self.result.dead_letters[name] = v.rejects(F.col(g.SEQ)["r"]).withColumn("record", F.col("record").dropFields(g.SEQ))
         return v.valid, v
 
-    def count(self, step, df: DataFrame, v: Validated | None) -> None:
+    def count(self, step: StepMetric, df: DataFrame, v: Validated | None) -> None:
         """Rows taken and rejected, in one pass over what the rules need."""
         if v is None:
             step.records_processed = df.count() if df.columns else 0
             return
-        row = v.checked.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size(ERRORS) > 0).alias("bad")).first()
+        row = v.checked.agg(*counts()).first()
         step.records_processed, step.records_failed = row.n - row.bad, row.bad
         self.result.records_skipped += row.bad
 
+    def observed(self, step: StepMetric, df: DataFrame, v: Validated | None) -> tuple[DataFrame, Callable[[], None]]:
+        """The valid rows, and what to call after the write that reads them to have their counts."""
+        seen = Observation()
+        rows = df.withColumn(ERRORS, F.array().cast("array<string>")) if v is None else v.checked
+        rows = rows.observe(seen, *counts())
+
+        def take() -> None:
+            n, bad = seen.get["n"], seen.get["bad"]
+            step.records_processed, step.records_failed = n - bad, bad
+            self.result.records_skipped += bad
+
+        return rows.where(F.size(ERRORS) == 0).drop(ERRORS), take
+
+    def taken(self, name: str, m: NodeMapping | RelationshipMapping, made: dict[str, int], kind: str) -> tuple[DataFrame, Callable[[], None]]:
+        """The valid rows of a mapping. They are counted now, or with the write where there is an output."""
+        step = self.metrics.add_step(name)
+        with track_step(step):
+            df, v = self.checked(name, m.source, m.validation)
+            made.setdefault(kind, 0)
+            if self.out and df.columns:
+                rows, take = self.observed(step, df, v)
+            else:
+                rows, take = df, lambda: self.count(step, df, v)
+                take()
+                made[kind] += step.records_processed
+                return rows, lambda: None
+
+        def later() -> None:
+            take()
+            step.end_time = time.time()
+            made[kind] += step.records_processed
+
+        return rows, later
+
     def nodes(self) -> None:
         by_label: dict[str, list[NodeMapping]] = {}
         for m in self.cfg.nodes:
             by_label.setdefault(m.label, []).append(m)
         for label, mappings in by_label.items():
-            rows = []
+            rows, after = [], []
             for m in mappings:
-                name = f"nodes:{label}"
-                with track_step(self.metrics.add_step(name)) as step:
-                    df, v = self.checked(name, m.source, m.validation)
-                    self.count(step, df, v)
-                    if df.columns:
-                        rows.append(g.project_nodes(df, m))
-                    self.result.nodes_created[label] = self.result.nodes_created.get(label, 0) + step.records_processed
-            if rows:
-                if self.cfg.settings.strict_keys:
-                    for r in rows:
-                        if not r.where(F.col(f"`{mappings[0].key}`").isNull()).isEmpty():
-                            raise ValueError(f"null merge key '{mappings[0].key}' for label '{label}'")
-                g.merge_nodes(self.result.graph, label, mappings[0].key, rows)
+                df, later = self.taken(f"nodes:{label}", m, self.result.nodes_created, label)
+                after.append(later)
+                if df.columns:
+                    rows.append(g.project_nodes(df, m))
+            if not rows:
+                continue
+            if self.cfg.settings.strict_keys:
+                for r in rows:
+                    if not r.where(F.col(f"`{mappings[0].key}`").isNull()).isEmpty():
+                        raise ValueError(f"null merge key '{mappings[0].key}' for label '{label}'")
+            g.merge_nodes(self.result.graph, label, mappings[0].key, rows)
+            self.stage(label)
+            for later in after:
+                later()
+
+    def stage(self, label: str) -> None:
+        """Write merged nodes once, so that joins, constraints and hooks do not merge them again."""
+        if self.out:
+            graph = self.result.graph
+            graph.write_nodes(label, f"{self.out}/staged", schema.layout(self.cfg.graph_schema).get(label, ()))
+            graph.nodes[label] = g.Nodes(self.spark.read.parquet(f"{self.out}/staged/nodes/{label}"), graph.nodes[label].key)
+            self.staged[label] = graph.nodes[label].df
 
     def rels(self) -> None:
         coerce = self.cfg.settings.coerce_endpoints
         by_type: dict[tuple, list[tuple[RelationshipMapping, DataFrame]]] = {}
         for m in self.cfg.relationships:
             name = f"rels:{m.rel_type}"
-            with track_step(self.metrics.add_step(name)) as step:
-                df, v = self.checked(name, m.source, m.validation)
-                self.count(step, df, v)
-                if df.columns:
-                    rows = g.project_rels(df, m)
-                    by_type.setdefault((m.rel_type, m.from_label, m.to_label), []).append((m, rows))
-                    self.result.dangling[name] = g.dangling_rels(self.result.graph, m, rows, coerce)
-                made = self.result.relationships_created
-                made[m.rel_type] = made.get(m.rel_type, 0) + step.records_processed
-        for found in by_type.values():
+            df, later = self.taken(name, m, self.result.relationships_created, m.rel_type)
+            self.after_write.append(later)
+            if df.columns:
+                rows = g.project_rels(df, m)
+                by_type.setdefault((m.rel_type, m.from_label, m.to_label), []).append((m, rows))
+                plain = self.checked(name, m.source, m.validation)[0]
+                self.rel_rows.append((name, m, g.project_rels(plain, m)))
+        for at, found in by_type.items():
             keys = {(m.from_key, m.to_key) for m, _ in found}
             if len(keys) == 1:
                 g.merge_rels(self.result.graph, found[0][0], [r for _, r in found], coerce)
             else:
                 for m, r in found:
                     g.merge_rels(self.result.graph, m, [r], coerce)
+            if self.out:
+                graph = self.result.graph
+                graph.write_rels(at, f"{self.out}/staged")
+                graph.rels[at] = self.spark.read.parquet(f"{self.out}/staged/rels/{at[0]}/{at[1]}-{at[2]}")
+                self.staged[at] = graph.rels[at]
+        for later in self.after_write:
+            later()
 
     def run_hooks(self, name: str, found: Iterable) -> None:
         found = list(found)
@@ -190,7 +249,7 @@ class Job:
         self.result.records_skipped = 0
 
     def run(self, dry_run: bool, pre: Iterable[Callable], post: Iterable[Callable]) -> IngestResult:
-        cfg, s, out = self.cfg, self.cfg.settings, self.cfg.settings.output_path
+        cfg, s, out = self.cfg, self.cfg.settings, self.out
         if s.health_check and not healthy(lambda: self.spark.sql("SELECT 1").collect()):
             raise ConnectionError("the Spark session does not answer")
         self.read(count=dry_run)
@@ -213,19 +272,39 @@ class Job:
         if out:
             with track_step(self.metrics.add_step("write")):
                 self.write(out)
+        for name, m, rows in self.rel_rows:  # over the tables that stay
+            self.result.dangling[name] = g.dangling_rels(self.result.graph, m, rows, s.coerce_endpoints)
         return self.result
 
     def write(self, out: str) -> None:
-        """Write beside the current tables, then swap: a lost job leaves `current`, or else `previous`."""
-        jvm, new, old = self.spark._jvm, f"{out}/next", f"{out}/current"
-        self.result.graph.write(new, layout=schema.layout(self.cfg.graph_schema))
-        path = jvm.org.apache.hadoop.fs.Path
+        """Complete the tables beside the current ones, then swap: a lost job leaves `current`, or else `previous`."""
+        graph, new, old = self.result.graph, f"{out}/next", f"{out}/current"
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
         fs = path(out).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.delete(path(new), True)
+        order = schema.layout(self.cfg.graph_schema)
+
+        def move(part: str) -> None:
+            fs.mkdirs(path(f"{new}/{part}").getParent())
+            fs.rename(path(f"{out}/staged/{part}"), path(f"{new}/{part}"))
+
+        changed = [label for label, n in graph.nodes.items() if n.df is not self.staged.get(label)]
+        for label in changed:  # these read staged tables, so they go first
+            graph.write_nodes(label, new, order.get(label, ()))
+        for at, df in graph.rels.items():
+            if df is not self.staged.get(at):
+                graph.write_rels(at, new)
+        for label in graph.nodes.keys() - changed:
+            move(f"nodes/{label}")
+        for at, df in graph.rels.items():
+            if df is self.staged.get(at):
+                move(f"rels/{at[0]}/{at[1]}-{at[2]}")
         if fs.exists(path(old)):
             fs.delete(path(f"{out}/previous"), True)
             fs.rename(path(old), path(f"{out}/previous"))
         fs.rename(path(new), path(old))
-        self.result.graph = g.PropertyGraph.read(self.spark, old, {k: n.key for k, n in self.result.graph.nodes.items()}, list(self.result.graph.rels))
+        fs.delete(path(f"{out}/staged"), True)
+        self.result.graph = g.PropertyGraph.read(self.spark, old, {k: n.key for k, n in graph.nodes.items()}, list(graph.rels))
 
 
 def run(cfg: IngestConfig, dry_run: bool = False, spark: SparkSession | None = None, pre_hooks: Iterable[Callable] = (), post_hooks: Iterable[Callable] = (), config_path: str = "") -> IngestResult:

@@ -12,9 +12,13 @@ from weftgraph.registry import source_registry
 
 @source_registry.register("csv")
 def csv(spark: SparkSession, cfg: SourceConfig) -> DataFrame:
-    """Every cell as text; an empty or missing cell is ''. Quoted cells may span lines, so a file is one split."""
-    df = spark.read.options(header=True, multiLine=True, escape='"', sep=cfg.delimiter, encoding=cfg.encoding, inferSchema=False, emptyValue="").csv(cfg.path)
-    return df.na.fill("")
+    """Every cell as text; an empty or missing cell is ''.
+
+    Quoted cells may span lines, so a file is one split; `headers` are reader options, and
+    multiLine: "false" there lets large files without such cells be split.
+    """
+    options = {"header": "true", "multiLine": "true", "escape": '"', "sep": cfg.delimiter, "encoding": cfg.encoding, "emptyValue": ""}
+    return spark.read.options(**(options | cfg.headers)).csv(cfg.path).na.fill("")
 
 
 def descend(df: DataFrame, root: str) -> DataFrame:

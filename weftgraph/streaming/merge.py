@@ -1,4 +1,4 @@
-"""Streams of records merged into node tables, batch by batch."""
+"""Streams of records merged into node tables, batch by batch, and windowed counts."""
 
 from __future__ import annotations
 
@@ -12,27 +12,38 @@ from weftgraph.operators.graph import merge, project_nodes
 from weftgraph.operators.validation import ERRORS, with_errors
 
 
-def merge_stream(stream: DataFrame, mapping: NodeMapping, path: str, checkpoint: str, **trigger: object) -> StreamingQuery:
-    """Validate, project and MERGE each micro-batch into versions of a Parquet table under `path`.
+BUCKET = "bucket"
 
-    Version n is <path>/v<batch>; a batch that runs again after a failure writes the same
-    version from the same previous one, so the result is the same.
+
+def merge_stream(stream: DataFrame, mapping: NodeMapping, path: str, checkpoint: str, buckets: int = 256, **trigger: object) -> StreamingQuery:
+    """Validate, project and MERGE each micro-batch into a Parquet table bucketed by key.
+
+    A batch reads and replaces only the buckets that its keys fall in. The merge keeps the
+    last assignment, so a batch that runs again after a failure leaves the same table.
     """
 
-    def put(batch: DataFrame, n: int) -> None:
+    def put(batch: DataFrame, _: int) -> None:
         rows = batch
         if mapping.validation and mapping.validation.rules:
             rows = with_errors(batch, mapping.validation.rules).where(F.size(ERRORS) == 0).drop(ERRORS)
-        new = project_nodes(rows, mapping)
-        old = _version(batch, path, n - 1)
-        merge([new] if old is None else [old, new], [mapping.key]).write.mode("overwrite").parquet(f"{path}/v{n}")
+        bucket = F.pmod(F.xxhash64(F.col(f"`{mapping.key}`").cast("string")), F.lit(buckets)).cast("int")
+        new = project_nodes(rows, mapping).withColumn(BUCKET, bucket)
+        new = new.where(F.col(f"`{mapping.key}`").isNotNull()).persist()
+        try:
+            touched = [r[0] for r in new.select(BUCKET).distinct().collect()]  # at most `buckets` numbers
+            old = _table(batch, path)
+            parts = [new] if old is None else [old.where(F.col(BUCKET).isin(touched)), new]
+            merged = merge(parts, [mapping.key, BUCKET])
+            merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+        finally:
+            new.unpersist()
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(put).start()
 
 
-def _version(df: DataFrame, path: str, n: int) -> DataFrame | None:
+def _table(df: DataFrame, path: str) -> DataFrame | None:
     try:
-        return df.sparkSession.read.parquet(f"{path}/v{n}") if n >= 0 else None
+        return df.sparkSession.read.parquet(path)
     except AnalysisException:
         return None
 
