@@ -19,6 +19,7 @@ from weftgraph.config import NodeMapping, PropertyMapping, RelationshipMapping
 from weftgraph.functions.ids import generate_id
 from weftgraph.functions.pyvalues import column, pystr, type_of
 from weftgraph.functions.transforms import apply_chain
+from weftgraph.sources.paths import table_at
 
 log = logging.getLogger(__name__)
 
@@ -164,23 +165,14 @@ class PropertyGraph:
         """What `write` left, for labels (with their keys) and relationships that exist there."""
         out = PropertyGraph()
         for label, key in nodes.items():
-            if (df := _table(spark, f"{path}/nodes/{label}")) is not None:
+            if (df := table_at(spark, f"{path}/nodes/{label}")) is not None:
                 out.nodes[label] = Nodes(df, key)
         for t, a, b in rels:
-            if (df := _table(spark, f"{path}/rels/{t}/{a}-{b}")) is not None:
+            if (df := table_at(spark, f"{path}/rels/{t}/{a}-{b}")) is not None:
                 out.rels[t, a, b] = df
         return out
 
 
-def _table(spark: SparkSession, path: str) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
 def _ends(rows: DataFrame, graph: PropertyGraph, m: RelationshipMapping, coerce: bool) -> list[tuple[Column, DataFrame] | None]:
     """For both endpoints: what a row is joined by and the keys to join, or None where nothing can match."""
     out: list[tuple[Column, DataFrame] | None] = []

@@ -32,6 +32,7 @@ from weftgraph.operators.hooks import run_hook
 from weftgraph.operators.schema import violations
 from weftgraph.operators.validation import Validated, with_errors
 from weftgraph.sources import read_source
+from weftgraph.sources.paths import file_system
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -469,7 +470,8 @@ def _(spark, sf_dir):
 
 def _folder(spark: SparkSession, path: str) -> str:
     """A folder with a table's files, as streams read folders; a single file is copied to one."""
-    if spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)).isDirectory():
+    fs, p = file_system(spark, path)
+    if fs.getFileStatus(p).isDirectory():
         return path
     copy = f"{_scratch(spark)}/in"
     spark.read.parquet(path).write.parquet(copy)

@@ -27,6 +27,7 @@ from weftgraph.operators import hooks, schema
 from weftgraph.operators.validation import ERRORS, Validated, validate, with_errors
 from weftgraph.resilience import RETRYABLE, healthy, retry
 from weftgraph.sources import read_source
+from weftgraph.sources.paths import file_system
 
 log = logging.getLogger(__name__)
 
@@ -279,8 +280,8 @@ class Job:
     def write(self, out: str) -> None:
         """Complete the tables beside the current ones, then swap: a lost job leaves `current`, or else `previous`."""
         graph, new, old = self.result.graph, f"{out}/next", f"{out}/current"
+        fs, _ = file_system(self.spark, out)
         path = self.spark._jvm.org.apache.hadoop.fs.Path
-        fs = path(out).getFileSystem(self.spark._jsc.hadoopConfiguration())
         fs.delete(path(new), True)
         order = schema.layout(self.cfg.graph_schema)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from weftgraph.config import NodeMapping
 from weftgraph.operators.graph import merge, project_nodes
 from weftgraph.operators.validation import ERRORS, with_errors
+from weftgraph.sources.paths import table_at
 
 
 BUCKET = "bucket"
@@ -31,7 +31,7 @@ def merge_stream(stream: DataFrame, mapping: NodeMapping, path: str, checkpoint:
         new = new.where(F.col(f"`{mapping.key}`").isNotNull()).persist()
         try:
             touched = [r[0] for r in new.select(BUCKET).distinct().collect()]  # at most `buckets` numbers
-            old = _table(batch, path)
+            old = table_at(batch.sparkSession, path)
             parts = [new] if old is None else [old.where(F.col(BUCKET).isin(touched)), new]
             merged = merge(parts, [mapping.key, BUCKET])
             merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
@@ -41,13 +41,6 @@ def merge_stream(stream: DataFrame, mapping: NodeMapping, path: str, checkpoint:
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(put).start()
 
 
-def _table(df: DataFrame, path: str) -> DataFrame | None:
-    try:
-        return df.sparkSession.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
 def windowed_counts(stream: DataFrame, time: str, by: list[str], width: str, lateness: str, slide: str | None = None) -> DataFrame:
     """Rows by event-time window and columns; rows later than the watermark are left out.
 
