@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from weftgraph.config import IdGenerationConfig, TransformConfig, ValidationConfig, ValidationRuleConfig
 from weftgraph.functions.ids import generate_id
 from weftgraph.functions.transforms import apply_chain
-from weftgraph.operators.validation import Validated, validate, with_errors
+from weftgraph.operators.validation import apply_rules, validate
 from weftgraph.registry import Registry, transform_registry
 
 TEXTS = ["3.7", " 42 ", "1_000", "1__0", "", "  ", "+5", "1.5d", "1.5f", "0x1p3", "+inf", "nan", "1e3", "1_0.5", "x", "True", "yes", "Y", "\t a ", "\u001cq ", "ß", "😀a", None, "2024-1-5", "-7", ".5", "5.", "Infinity"]
@@ -129,15 +129,17 @@ RULES = [("required", {}), ("type", {"expected": "int"}), ("type", {"expected":
 def test_rules(spark, rule, params):
     for values, kind in ((TEXTS, T.StringType()), (DOUBLES, T.DoubleType()), ([1, 5, 9, None], T.LongType()), ([True, False, None], T.BooleanType())):
         df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], T.StructType([T.StructField("i", T.LongType()), T.StructField("v", kind)]))
-        got = {r.i for r in with_errors(df, [ValidationRuleConfig(field="v", rule=rule, params=params)]).collect() if r["_errors"]}
-        assert got == {i for i, v in enumerate(values) if py_check(v, rule, params)}, kind
+        v = apply_rules(df, [ValidationRuleConfig(field="v", rule=rule, params=params)])
+        got = {r.i for r in v.checked.collect() if r["_errors"]}
+        assert got == {i for i, x in enumerate(values) if py_check(x, rule, params)}, kind
+        assert {r.i for r in v.valid.collect()} == set(range(len(values))) - got
 
 
 def test_strategies(spark):
     rows = [(1, "Alice", "alice@example.com", "30"), (2, "", "bad-email", "25"), (None, "Charlie", "c@example.com", "200")]
     df = spark.createDataFrame(rows, "id int, name string, email string, age string").coalesce(1)
     rules = [ValidationRuleConfig(field="name", rule="required"), ValidationRuleConfig(field="email", rule="regex", params={"pattern": "[^@]+@"}, message="bad mail"), ValidationRuleConfig(field="age", rule="max", params={"value": 150})]
-    v = Validated(with_errors(df, rules))
+    v = apply_rules(df, rules)
     assert [r.id for r in v.valid.collect()] == [1]
     rejects = sorted(v.rejects().collect(), key=lambda r: r.record_index)
     assert [r.errors for r in rejects] == [["Field 'name' is required", "bad mail"], ["Field 'age' above maximum 150"]]

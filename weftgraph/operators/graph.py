@@ -33,7 +33,7 @@ def with_sequence(df: DataFrame) -> DataFrame:
         return df
     row = F.monotonically_increasing_id()
     plan = df._jdf.queryExecution().analyzed() if hasattr(df, "_jdf") else None
-    if plan is not None and "_metadata" in plan.metadataOutput().mkString(","):  # a file scan
+    if plan is not None and plan.metadataOutput().mkString(",").count("_metadata") == 1:  # of one file scan
         return df.withColumn(SEQ, F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), row.alias("r")))
     return df.withColumn(SEQ, F.struct(F.lit("").alias("f"), F.lit(0).cast("long").alias("b"), row.alias("r")))
 
@@ -118,8 +118,16 @@ def _family(kind: T.DataType) -> type:
 
 @dataclass
 class Nodes:
+    """Merged nodes; `found`, where it is known, are unmerged rows that hold the same keys."""
+
     df: DataFrame
     key: str
+    found: DataFrame | None = None
+
+    @property
+    def keys(self) -> DataFrame:
+        """The distinct keys: a smaller plan than that of the merge, which need not run for them."""
+        return self.df.select(self.key) if self.found is None else self.found.where(F.col(f"`{self.key}`").isNotNull()).distinct()
 
 
 @dataclass
@@ -182,15 +190,16 @@ def _ends(rows: DataFrame, graph: PropertyGraph, m: RelationshipMapping, coerce:
             log.warning("relationship %s refers to label %s, which has no nodes", m.rel_type, label)
             out.append(None)
             continue
-        x, k = F.col(end), column(nodes.df, key)
-        kinds = type_of(rows, x), type_of(nodes.df, k)
+        known = nodes.keys if key == nodes.key else nodes.df
+        x, k = F.col(end), column(known, key)
+        kinds = type_of(rows, x), type_of(known, k)
         if _family(kinds[0]) is not _family(kinds[1]):
             if not coerce:
                 log.warning("%s.%s is %s, but %s is %s: nothing matches", label, key, kinds[1].simpleString(), end, kinds[0].simpleString())
                 out.append(None)
                 continue
             x, k = pystr(x, kinds[0]), pystr(k, kinds[1])
-        out.append((x, nodes.df.select(k.alias("__key"))))
+        out.append((x, known.select(k.alias("__key"))))
     return out
 
 
@@ -211,14 +220,15 @@ def matched(rows: DataFrame, graph: PropertyGraph, m: RelationshipMapping, coerc
 
 def merge_nodes(graph: PropertyGraph, label: str, key: str, projections: Sequence[DataFrame]) -> None:
     """Merge projections of one label, in order, into what the graph already holds."""
-    old = [graph.nodes[label].df] if label in graph.nodes else []
-    graph.nodes[label] = Nodes(merge([*old, *projections], [key]), key)
+    rows = _one_type([*([graph.nodes[label].df] if label in graph.nodes else []), *projections])
+    found = reduce(lambda a, b: a.unionByName(b), [r.select(key) for r in rows])
+    graph.nodes[label] = Nodes(merge(rows, [key]), key, found)
 
 
 def merge_rels(graph: PropertyGraph, m: RelationshipMapping, projections: Sequence[DataFrame], coerce: bool = False) -> None:
     at = (m.rel_type, m.from_label, m.to_label)
     old = [graph.rels[at]] if at in graph.rels else []
-    graph.rels[at] = merge([*old, *[matched(p, graph, m, coerce) for p in projections]], [SRC, DST])
+    graph.rels[at] = merge([*old, *[matched(with_sequence(p), graph, m, coerce) for p in projections]], [SRC, DST])
 
 
 def dangling_rels(graph: PropertyGraph, m: RelationshipMapping, projection: DataFrame, coerce: bool = False) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import re
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -60,15 +61,15 @@ def _one_of_fails(x: Column, kind: T.DataType, values: list[Any]) -> Column:
     return F.lit(True)
 
 
-def check(df: DataFrame, rule: ValidationRuleConfig) -> Column:
-    """The message of a rule where it fails, else null. Unknown rules pass."""
+def failure(df: DataFrame, rule: ValidationRuleConfig) -> tuple[Column, Column] | None:
+    """Where a rule fails (never null) and its message there. Unknown rules pass and give None."""
     x = column(df, rule.field)
     kind = type_of(df, x)
     text, field, p = pystr(x, kind), rule.field, rule.params
     message: Any = None
     if rule.rule == "required":
         fails = x.isNull() | (x == "") if isinstance(kind, T.StringType) else x.isNull()
-        return F.when(fails, rule.message or f"Field '{field}' is required")
+        return fails, F.lit(rule.message or f"Field '{field}' is required")
     if rule.rule == "type" and (expected := p.get("expected", "str")) in EXPECTED:
         fails = _type_fails(x, kind, expected)
         named = PYTHON_TYPES.get(kind.simpleString(), "int" if isinstance(kind, T.IntegralType) else "Decimal" if isinstance(kind, T.DecimalType) else "dict")
@@ -85,41 +86,54 @@ def check(df: DataFrame, rule: ValidationRuleConfig) -> Column:
         fails = _one_of_fails(x, kind, values)
         message = F.concat(F.lit(f"Field '{field}' must be one of {values}, got '"), text, F.lit("'"))
     else:
-        return F.lit(None).cast("string")
-    if rule.message:
-        message = rule.message
-    return F.when(x.isNotNull() & F.coalesce(fails, F.lit(False)), message)
-
-
-def with_errors(df: DataFrame, rules: list[ValidationRuleConfig]) -> DataFrame:
-    """`df` with `_errors`, the messages of all failed rules in rule order."""
-    found = F.array(*[check(df, r) for r in rules]) if rules else F.array().cast("array<string>")
-    return df.withColumn(ERRORS, F.filter(found, lambda m: m.isNotNull()))
+        return None
+    message = rule.message or message
+    return x.isNotNull() & F.coalesce(fails, F.lit(False)), F.lit(message) if isinstance(message, str) else message
 
 
 @dataclass
 class Validated:
-    """All rows with their errors; valid rows and rejects are filters of it."""
+    """Rows and what each rule makes of them.
+
+    Valid rows are a filter of plain predicates, which stays in generated code; messages
+    are made only where rejects are asked for.
+    """
+
+    df: DataFrame
+    failures: list[tuple[Column, Column]]
 
-    checked: DataFrame
+    @property
+    def bad(self) -> Column:
+        return reduce(lambda a, b: a | b, [f for f, _ in self.failures], F.lit(False))
 
     @property
     def valid(self) -> DataFrame:
-        return self.checked.where(F.size(ERRORS) == 0).drop(ERRORS)
+        return reduce(lambda d, f: d.where(~f[0]), self.failures, self.df)
+
+    @property
+    def checked(self) -> DataFrame:
+        """All rows with `_errors`, the messages of all failed rules in rule order."""
+        found = [F.when(f, m) for f, m in self.failures]
+        errors = F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+        return self.df.withColumn(ERRORS, errors)
 
     def rejects(self, order: Column | None = None) -> DataFrame:
-        """(record_index, record, errors); the index orders the source, without a gap for each file only."""
-        names = [c for c in self.checked.columns if c != ERRORS]
+        """(record_index, record, errors); the index orders the rows of a source."""
+        names = self.df.columns
         index = order if order is not None else F.monotonically_increasing_id()
         rows = self.checked.withColumn("record_index", index).where(F.size(ERRORS) > 0)
         return rows.select("record_index", F.struct(*[F.col(f"`{c}`") for c in names]).alias("record"), F.col(ERRORS).alias("errors"))
 
 
+def apply_rules(df: DataFrame, rules: list[ValidationRuleConfig]) -> Validated:
+    return Validated(df, [f for r in rules if (f := failure(df, r)) is not None])
+
+
 def validate(df: DataFrame, cfg: ValidationConfig | None) -> Validated | None:
     """None without rules. Strategy `fail` raises at the first failed record, with one small job."""
     if cfg is None or not cfg.rules:
         return None
-    out = Validated(with_errors(df, cfg.rules))
+    out = apply_rules(df, cfg.rules)
     if cfg.on_error == "fail":
         first = out.rejects().orderBy("record_index").limit(1).collect()
         if first:

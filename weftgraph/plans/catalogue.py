@@ -30,7 +30,7 @@ from weftgraph.functions.transforms import apply_chain
 from weftgraph.operators import graph as g
 from weftgraph.operators.hooks import run_hook
 from weftgraph.operators.schema import violations
-from weftgraph.operators.validation import Validated, with_errors
+from weftgraph.operators.validation import Validated, apply_rules
 from weftgraph.sources import read_source
 from weftgraph.sources.paths import file_system
 
@@ -191,7 +191,7 @@ _transform("xf_chain", "customer", "c_custkey", "t", "upper(c_name) || '!'", [{"
 def _rule(name: str, table: str, cols: list[str], where: str, **rule) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = _table(spark, sf_dir, table)
-        return Validated(with_errors(df, [ValidationRuleConfig(**rule)])).valid.select(*cols)
+        return apply_rules(df, [ValidationRuleConfig(**rule)]).valid.select(*cols)
 
     query(name, f"SELECT {', '.join(cols)} FROM {table} WHERE {where}")(run)
 
@@ -211,8 +211,8 @@ _RULES = [
 ]
 
 
-def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_errors(_table(spark, sf_dir, "orders"), [ValidationRuleConfig(**r) for r in _RULES])
+def _checked(spark: SparkSession, sf_dir: str) -> Validated:
+    return apply_rules(_table(spark, sf_dir, "orders"), [ValidationRuleConfig(**r) for r in _RULES])
 
 
 _ERRORS_SQL = """concat_ws('; ', CASE WHEN o_totalprice > 200000 THEN 'too dear' END,
@@ -221,12 +221,12 @@ _ERRORS_SQL = """concat_ws('; ', CASE WHEN o_totalprice > 200000 THEN 'too dear'
 
 @query("vr_all_errors", f"SELECT o_orderkey, {_ERRORS_SQL} AS errors FROM orders")
 def _(spark, sf_dir):
-    return _checked(spark, sf_dir).select("o_orderkey", F.array_join("_errors", "; ").alias("errors"))
+    return _checked(spark, sf_dir).checked.select("o_orderkey", F.array_join("_errors", "; ").alias("errors"))
 
 
 @query("vr_dead_letter", f"SELECT o_orderkey, o_custkey, {_ERRORS_SQL} AS errors FROM orders WHERE o_totalprice > 200000 OR o_orderstatus NOT IN ('F', 'O')")
 def _(spark, sf_dir):
-    return Validated(_checked(spark, sf_dir)).rejects().select("record.o_orderkey", "record.o_custkey", F.array_join("errors", "; ").alias("errors"))
+    return _checked(spark, sf_dir).rejects().select("record.o_orderkey", "record.o_custkey", F.array_join("errors", "; ").alias("errors"))
 
 
 # Ids

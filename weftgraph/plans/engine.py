@@ -24,7 +24,7 @@ from weftgraph.config import IngestConfig, NodeMapping, RelationshipMapping, Val
 from weftgraph.metrics import JobMetrics, StepMetric, track_step
 from weftgraph.operators import graph as g
 from weftgraph.operators import hooks, schema
-from weftgraph.operators.validation import ERRORS, Validated, validate, with_errors
+from weftgraph.operators.validation import Validated, apply_rules, validate
 from weftgraph.resilience import RETRYABLE, healthy, retry
 from weftgraph.sources import read_source
 from weftgraph.sources.paths import file_system
@@ -32,9 +32,9 @@ from weftgraph.sources.paths import file_system
 log = logging.getLogger(__name__)
 
 
-def counts() -> tuple[Column, Column]:
-    """What is counted of checked rows."""
-    return F.count(F.lit(1)).alias("n"), F.count_if(F.size(ERRORS) > 0).alias("bad")
+def counts(bad: Column) -> tuple[Column, Column]:
+    """What is counted of rows of which some are bad."""
+    return F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad")
 
 
 @dataclass
@@ -125,11 +125,10 @@ class Job:
         df = self.sources[source]
         if not df.columns:
             return df, None
-        df = g.with_sequence(df)
         v = validate(df, rules)
         if v is None:
             return df, None
-        self.result.dead_letters[name] = v.rejects(F.col(g.SEQ)["r"]).withColumn("record", F.col("record").dropFields(g.SEQ))
+        self.result.dead_letters[name] = v.rejects()
         return v.valid, v
 
     def count(self, step: StepMetric, df: DataFrame, v: Validated | None) -> None:
@@ -137,22 +136,21 @@ class Job:
         if v is None:
             step.records_processed = df.count() if df.columns else 0
             return
-        row = v.checked.agg(*counts()).first()
+        row = v.df.agg(*counts(v.bad)).first()
         step.records_processed, step.records_failed = row.n - row.bad, row.bad
         self.result.records_skipped += row.bad
 
     def observed(self, step: StepMetric, df: DataFrame, v: Validated | None) -> tuple[DataFrame, Callable[[], None]]:
         """The valid rows, and what to call after the write that reads them to have their counts."""
         seen = Observation()
-        rows = df.withColumn(ERRORS, F.array().cast("array<string>")) if v is None else v.checked
-        rows = rows.observe(seen, *counts())
+        rows = (df if v is None else v.df).observe(seen, *counts(F.lit(False) if v is None else v.bad))
 
         def take() -> None:
             n, bad = seen.get["n"], seen.get["bad"]
             step.records_processed, step.records_failed = n - bad, bad
             self.result.records_skipped += bad
 
-        return rows.where(F.size(ERRORS) == 0).drop(ERRORS), take
+        return rows if v is None else Validated(rows, v.failures).valid, take
 
     def taken(self, name: str, m: NodeMapping | RelationshipMapping, made: dict[str, int], kind: str) -> tuple[DataFrame, Callable[[], None]]:
         """The valid rows of a mapping. They are counted now, or with the write where there is an output."""
@@ -246,7 +244,7 @@ class Job:
                 with track_step(self.metrics.add_step(f"validate:{m.source}")) as step:
                     df = self.sources[m.source]
                     if df.columns:
-                        self.count(step, df, Validated(with_errors(df, m.validation.rules)))
+                        self.count(step, df, apply_rules(df, m.validation.rules))
         self.result.records_skipped = 0
 
     def run(self, dry_run: bool, pre: Iterable[Callable], post: Iterable[Callable]) -> IngestResult:

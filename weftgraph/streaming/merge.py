@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from weftgraph.config import NodeMapping
 from weftgraph.operators.graph import merge, project_nodes
-from weftgraph.operators.validation import ERRORS, with_errors
+from weftgraph.operators.validation import apply_rules
 from weftgraph.sources.paths import table_at
 
 
@@ -25,7 +25,7 @@ def merge_stream(stream: DataFrame, mapping: NodeMapping, path: str, checkpoint:
     def put(batch: DataFrame, _: int) -> None:
         rows = batch
         if mapping.validation and mapping.validation.rules:
-            rows = with_errors(batch, mapping.validation.rules).where(F.size(ERRORS) == 0).drop(ERRORS)
+            rows = apply_rules(batch, mapping.validation.rules).valid
         bucket = F.pmod(F.xxhash64(F.col(f"`{mapping.key}`").cast("string")), F.lit(buckets)).cast("int")
         new = project_nodes(rows, mapping).withColumn(BUCKET, bucket)
         new = new.where(F.col(f"`{mapping.key}`").isNotNull()).persist()
