@@ -42,12 +42,17 @@ def _regex_fails(text: Column, pattern: str) -> Column:
 
 
 def _bound_fails(x: Column, kind: T.DataType, value: Any, low: bool) -> Column:
+    """Plain comparisons for numbers, which readers can push down; NaN passes both bounds, as in Python."""
     try:
         bound = float(value)
     except (TypeError, ValueError):
         return F.lit(False)
     n = try_float(x, kind)
-    return ~F.isnan(n) & ((n < bound) if low else (n > bound))
+    if low:
+        fails = n < bound  # NaN is the greatest value, so never below
+    else:
+        fails = (n > bound) & ~F.isnan(n) if isinstance(kind, (T.StringType, T.DoubleType, T.FloatType)) else n > bound
+    return fails if isinstance(kind, (T.NumericType, T.BooleanType)) else F.coalesce(fails, F.lit(False))
 
 
 def _one_of_fails(x: Column, kind: T.DataType, values: list[Any]) -> Column:
@@ -88,7 +93,7 @@ def failure(df: DataFrame, rule: ValidationRuleConfig) -> tuple[Column, Column]
     else:
         return None
     message = rule.message or message
-    return x.isNotNull() & F.coalesce(fails, F.lit(False)), F.lit(message) if isinstance(message, str) else message
+    return x.isNotNull() & fails, F.lit(message) if isinstance(message, str) else message
 
 
 @dataclass

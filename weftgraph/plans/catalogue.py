@@ -279,7 +279,7 @@ def _(spark, sf_dir):
 
 @query("node_merge_multi", "SELECT coalesce(c.c_custkey, o.k) AS custkey, c.c_name AS name, lower(c.c_mktsegment) AS segment FROM customer c FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders) o ON c.c_custkey = o.k")
 def _(spark, sf_dir):
-    rows = [g.project_nodes(g.with_sequence(_table(spark, sf_dir, m.source)), m) for m in (CUSTOMER, BUYER)]
+    rows = [g.project_nodes(_table(spark, sf_dir, m.source), m) for m in (CUSTOMER, BUYER)]
     return g.merge(rows, ["custkey"])
 
 
@@ -289,8 +289,8 @@ def _shop(spark: SparkSession, sf_dir: str, few: bool = False) -> g.PropertyGrap
     customers = _table(spark, sf_dir, "customer")
     if few:
         customers = customers.where("c_mktsegment = 'BUILDING'")
-    orders = g.with_sequence(_table(spark, sf_dir, "orders"))
-    g.merge_nodes(out, "Customer", "custkey", [g.project_nodes(g.with_sequence(customers), CUSTOMER)])
+    orders = _table(spark, sf_dir, "orders")
+    g.merge_nodes(out, "Customer", "custkey", [g.project_nodes(customers, CUSTOMER)])
     g.merge_nodes(out, "Order", "orderkey", [g.project_nodes(orders, ORDER)])
     g.merge_rels(out, PLACED, [g.project_rels(orders, PLACED)])
     return out
@@ -307,8 +307,8 @@ def _(spark, sf_dir):
     part = NodeMapping(source="part", label="Part", key="partkey", properties=[_prop("p_partkey", "partkey")])
     has = RelationshipMapping(source="lineitem", rel_type="HAS", from_label="Order", from_key="orderkey", from_field="l_orderkey", to_label="Part", to_key="partkey", to_field="l_partkey")
     for m, t in ((ORDER, "orders"), (part, "part")):
-        g.merge_nodes(out, m.label, m.key, [g.project_nodes(g.with_sequence(_table(spark, sf_dir, t)), m)])
-    g.merge_rels(out, has, [g.project_rels(g.with_sequence(_table(spark, sf_dir, "lineitem")), has)])
+        g.merge_nodes(out, m.label, m.key, [g.project_nodes(_table(spark, sf_dir, t), m)])
+    g.merge_rels(out, has, [g.project_rels(_table(spark, sf_dir, "lineitem"), has)])
     return out.rel("HAS")
 
 
