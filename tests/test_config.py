@@ -68,6 +68,19 @@ def test_ddl():
     assert [h.description.split()[0] for h in hooks] == ["unique", "range"]
 
 
+def test_ddl_is_read_back():
+    from weftgraph.operators.schema import parse_ddl
+
+    for c in (SchemaConstraint(label="P", property=["a", "b"]), SchemaConstraint(label="P", property=["a"], type="exists"), SchemaConstraint(label="P", property=["a"], type="node_key", name="k")):
+        got = parse_ddl(c.to_cypher())
+        assert (got.label, got.properties, got.type, got.constraint_name) == (c.label, c.properties, c.type, c.constraint_name)
+    for i in (SchemaIndex(label="P", properties=["a", "b"]), SchemaIndex(label="P", properties=["a"], type="btree"), SchemaIndex(label="P", properties=["a"], type="fulltext")):
+        got = parse_ddl(i.to_cypher())
+        assert (got.label, got.properties, got.type, got.index_name) == (i.label, i.properties, i.type, i.index_name)
+    assert parse_ddl("CREATE CONSTRAINT IF NOT EXISTS FOR (p:P) REQUIRE p.a IS UNIQUE").constraint_name == "p_a_unique"
+    assert parse_ddl("MATCH (n) RETURN n") is None
+
+
 def test_sheet(tmp_path):
     path = tmp_path / "m.csv"
     path.write_text(SHEET)

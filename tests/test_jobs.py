@@ -89,6 +89,21 @@ def test_failures(spark, tmp_path):
         run(IngestConfig.model_validate(broken), spark=spark)
 
 
+def test_schema_statements_in_hooks_are_checked(spark, tmp_path):
+    hook = {"cypher": "CREATE CONSTRAINT IF NOT EXISTS FOR (p:Person) REQUIRE p.phone IS NOT NULL"}
+    with pytest.raises(ValueError, match="person_phone_exists"):
+        run(IngestConfig.model_validate(job(tmp_path, pre_hooks=[hook])), spark=spark)
+
+
+def test_external_sink(spark, tmp_path, monkeypatch):
+    from weftgraph.plans import engine
+
+    sent = []
+    monkeypatch.setattr(engine, "write_external", lambda df, statement, fmt, *_: sent.append((sorted(df.columns), statement[:14], fmt)))
+    run(IngestConfig.model_validate(job(tmp_path, settings={"external_format": "some.Connector"})), spark=spark)
+    assert sent == [(["email", "emp_id", "name", "phone"], "MERGE (n:Perso", "some.Connector"), (["dept_id", "name"], "MERGE (n:Depar", "some.Connector"), (["from_val", "title", "to_val"], "MATCH (a:Perso", "some.Connector")]
+
+
 def test_dry_run_and_cli(spark, tmp_path, capsys):
     (tmp_path / "j.json").write_text(json.dumps(job(tmp_path)))
     out = run(IngestConfig.model_validate(job(tmp_path)), dry_run=True, spark=spark)
@@ -240,3 +255,50 @@ def test_sequence_follows_files(spark, tmp_path):
     seq = g.with_sequence(df)
     assert sorted(tuple(r[g.SEQ])[0].rsplit("/", 1)[-1] for r in seq.collect()) == ["0.csv"] * 2 + ["1.csv"] * 2 + ["2.csv"] * 2
     assert [tuple(r) for r in g.merge([seq], ["k"]).collect()] == [("1", "2b")]
+
+
+@pytest.fixture
+def api():
+    """A server of records 0 to 24: by page, by cursor, with a list at the top, and failing once."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from urllib.parse import parse_qs, urlsplit
+
+    failed = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            url = urlsplit(self.path)
+            q = {k: v[0] for k, v in parse_qs(url.query).items()}
+            size = int(q.get("per_page", 25))
+            if url.path == "/flaky" and not failed:
+                failed.append(1)
+                self.send_response(503)
+                self.end_headers()
+                return
+            at = int(q.get("cursor", 0)) if url.path == "/cursor" else (int(q.get("page", 1)) - 1) * size
+            rows = [{"id": i, "name": f"n{i}", "x": None if i < 20 else {"y": i}} for i in range(at, min(25, at + size))]
+            body = {"data": {"rows": rows}, "meta": {"next": at + size if at + size < 25 else None}}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(rows if url.path == "/top" else body).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_rest_source(spark, api):
+    ids = lambda **c: sorted(r.id for r in read_source(spark, SourceConfig(name="s", type="rest", **c)).collect())
+    every = list(range(25))
+    assert ids(url=f"{api}/top") == every
+    assert ids(url=f"{api}/pages", json_root="data.rows", pagination={"page_size": 10}) == every
+    assert ids(url=f"{api}/pages", json_root="data.rows", pagination={"page_size": 10, "max_pages": 2}) == every[:20]
+    assert ids(url=f"{api}/cursor", json_root="data.rows", pagination={"type": "cursor", "page_size": 7, "next_cursor_path": "meta.next"}, rate_limit={"requests_per_second": 500}) == every
+    assert ids(url=f"{api}/flaky", json_root="data.rows", params={"per_page": 3}) == every[:3]
+    with pytest.raises(KeyError):
+        ids(url=f"{api}/pages", json_root="data.none", pagination={"page_size": 10})

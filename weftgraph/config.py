@@ -225,6 +225,8 @@ class JobSettings(BaseModel):
     spark: SparkSettings = Field(default_factory=SparkSettings)
     #: Where the graph is kept; a second run merges into what is there.
     output_path: str | None = None
+    #: A connector's data source name: projections are also handed to it with their statements.
+    external_format: str | None = None
     coerce_endpoints: bool = False
     strict_keys: bool = False
 

@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.config import SchemaConstraint, SchemaDefinition
+from weftgraph.config import SchemaConstraint, SchemaDefinition, SchemaIndex
 from weftgraph.functions.pyvalues import column
 from weftgraph.operators.graph import PropertyGraph
 
 SORTED = ("range", "btree")
 
 
+_CONSTRAINT = re.compile(r"^\s*CREATE\s+CONSTRAINT\s+(?:(\w+)\s+)??(?:IF\s+NOT\s+EXISTS\s+)?FOR\s*\(\w+:(\w+)\)\s*REQUIRE\s*\(?([\w.,\s]+?)\)?\s+IS\s+(UNIQUE|NOT\s+NULL|NODE\s+KEY)\s*;?\s*$", re.I)
+_INDEX = re.compile(r"^\s*CREATE\s+(?:(TEXT|RANGE|POINT|FULLTEXT)\s+)?INDEX\s+(?:(\w+)\s+)??(?:IF\s+NOT\s+EXISTS\s+)?FOR\s*\(\w+:(\w+)\)\s*ON\s*(?:EACH\s*)?[(\[]([\w.,\s]+)[)\]]\s*;?\s*$", re.I)
+
+
+def parse_ddl(text: str) -> SchemaConstraint | SchemaIndex | None:
+    """A constraint or index from its statement, as hooks may hold them; None for any other text."""
+    names = lambda refs: [r.strip().split(".")[-1] for r in refs.split(",")]
+    if m := _CONSTRAINT.match(text):
+        name, label, refs, kind = m.groups()
+        kind = {"UNIQUE": "unique", "NOT NULL": "exists", "NODE KEY": "node_key"}[" ".join(kind.upper().split())]
+        return SchemaConstraint(label=label, property=names(refs), type=kind, name=name)
+    if m := _INDEX.match(text):
+        kind, name, label, refs = m.groups()
+        return SchemaIndex(label=label, properties=names(refs), type=(kind or "btree").lower(), name=name)
+    return None
+
+
 class ConstraintViolation(ValueError):
     """A graph breaks a constraint."""
 
@@ -41,10 +60,10 @@ def enforce(graph: PropertyGraph, schema: SchemaDefinition) -> None:
             raise ConstraintViolation(f"{c.constraint_name}: {c.type} on {c.label}.{c.properties} is broken, e.g. by {found[0].asDict()}")
 
 
-def layout(schema: SchemaDefinition | None) -> dict[str, list[str]]:
+def layout(schema: SchemaDefinition) -> dict[str, list[str]]:
     """Sort columns for files of a label, from its first range index; other kinds are metadata only."""
     out: dict[str, list[str]] = {}
-    for i in schema.indexes if schema else ():
+    for i in schema.indexes:
         if i.type in SORTED:
             out.setdefault(i.label, i.properties)
     return out

@@ -20,10 +20,11 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.config import IngestConfig, NodeMapping, RelationshipMapping, ValidationConfig, load_config
+from weftgraph.config import IngestConfig, NodeMapping, RelationshipMapping, SchemaConstraint, SchemaDefinition, SchemaHook, SchemaIndex, ValidationConfig, load_config
 from weftgraph.metrics import JobMetrics, StepMetric, track_step
 from weftgraph.operators import graph as g
 from weftgraph.operators import hooks, schema
+from weftgraph.operators.statements import node_statement, rel_statement, write_external
 from weftgraph.operators.validation import Validated, apply_rules, validate
 from weftgraph.resilience import RETRYABLE, healthy, retry
 from weftgraph.sources import read_source
@@ -82,6 +83,7 @@ class Job:
         self.result.metrics = self.metrics
         self.sources: dict[str, DataFrame] = {}
         self.out = cfg.settings.output_path
+        self.schema = cfg.graph_schema.model_copy(deep=True) if cfg.graph_schema else SchemaDefinition()
         self.staged: dict[object, DataFrame] = {}
         self.after_write: list[Callable[[], None]] = []
         self.rel_rows: list[tuple[str, RelationshipMapping, DataFrame]] = []
@@ -184,6 +186,7 @@ class Job:
                 after.append(later)
                 if df.columns:
                     rows.append(g.project_nodes(df, m))
+                    self.send(rows[-1], node_statement(m, "event"))
             if not rows:
                 continue
             if self.cfg.settings.strict_keys:
@@ -199,7 +202,7 @@ class Job:
         """Write merged nodes once, so that joins, constraints and hooks do not merge them again."""
         if self.out:
             graph = self.result.graph
-            graph.write_nodes(label, f"{self.out}/staged", schema.layout(self.cfg.graph_schema).get(label, ()))
+            graph.write_nodes(label, f"{self.out}/staged", schema.layout(self.schema).get(label, ()))
             graph.nodes[label] = g.Nodes(self.spark.read.parquet(f"{self.out}/staged/nodes/{label}"), graph.nodes[label].key)
             self.staged[label] = graph.nodes[label].df
 
@@ -212,6 +215,7 @@ class Job:
             self.after_write.append(later)
             if df.columns:
                 rows = g.project_rels(df, m)
+                self.send(rows, rel_statement(m, "event"))
                 by_type.setdefault((m.rel_type, m.from_label, m.to_label), []).append((m, rows))
                 plain = self.checked(name, m.source, m.validation)[0]
                 self.rel_rows.append((name, m, g.project_rels(plain, m)))
@@ -238,6 +242,26 @@ class Job:
                     self.result.graph = hooks.run_hook(self.result.graph, h)
                 step.records_processed = len(found)
 
+    def check(self) -> None:
+        self.spark.sql("SELECT 1").collect()
+        if self.out:
+            fs, path = file_system(self.spark, self.out)
+            if not fs.mkdirs(path):
+                raise OSError(f"cannot write to {self.out}")
+
+    def statements(self) -> list[SchemaHook]:
+        """Pre-hooks other than schema statements, which join the schema: Spark checks them after the merge."""
+        found = [(h, schema.parse_ddl(h.cypher)) for h in self.cfg.pre_hooks]
+        self.schema.constraints += [d for _, d in found if isinstance(d, SchemaConstraint)]
+        self.schema.indexes += [d for _, d in found if isinstance(d, SchemaIndex)]
+        return [h for h, d in found if d is None]
+
+    def send(self, projection: DataFrame, statement: str) -> None:
+        """Hand a projection to the outside store, if a connector's format is set."""
+        s = self.cfg.settings
+        if s.external_format:
+            retry(write_external, projection.drop(g.SEQ), statement, s.external_format, self.cfg.connection, s.spark.connector_batch_size, s.spark.partitions, max_attempts=s.retry_max_attempts, base_delay=s.retry_base_delay, retryable_exceptions=RETRYABLE)
+
     def dry(self) -> None:
         for m in [*self.cfg.nodes, *self.cfg.relationships]:
             if m.validation and m.validation.rules:
@@ -249,8 +273,8 @@ class Job:
 
     def run(self, dry_run: bool, pre: Iterable[Callable], post: Iterable[Callable]) -> IngestResult:
         cfg, s, out = self.cfg, self.cfg.settings, self.out
-        if s.health_check and not healthy(lambda: self.spark.sql("SELECT 1").collect()):
-            raise ConnectionError("the Spark session does not answer")
+        if s.health_check and not healthy(self.check):
+            raise ConnectionError("the Spark session does not answer, or its output cannot be written")
         self.read(count=dry_run)
         if dry_run:
             self.dry()
@@ -258,14 +282,15 @@ class Job:
         if out:
             known = {m.label: m.key for m in cfg.nodes}
             self.result.graph = g.PropertyGraph.read(self.spark, f"{out}/current", known, [(m.rel_type, m.from_label, m.to_label) for m in cfg.relationships])
-        if cfg.graph_schema:
+        rest = self.statements()
+        if stated := self.schema.to_hooks():
             with track_step(self.metrics.add_step("schema")) as step:
-                step.records_processed = len(cfg.graph_schema.to_hooks())
-        self.run_hooks("pre_hooks", [*cfg.pre_hooks, *pre])
+                step.records_processed = len(stated)
+        self.run_hooks("pre_hooks", [*rest, *pre])
         self.nodes()
-        if cfg.graph_schema:
+        if self.schema.constraints:
             with track_step(self.metrics.add_step("constraints")):
-                schema.enforce(self.result.graph, cfg.graph_schema)
+                schema.enforce(self.result.graph, self.schema)
         self.rels()
         self.run_hooks("post_hooks", [*cfg.post_hooks, *post])
         if out:
@@ -281,7 +306,7 @@ class Job:
         fs, _ = file_system(self.spark, out)
         path = self.spark._jvm.org.apache.hadoop.fs.Path
         fs.delete(path(new), True)
-        order = schema.layout(self.cfg.graph_schema)
+        order = schema.layout(self.schema)
 
         def move(part: str) -> None:
             fs.mkdirs(path(f"{new}/{part}").getParent())
