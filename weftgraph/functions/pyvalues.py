@@ -30,8 +30,12 @@ def strip(text: Column) -> Column:
 def _double_text(x: Column) -> Column:
     """repr() of a float: positional from 1e-4 up to 1e16, else with a two-digit exponent."""
     text = x.cast("string")
+    long = F.length(F.regexp_replace(F.substring_index(text, "E", 1), "[-.]|^-?0[.]0*", ""))
+    for digits in (17, 16):  # the JVM may print more digits than tell the number apart
+        fewer = F.format_string(f"%.{digits - 1}E", x)
+        text = F.when((long > digits) & (fewer.try_cast("double") == x), fewer).otherwise(text)
     sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    mantissa = F.regexp_replace(F.substring_index(text, "E", 1), "^-|[.]0$", "")
+    mantissa = F.regexp_replace(F.substring_index(text, "E", 1), "^-|[.]?0+$", "")
     digits = F.regexp_replace(mantissa, "[.]", "")
     power = F.substring_index(text, "E", -1).cast("int")
     whole = F.concat(F.rpad(digits, F.greatest(F.length(digits), power + 1), F.lit("0")))
