@@ -1,13 +1,18 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
 Benchmark texts and documents are lower-cased over A-Z and cut into words of ASCII
-letters, digits and characters beyond ASCII. Every run of `window` consecutive item
-words (all words of a shorter item) is a pattern of one automaton; each document is
-scanned once, and matches are mapped back to words and to code points of the original.
+letters, digits and characters beyond ASCII. Each word of the benchmark is one symbol,
+so every run of `window` consecutive item words (all words of a shorter item) is a
+pattern of that many symbols; each document becomes a line of symbols, is scanned once,
+and matches are mapped back to words and to code points of the original.
+
+A benchmark above `block_bytes` is taken in blocks, one pass over the documents each, so
+that a worker never holds more than one block's automaton; the passes' hits are then
+united by document.
 
 Defined results: null or wordless text has no words and no hits; a benchmark without
 words marks nothing; repeated items count once; hits of an item with a null id count
-as hit words but not as an item.
+as hit words but not as an item. Spans of several blocks may overlap.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ import hashlib
 import math
 import re
 import uuid
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -23,16 +29,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import map_texts, table
+from weftgraph.llm.common import kept, map_texts, table
 
 WINDOW = 10
-#: UTF-8 bytes of benchmark text that one automaton takes; a larger benchmark is scanned in blocks of this size.
-BLOCK_BYTES = 32_000_000
+#: UTF-8 bytes of benchmark text that one automaton takes: about 10 nodes a word, 130 MB in a worker.
+BLOCK_BYTES = 2_000_000
 
 _KEEP = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz") | frozenset(range(128, 256))
 _TABLE = bytes(b if b in _KEEP else 32 for b in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+_UNKNOWN = "\0"
 
+_PAIRS = T.ArrayType(T.ArrayType(T.LongType()))
 FIELDS = T.StructType(
     [
         T.StructField("n_words", T.LongType()),
@@ -41,7 +49,8 @@ FIELDS = T.StructType(
         T.StructField("items_sha256", T.StringType()),
         T.StructField("contaminated", T.BooleanType()),
         T.StructField("item_ids", T.ArrayType(T.StringType())),
-        T.StructField("hit_spans", T.ArrayType(T.ArrayType(T.LongType()))),
+        T.StructField("hit_spans", _PAIRS),
+        T.StructField("hit_words", _PAIRS),
     ]
 )
 
@@ -50,52 +59,59 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().translate(_TABLE).split()
 
 
-def _joined(parts: list[bytes]) -> str:
-    return (b" " + b" ".join(parts) + b" ").decode("latin-1")
+class Symbols(dict):
+    """A character for each word; words that are not in it are read as _UNKNOWN."""
+
+    def __missing__(self, word: bytes) -> str:
+        return _UNKNOWN
+
+    def learn(self, word: bytes) -> str:
+        if word not in self:
+            code = len(self) + 1
+            self[word] = chr(code if code < 0xD800 else code + 0x800)  # past the surrogates
+        return self[word]
 
 
 def automaton(items: list[tuple[str | None, str | None]], window: int = WINDOW):
-    """The automaton over all windows; each value is (words in it, ids of its items)."""
-    found: dict[str, tuple[int, set]] = {}
+    """(symbols, automaton) over all windows, or None without any; a value is (words in it, ids of its items)."""
+    symbols, found = Symbols(), {}
     for item, text in items:
-        w = words(text)
-        for at in range(max(1, len(w) - window + 1) if w else 0):
-            part = w[at : at + window]
-            found.setdefault(_joined(part), (len(part), set()))[1].add(item)
+        line = "".join([symbols.learn(w) for w in words(text)])
+        for at in range(max(1, len(line) - window + 1) if line else 0):
+            part = line[at : at + window]
+            found.setdefault(part, (len(part), set()))[1].add(item)
     if not found:
         return None
     built = ahocorasick.Automaton()
     for pattern, value in found.items():
         built.add_word(pattern, value)
     built.make_automaton()
-    return built
+    return symbols, built
 
 
-def hits(built, parts: list[bytes]) -> tuple[np.ndarray | None, set]:
-    """Which words lie in an occurrence of a window, and the items that occur."""
+def hits(built, parts: list[bytes]) -> tuple[list[list[int]], set]:
+    """Runs [first, after) of words in occurrences of a window, and the items that occur."""
     if built is None or not parts:
-        return None, set()
-    line = _joined(parts)
-    matches = list(built.iter(line))
+        return [], set()
+    symbols, machine = built
+    matches = list(machine.iter("".join([symbols[w] for w in parts])))
     if not matches:
-        return None, set()
-    spaces = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
-    edge, items = np.zeros(len(parts) + 1, np.int64), set()
-    for end, (n, ids) in matches:
-        last = int(np.searchsorted(spaces, end))  # words 0 .. last-1 end here
-        edge[last - n] += 1
-        edge[last] -= 1
+        return [], set()
+    edge, items = np.zeros(len(parts) + 2, np.int64), set()
+    for last, (n, ids) in matches:
+        edge[last - n + 2] += 1  # shifted by one, so that runs at the start show
+        edge[last + 2] -= 1
         items |= ids
-    return np.cumsum(edge[:-1]) > 0, items
+    inside = (np.cumsum(edge) > 0).astype(np.int8)
+    return np.flatnonzero(np.diff(np.append(inside, 0))).reshape(-1, 2).tolist(), items
 
 
-def spans(text: str, hit: np.ndarray) -> list[list[int]]:
-    """Runs of hit words as [start, end) in code points of the original text."""
+def spans(text: str, runs: list[list[int]]) -> list[list[int]]:
+    """Runs of words as [start, end) in code points of the original text."""
     raw = text.encode("utf-8", "surrogatepass")
     at = [m.span() for m in _WORD.finditer(raw)]
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
     out, seen, chars = [], 0, 0
-    for first, after in edges.reshape(-1, 2):
+    for first, after in runs:
         run = []
         for byte in (at[first][0], at[after - 1][1]):
             chars += len(raw[seen:byte].decode("utf-8", "surrogatepass"))
@@ -108,27 +124,23 @@ def spans(text: str, hit: np.ndarray) -> list[list[int]]:
 _BUILT: dict[str, object] = {}
 
 
-def _scan(key: str, blocks: list, window: int):
-    """A function over texts that runs every block's automaton; built once per worker."""
+def _scan(key: str, block, window: int):
+    """A function over texts that runs one block's automaton; built once per worker."""
 
     def make():
         if key not in _BUILT:
             _BUILT.clear()
-            _BUILT[key] = [automaton(b.value, window) for b in blocks]
+            _BUILT[key] = automaton(block.value, window)
         built = _BUILT[key]
 
         def scan(texts):
             out: dict[str, list] = {f.name: [] for f in FIELDS}
             for text in texts:
                 parts = words(text)
-                hit, items = None, set()
-                for one in built:
-                    more, ids = hits(one, parts)
-                    items |= ids
-                    hit = more if hit is None else hit if more is None else hit | more
+                runs, items = hits(built, parts)
                 ids = sorted({str(i) for i in items if i is not None})
-                n = 0 if hit is None else int(hit.sum())
-                row = (len(parts), n, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), n > 0, ids, [] if hit is None else spans(text, hit))
+                n = sum(b - a for a, b in runs)
+                row = (len(parts), n, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), n > 0, ids, spans(text, runs) if runs else [], runs)
                 for f, v in zip(FIELDS, row, strict=True):
                     out[f.name].append(v)
             return out
@@ -138,6 +150,18 @@ def _scan(key: str, blocks: list, window: int):
     return make
 
 
+def _united(first: DataFrame, others: list[DataFrame], keys: list[str]) -> DataFrame:
+    """The first block's rows with the hits of the other blocks."""
+    more = reduce(lambda a, b: a.unionByName(b), others)
+    lists = ("item_ids", "hit_spans", "hit_words")
+    more = more.groupBy(*keys).agg(*[F.flatten(F.collect_list(c)).alias(f"__{c}") for c in lists])
+    rows = first.join(more, keys, "left")
+    rows = rows.withColumns({c: F.array_sort(F.array_distinct(F.concat(c, F.coalesce(f"__{c}", F.array().cast(FIELDS[c].dataType))))) for c in lists})
+    inside = F.array_distinct(F.flatten(F.transform("hit_words", lambda r: F.sequence(r[0], r[1] - 1))))
+    rows = rows.withColumns({"n_hit": F.size(inside).cast("long"), "n_items": F.size("item_ids").cast("long"), "items_sha256": F.sha2(F.array_join("item_ids", ","), 256)})
+    return rows.withColumn("contaminated", F.col("n_hit") > 0).drop(*keys, *[f"__{c}" for c in lists])
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -148,20 +172,29 @@ def decontaminate(
     keep: list[str] | None = None,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """`docs` with n_words, n_hit, n_items, items_sha256, contaminated, item_ids, hit_spans.
+    """`docs` with the columns of FIELDS; hit_words are runs [first, after) of word numbers.
 
     The benchmark is a stated query set: its size is measured, and it reaches the
-    executors in blocks of at most about `block_bytes`, each one automaton.
+    executors in blocks of about `block_bytes`.
     """
     sc = docs.sparkSession.sparkContext
     items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("t is not null")
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, math.ceil(size / block_bytes))
-    blocks = []
-    for b in range(n):
+
+    def scan(df: DataFrame, b: int, columns: list[str] | None) -> DataFrame:
         rows = items if n == 1 else items.where(F.pmod(F.xxhash64("t"), F.lit(n)) == b)
-        blocks.append(sc.broadcast([(r.i, r.t) for r in rows.collect()]))
-    return map_texts(docs, text_col, FIELDS, _scan(uuid.uuid4().hex, blocks, window), keep)
+        block = sc.broadcast([(r.i, r.t) for r in rows.collect()])
+        return map_texts(df, text_col, FIELDS, _scan(uuid.uuid4().hex, block, window), columns)
+
+    if n == 1:
+        return scan(docs, 0, keep)
+    # what a text hits depends on nothing else, so its two hashes name it in every pass
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    keys = ["__hash", "__hash2"]
+    keyed = docs.withColumns({"__hash": F.xxhash64(text), "__hash2": F.xxhash64(F.lit(1), text)})
+    others = [kept(scan(keyed, b, keys).where("contaminated").dropDuplicates(keys).select(*keys, "item_ids", "hit_spans", "hit_words")) for b in range(1, n)]
+    return _united(scan(keyed, 0, [*(docs.columns if keep is None else keep), *keys]), others, keys)
 
 
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
