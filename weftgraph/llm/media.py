@@ -117,43 +117,61 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple = ())
         start = stop
 
 
-def index_media(data: bytes) -> dict:
-    """codec, duration in seconds, chunk ranges, sample count, and keyframe ranges (start, end)."""
-    at: dict[bytes, tuple[int, int]] = {}
-    for path, start, end in walk(data):
-        at.setdefault(path[-1], (start, end))  # the first track's
-    none = {"codec": "", "duration": 0.0, "n_samples": 0, "chunks": [], "keyframes": []}
+def _track(data: bytes, at: dict[bytes, tuple[int, int]]) -> dict | None:
+    """One track from the places of its boxes; None where its tables are absent or broken."""
     if not {b"stsd", b"mdhd", b"stsc", b"stsz"} <= at.keys() or not {b"stco", b"co64"} & at.keys():
-        return none
+        return None
     u32 = lambda p: struct.unpack_from(">I", data, p)[0]
-    p = at[b"mdhd"][0]
-    scale, length = struct.unpack_from(">IQ", data, p + 20) if data[p] == 1 else struct.unpack_from(">II", data, p + 12)
-    codec = data[(q := at[b"stsd"][0]) + 12 : q + 16].decode("latin-1")
-    p = at[b"stsz"][0]
-    same, n = u32(p + 4), u32(p + 8)
-    sizes = None if same else struct.unpack_from(f">{n}I", data, p + 12)
-    wide = b"co64" in at
-    p = at[b"co64" if wide else b"stco"][0]
-    count = u32(p + 4)
-    offsets = struct.unpack_from(f">{count}{'Q' if wide else 'I'}", data, p + 8)
-    p = at[b"stsc"][0]
-    runs = [struct.unpack_from(">III", data, p + 8 + 12 * i) for i in range(u32(p + 4))]
-    keys = None
-    if b"stss" in at:
-        p = at[b"stss"][0]
-        keys = set(struct.unpack_from(f">{u32(p + 4)}I", data, p + 8))
+
+    def table(kind: bytes, skip: int, code: str) -> tuple[int, ...]:
+        """The numbers of a counted table, which must lie in its box."""
+        start, end = at[kind]
+        n, width = u32(start + skip), struct.calcsize(">" + code)
+        if start + skip + 4 + n * width > end:
+            raise struct.error("a table is cut off")
+        return struct.unpack_from(f">{n * len(code)}{code[0]}", data, start + skip + 4)
+
+    try:
+        p = at[b"mdhd"][0]
+        scale, length = struct.unpack_from(">IQ", data, p + 20) if data[p] == 1 else struct.unpack_from(">II", data, p + 12)
+        codec = data[(q := at[b"stsd"][0]) + 12 : q + 16].decode("latin-1")
+        same = u32(at[b"stsz"][0] + 4)
+        n = u32(at[b"stsz"][0] + 8)
+        sizes = None if same else table(b"stsz", 8, "I")
+        offsets = table(b"co64", 4, "Q") if b"co64" in at else table(b"stco", 4, "I")
+        flat = table(b"stsc", 4, "III")
+        runs = [flat[i : i + 3] for i in range(0, len(flat), 3)]
+        keys = set(table(b"stss", 4, "I")) if b"stss" in at else None
+    except (struct.error, IndexError):
+        return None
     chunks, keyframes, sample = [], [], 0
     for i, (first, per, _) in enumerate(runs):
-        for chunk in range(first, runs[i + 1][0] if i + 1 < len(runs) else count + 1):
+        for chunk in range(first, min(runs[i + 1][0] if i + 1 < len(runs) else len(offsets) + 1, len(offsets) + 1)):
             took = min(per, n - sample)
             lengths = [same] * took if sizes is None else sizes[sample : sample + took]
             ends = list(accumulate(lengths, initial=offsets[chunk - 1]))
             chunks.append((ends[0], ends[-1]))
-            keyframes += [(ends[k], ends[k + 1]) for k in range(took) if keys is None or sample + k + 1 in keys]
-            sample += took
+            keyframes += [(ends[k], ends[k + 1]) for k in range(len(lengths)) if keys is None or sample + k + 1 in keys]
+            sample += len(lengths)
     return {"codec": codec, "duration": length / scale if scale else 0.0, "n_samples": n, "chunks": chunks, "keyframes": keyframes}
 
 
+def tracks(data: bytes) -> list[dict]:
+    """All tracks: codec, duration in seconds, sample count, chunk and keyframe ranges (start, end)."""
+    found: list[dict[bytes, tuple[int, int]]] = []
+    for path, start, end in walk(data):
+        if path[-1] == b"trak":
+            found.append({})
+        elif b"trak" in path and found:
+            found[-1].setdefault(path[-1], (start, end))
+    return [t for t in (_track(data, at) for at in found) if t is not None]
+
+
+def index_media(data: bytes) -> dict:
+    """The first track, or one without samples."""
+    return next(iter(tracks(data)), {"codec": "", "duration": 0.0, "n_samples": 0, "chunks": [], "keyframes": []})
+
+
 def payload_of(data: bytes, index: dict) -> bytes:
     return b"".join(data[a:b] for a, b in index["chunks"])
 
@@ -182,6 +200,34 @@ def media_columns(docs: DataFrame, text_col: str = "text", keep: list[str] | Non
     return map_texts(docs, text_col, FIELDS, _store, keep)
 
 
+TRACKS = T.StructType(
+    [
+        T.StructField(
+            "tracks",
+            T.ArrayType(T.StructType([T.StructField("codec", T.StringType()), T.StructField("duration_s", T.DoubleType()), T.StructField("n_samples", T.LongType()), T.StructField("keyframe_ranges", T.ArrayType(T.ArrayType(T.LongType())))])),
+        )
+    ]
+)
+
+
+def _index_files():
+    def index(files):
+        def one(f):
+            return [{"codec": t["codec"], "duration_s": t["duration"], "n_samples": t["n_samples"], "keyframe_ranges": [list(k) for k in t["keyframes"]]} for t in tracks(bytes(f or b""))]
+
+        return {"tracks": [one(f) for f in files]}
+
+    return index
+
+
+def index_files(files: DataFrame, content_col: str = "content", keep: list[str] | None = None) -> DataFrame:
+    """`files` with `tracks` of each ISO media file in a binary column; no payload is decoded or kept.
+
+    Null, empty and broken files have no tracks.
+    """
+    return map_texts(files, content_col, TRACKS, _index_files, keep)
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media_columns(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
