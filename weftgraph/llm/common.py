@@ -14,6 +14,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows that a Python function sees at once, whatever the size of the Arrow batch.
 SLICE = 512
+#: Bytes of an Arrow batch on its way to Python: both sides of every core hold a few of these.
+BATCH_BYTES = 16 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +48,17 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on Arrow batches to BATCH_BYTES, where it is higher.
+
+    A batch of rows as such may hold a few very long texts; the bound is read when a plan
+    starts, so it can only be set for the session.
+    """
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def map_texts(
     df: DataFrame,
     text_col: str,
@@ -58,6 +72,7 @@ def map_texts(
     null) to one list per new field. `keep` names the input columns to return (all by
     default). An input column whose name clashes with a new one is replaced by it.
     """
+    small_batches(df.sparkSession)
     new = {f.name.lower() for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
     inner = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("__text"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import checkpointed, map_texts, table
+from weftgraph.llm.common import checkpointed, map_texts, small_batches, table
 from weftgraph.llm.decontam import words
 
 SIDE, BASE, HIDDEN = 2, 32, 32
@@ -46,6 +46,7 @@ _OFFSETS = [j for j in range(-SIDE, SIDE + 1) if j]
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n) over all documents; counts are combined in each task before the shuffle."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         held: Counter = Counter()
@@ -174,6 +175,7 @@ def _merge(packed) -> tuple[int, dict]:
 
 def fit(docs: DataFrame, vocab: dict[bytes, int], text_col: str = "text") -> dict[str, np.ndarray]:
     """The network, trained on every STRIDE-th position of every document."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def train(batches):
