@@ -26,7 +26,7 @@ from weftgraph.llm.boost import Boosted, fit
 from weftgraph.llm.common import map_texts, table
 
 FIELDS = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-TREES, DEPTH, PAGES, SEED = 60, 4, 900, 13
+TREES, DEPTH, PAGES, SEED = 80, 5, 1500, 13
 
 # Element names of the HTML standard, by their part in parsing.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -324,31 +324,63 @@ def made_page(rng: random.Random) -> str:
     def ad():
         return rng.choice([f'<div{name("ad", "ads", "advert", "banner", "sponsored", "promo-box", "ad-slot")}>{prose(3)}</div>', f'<aside{name("promo", "ad")}><p>{prose(2)}</p></aside>', f'<div class="ad-banner"><a href="x">{sentence(2, 8)}</a></div>'])
 
+    def heading():
+        """One word or more, with or without a full stop."""
+        return sentence(1, 9) if rng.random() < 0.5 else " ".join(word() for _ in range(rng.randint(1, 8))).capitalize()
+
+    def aside():
+        """What stands inside an article but is not its text."""
+        kind = rng.random()
+        if kind < 0.45:
+            return ad()
+        if kind < 0.7:
+            return f'<div{name("share", "social-share", "related", "newsletter-signup")}><p>{sentence(2, 6)}</p><ul>{links(3)}</ul></div>'
+        if kind < 0.85:
+            return f'<div{name("notice", "alert", "notice-box")}>{sentence(2, 12)}</div>'
+        return f"<form><label>{word()}</label><input><p>{sentence(2, 6)}</p><button>{word()}</button></form>"
+
+    def block():
+        """One or more elements of main text."""
+        kind = rng.random()
+        if kind < 0.62:
+            return f'<p data-y="1">{prose() if rng.random() < 0.85 else sentence(1, 4)}' + end("p")
+        if kind < 0.72:
+            return f'<{(t := rng.choice(["h2", "h2", "h3", "h4"]))} data-y="1">{heading()}</{t}>'
+        if kind < 0.79:
+            t = rng.choice(["ul", "ul", "ol"])
+            return f"<{t}>" + "".join(f'<li data-y="1">{sentence(1, 12)}{end("li")}' for _ in range(rng.randint(1, 6))) + f"</{t}>"
+        if kind < 0.83:
+            return f'<blockquote data-y="1">{prose(2)}</blockquote>' if rng.random() < 0.5 else f'<blockquote><p data-y="1">{prose(2)}</p></blockquote>'
+        if kind < 0.87:
+            return "<table>" + "".join(f'<tr><td data-y="1">{word()}</td><td data-y="1">{sentence(1, 4)}</td></tr>' for _ in range(rng.randint(2, 4))) + "</table>"
+        if kind < 0.9:
+            return f'<pre data-y="1">{heading()}</pre>'
+        if kind < 0.93:
+            return f'<figure><img src="a.png"><figcaption data-y="1">{sentence(1, 10)}</figcaption></figure>'
+        if kind < 0.96:
+            return f'<p data-y="1">{sentence()} <a href="/{word()}">{word()} {word()}</a> {sentence()}</p>'
+        return f'<div{rng.choice(["", name("text", "paragraph", "block")])} data-y="1">{prose()}</div>'
+
     def article_parts():
-        title = sentence(3, 10)
-        yield rng.choice([f'<h1 data-y="1">{title}</h1>', f'<h1 data-y="1" class="title">{title}</h1>', f'<h2 data-y="1">{title}</h2>'])
+        title = heading() if rng.random() < 0.7 else sentence(3, 10)
+        tag = rng.choice(["h1", "h1", "h1", "h2"])
+        head = f'<{tag}{rng.choice(["", "", name("title", "headline", "entry-title")])} data-y="1">{title}</{tag}>'
+        if rng.random() < 0.15:
+            head = f'<header>{head}<p class="byline">{word()} {word()}</p></header>' if rng.random() < 0.5 else f"<header>{head}</header>"
+        if rng.random() < 0.95:
+            yield head
         if rng.random() < 0.5:
             yield f'<p data-y="1"><b>{title if rng.random() < 0.6 else prose(2)}<br>'
-        for _ in range(rng.choice([0, 0, 1, 2, 3, 5, 9, 14])):
-            kind = rng.random()
-            if kind < 0.72:
-                yield f'<p data-y="1">{prose()}' + end("p")
-            elif kind < 0.78:
-                yield f'<h2 data-y="1">{sentence(2, 7)}</h2>'
-            elif kind < 0.83:
-                yield "<ul>" + "".join(f'<li data-y="1">{sentence(2, 12)}</li>' for _ in range(rng.randint(2, 6))) + "</ul>"
-            elif kind < 0.87:
-                yield f'<blockquote data-y="1">{prose(2)}</blockquote>'
-            elif kind < 0.9:
-                yield "<table>" + "".join(f'<tr><td data-y="1">{word()}</td><td data-y="1">{sentence(1, 4)}</td></tr>' for _ in range(rng.randint(2, 4))) + "</table>"
-            elif kind < 0.94:
-                yield ad()
-            elif kind < 0.96:
-                yield f'<div{name("share", "social-share", "related", "newsletter-signup")}><p>{sentence(2, 6)}</p><ul>{links(3)}</ul></div>'
-            elif kind < 0.98:
-                yield f'<p data-y="1">{sentence()} <a href="/{word()}">{word()} {word()}</a> {sentence()}</p>'
-            else:
-                yield f'<div{name("text", "paragraph", "block")} data-y="1">{prose()}</div>'
+        n = rng.choice([0, 0, 1, 2, 3, 5, 9, 14])
+        cut = rng.randrange(n + 1) if n > 2 and rng.random() < 0.25 else None
+        for i in range(n):
+            if i == cut:
+                yield rng.choice(["<section>", "<div>", f"<div{name('body', 'text', 'entry')}>"])
+            yield block()
+            if rng.random() < 0.07:
+                yield aside()
+        if cut is not None and cut < n:
+            yield "</section></div>"
 
     def comments():
         one = lambda: f'<{(t := rng.choice(["div", "li", "article", "div"]))}{name("comment", "reply", "comment-body")}><p>{prose(3)}</p></{t}>'
@@ -379,12 +411,14 @@ def made_page(rng: random.Random) -> str:
         after.append(rng.choice([f"<footer>&copy; {word()} &middot; {prose(2)}</footer>", f"<footer><p>{prose(2)}</p><ul>{links(3)}</ul></footer>", f'<div{name("footer", "site-footer")}>&copy; {sentence(2, 8)}</div>']))
     body = "".join(article_parts())
     kind = rng.random()
-    if kind < 0.6:
+    if kind < 0.55:
         body = f'<article{rng.choice(["", "", name("post", "entry", "h-entry")])}>{body}</article>'
-    elif kind < 0.75:
+    elif kind < 0.7:
         body = f"<main>{body}</main>" if rng.random() < 0.5 else f"<main><article>{body}</article></main>"
-    else:
+    elif kind < 0.93:
         body = f'<div{name("content", "article-body", "post", "main-content", "entry-content", "story")}>{body}</div>'
+    else:
+        body = f"<div>{body}</div>"
     if rng.random() < 0.15:
         body = body.rsplit("</", 1)[0] + comments() + "</" + body.rsplit("</", 1)[1]
     inner = "".join(before) + body + "".join(after)
