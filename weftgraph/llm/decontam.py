@@ -1,10 +1,10 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
 Benchmark texts and documents are lower-cased over A-Z and cut into words of ASCII
-letters, digits and characters beyond ASCII. Each word of the benchmark is one symbol,
-so every run of `window` consecutive item words (all words of a shorter item) is a
-pattern of that many symbols; each document becomes a line of symbols, is scanned once,
-and matches are mapped back to words and to code points of the original.
+letters, digits and characters beyond ASCII. Each word of the benchmark has a code of
+WIDTH characters, so every run of `window` consecutive item words (all words of a shorter
+item) is a pattern of that many codes; each document becomes a line of codes, is scanned
+once, and matches are mapped back to words and to code points of the original.
 
 A benchmark above `block_bytes` is taken in blocks, one pass over the documents each, so
 that a worker never holds more than one block's automaton; the passes' hits are then
@@ -22,6 +22,7 @@ import math
 import re
 import uuid
 from functools import reduce
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -32,8 +33,9 @@ from pyspark.sql import types as T
 from weftgraph.llm.common import kept, map_texts, table
 
 WINDOW = 10
-#: UTF-8 bytes of benchmark text that one automaton takes: about 10 nodes a word, 130 MB in a worker.
-BLOCK_BYTES = 2_000_000
+WIDTH = 3
+#: UTF-8 bytes of benchmark text that one automaton takes: about 20 nodes of 40 bytes a word, 130 MB in a worker.
+BLOCK_BYTES = 1_000_000
 
 _KEEP = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz") | frozenset(range(128, 256))
 _TABLE = bytes(b if b in _KEEP else 32 for b in range(256))
@@ -59,48 +61,51 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().translate(_TABLE).split()
 
 
-class Symbols(dict):
-    """A character for each word; words that are not in it are read as _UNKNOWN."""
+def codes(vocabulary: set[bytes]) -> dict[bytes, str]:
+    """WIDTH characters for each word, so that no node of the automaton has many children.
 
-    def __missing__(self, word: bytes) -> str:
-        return _UNKNOWN
-
-    def learn(self, word: bytes) -> str:
-        if word not in self:
-            code = len(self) + 1
-            self[word] = chr(code if code < 0xD800 else code + 0x800)  # past the surrogates
-        return self[word]
+    The first character is of an alphabet of its own, so matches start at words only.
+    """
+    base = max(2, math.ceil(len(vocabulary) ** (1 / WIDTH)))
+    while base**WIDTH < len(vocabulary):
+        base += 1
+    digits = lambda i: ((i // base**k) % base + 1 + base * (k > 0) for k in range(WIDTH))
+    return {w: "".join(map(chr, digits(i))) for i, w in enumerate(sorted(vocabulary))}
 
 
 def automaton(items: list[tuple[str | None, str | None]], window: int = WINDOW):
-    """(symbols, automaton) over all windows, or None without any; a value is (words in it, ids of its items)."""
-    symbols, found = Symbols(), {}
-    for item, text in items:
-        line = "".join([symbols.learn(w) for w in words(text)])
+    """(codes, automaton) over all windows, or None without any; a value is (words in it, ids of its items)."""
+    cut = [(item, words(text)) for item, text in items]
+    code = codes({w for _, line in cut for w in line})
+    found: dict[str, tuple[int, set]] = {}
+    for item, line in cut:
         for at in range(max(1, len(line) - window + 1) if line else 0):
             part = line[at : at + window]
-            found.setdefault(part, (len(part), set()))[1].add(item)
+            found.setdefault("".join(map(code.__getitem__, part)), (len(part), set()))[1].add(item)
     if not found:
         return None
     built = ahocorasick.Automaton()
     for pattern, value in found.items():
         built.add_word(pattern, value)
     built.make_automaton()
-    return symbols, built
+    return code, built
 
 
 def hits(built, parts: list[bytes]) -> tuple[list[list[int]], set]:
     """Runs [first, after) of words in occurrences of a window, and the items that occur."""
     if built is None or not parts:
         return [], set()
-    symbols, machine = built
-    matches = list(machine.iter("".join([symbols[w] for w in parts])))
+    code, machine = built
+    read = list(map(code.get, parts, repeat(_UNKNOWN)))
+    matches = list(machine.iter("".join(read)))
     if not matches:
         return [], set()
+    ends = np.cumsum(np.fromiter(map(len, read), np.int64, len(read)))
     edge, items = np.zeros(len(parts) + 2, np.int64), set()
     for last, (n, ids) in matches:
-        edge[last - n + 2] += 1  # shifted by one, so that runs at the start show
-        edge[last + 2] -= 1
+        after = int(np.searchsorted(ends, last)) + 1
+        edge[after - n + 1] += 1  # shifted by one, so that runs at the start show
+        edge[after + 1] -= 1
         items |= ids
     inside = (np.cumsum(edge) > 0).astype(np.int8)
     return np.flatnonzero(np.diff(np.append(inside, 0))).reshape(-1, 2).tolist(), items
