@@ -29,7 +29,7 @@ def strip(text: Column) -> Column:
 
 def _double_text(x: Column) -> Column:
     """repr() of a float: positional from 1e-4 up to 1e16, else with a two-digit exponent."""
-    text = x.cast("string")
+    text = short = x.cast("string")
     long = F.length(F.regexp_replace(F.substring_index(text, "E", 1), "[-.]|^-?0[.]0*", ""))
     for digits in (17, 16):  # the JVM may print more digits than tell the number apart
         fewer = F.format_string(f"%.{digits - 1}E", x)
@@ -43,7 +43,8 @@ def _double_text(x: Column) -> Column:
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(-power - 1, F.lit(0))), digits)
     exponent = F.concat(mantissa, F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(power).cast("string"), F.greatest(F.length(F.abs(power).cast("string")), F.lit(2)), F.lit("0")))
     plain = F.when(power.between(0, 15), big).when(power.between(-4, -1), small).otherwise(exponent)
-    return F.when(F.isnan(x), "nan").when(text == "Infinity", "inf").when(text == "-Infinity", "-inf").when(text.contains("E"), F.concat(sign, plain)).otherwise(text)
+    common = ~short.contains("E") & (F.length(short) <= 17) & ~F.isnan(x) & (F.abs(x) < 1e7)
+    return F.when(common, short).when(F.isnan(x), "nan").when(text == "Infinity", "inf").when(text == "-Infinity", "-inf").when(text.contains("E"), F.concat(sign, plain)).otherwise(text)
 
 
 def pystr(x: Column, kind: T.DataType) -> Column:

@@ -464,7 +464,7 @@ def _(spark, sf_dir):
     path = _path(sf_dir, "events")
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(_folder(spark, path))
     out = _scratch(spark)
-    merge_stream(stream, _LAST.model_copy(update={"key": "event_id", "validation": rules}), f"{out}/t", f"{out}/c").awaitTermination()
+    merge_stream(stream, _LAST.model_copy(update={"key": "event_id", "validation": rules}), f"{out}/t", f"{out}/c", buckets=8).awaitTermination()
     return spark.read.parquet(f"{out}/t").drop("bucket")
 
 
