@@ -48,6 +48,16 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def salted_join(many: DataFrame, one: DataFrame, keys: list[str], by: list[str], salts: int = 8, how: str = "inner") -> DataFrame:
+    """`many` joined with `one`, which has one row a key, so that no key lands in one task.
+
+    Rows of `many` are dealt over `salts` partitions a key by a hash of `by`; `one` is repeated.
+    """
+    one = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    many = many.withColumn("__salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    return many.join(one, [*keys, "__salt"], how).drop("__salt")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Lower the session's bound on Arrow batches to BATCH_BYTES, where it is higher.
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import kept
+from weftgraph.llm.common import kept, salted_join
 
 FINISH = 10_000
 
@@ -60,5 +60,5 @@ def components(links: DataFrame, finish: int = FINISH) -> DataFrame:
     found = edges.coalesce(1).mapInPandas(_finished, "node long, root long")
     while picks:
         later = kept(found).select(F.col("node").alias("root"), F.col("root").alias("last"))
-        found = picks.pop().join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+        found = salted_join(picks.pop(), later, ["root"], ["node"], how="left").select("node", F.coalesce("last", "root").alias("root"))
     return kept(found)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import checkpointed, map_texts, table
+from weftgraph.llm.common import checkpointed, map_texts, salted_join, table
 from weftgraph.llm.components import components
 
 SEED = 42
@@ -37,7 +37,6 @@ SHINGLE = 3
 DISTANCE = 3
 LEAST_SHARED = 8 - DISTANCE
 HOT = 16
-SALTS = 8
 _PIECE = 65_536
 PRINT = T.StructType([T.StructField("print", T.LongType())])
 
@@ -134,9 +133,7 @@ def near_links(prints: DataFrame, hot: int = HOT) -> DataFrame:
     fixed = F.array(*[F.lit(m) for m in FIXED])
     posted = prints.select("print", F.explode(fixed).alias("mask")).withColumn("key", F.col("print").bitwiseAND(F.col("mask")))
     met = posted.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = met.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = posted.withColumn("salt", F.pmod(F.xxhash64("print"), F.lit(SALTS)).cast("int"))
-    met = checkpointed(salted.join(met, ["mask", "key", "salt"]).select("mask", "key", "print", "n"))
+    met = checkpointed(salted_join(posted, met, ["mask", "key"], ["print"]).select("mask", "key", "print", "n"))
     cold = met.where(F.col("n") <= hot).groupBy("mask", "key").agg(F.collect_list("print").alias("prints"))
     finer = F.create_map(*[x for m, fs in FINER.items() for x in (F.lit(m), F.array(*[F.lit(f) for f in fs]))])
     again = met.where(F.col("n") > hot).select("print", F.explode(F.element_at(finer, F.col("mask"))).alias("mask"))
@@ -156,11 +153,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(near_links(prints.select("print")))
     linked = prints.join(roots.withColumnRenamed("node", "print"), "print")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
-    linked = linked.join(least, "root").select("print", "root", "least")
+    linked = salted_join(linked, least, ["root"], ["print"]).select("print", "root", "least")
     classes = prints.join(linked, "print", "left").select("print", F.coalesce("root", "print").alias("root"), F.coalesce("least", "first").alias("component_id"))
-    classes = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id", "text_hash"), F.lit(SALTS)).cast("int"))
-    return salted.join(classes, ["print", "salt"]).select("id", "text_hash", "print", "root", "component_id")
+    return salted_join(rows, classes, ["print"], ["id", "text_hash"]).select("id", "text_hash", "print", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
