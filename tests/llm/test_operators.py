@@ -95,6 +95,17 @@ def test_html_on_unseen_layouts_and_odd_markup():
     assert htmlmain.main_texts([page], trees) == ["Title & more\n\nFirst text here.\n\nSecond bold text."]
 
 
+def test_html_tags_end_outside_quotes():
+    runs = lambda page: ["".join(pieces) for _, pieces, _ in htmlmain.parse(page).runs]
+    page = """<p title="it's here">First para kept.</p><p>Second one, don't stop.</p><p>Third.</p>"""
+    assert runs(page) == ["First para kept.", "Second one, don't stop.", "Third."]
+    for value in ('"' + "a>b " * 500 + '"', "'" + '{"k": ">"}' * 5_000 + "'", '"' + "x" * 50_000 + '>"', "it's", '"\'>\'"', "a='b"):
+        assert runs(f"<div data-x={value} class = 'c>'><p>One</p></div><p>Two's</p>") == ["One", "Two's"]
+        assert runs(f"<p/data-x={value}>One<p b>Two") == ["One", "Two"]
+    assert runs("<p a=>One<p a= b>Two<p a='never closed>Three") == ["One", "Two", "Three"]
+    assert runs("<p " + "a='>' " * 100_000 + ">One") == ["One"]
+
+
 def test_html_tables(spark):
     df = spark.createDataFrame([(1, None, "u"), (2, "", None), (2, "", None)], "page_id long, html string, n_chars string")
     got = sorted((r.page_id, r.text, r.n_chars) for r in htmlmain.extract_main(df).collect())

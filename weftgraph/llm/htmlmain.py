@@ -65,6 +65,8 @@ _GROUP = {t: i for i, g in enumerate(GROUPS) for t in g}
 _MAIN, _OUT = frozenset({"article", "main"}), frozenset("nav menu header footer aside form fieldset dialog".split())
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
 _ATTR = re.compile(r"""(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: What stands between a tag's name and its >: attributes, whose values may be quoted and of any length.
+_REST = re.compile(r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+)*+""")
 _LABEL = re.compile(r'data-y="(\d)"')
 _WORD = re.compile(r"[^\W_]+")
 _TOKEN = re.compile(r"[a-z0-9]+")
@@ -85,24 +87,14 @@ class Dom:
 
 
 def _tag_end(page: str, at: int) -> int:
-    """The position after the > that ends a tag, quoted values skipped."""
+    """The position after the > that ends a tag, quoted values skipped; a quote that is never closed is none."""
     end = page.find(">", at)
     if end < 0:
         return len(page)
-    part = page[at:end]
-    if '="' not in part and "='" not in part:
+    if "=" not in page[at:end]:
         return end + 1
-    start = at
-    for _ in range(64):
-        quotes = part.count('"') % 2, part.count("'") % 2
-        if not any(quotes):
-            return end + 1
-        more = page.find(">", end + 1)
-        if more < 0 or more - start > 10_000:
-            break
-        end = more
-        part = page[start:end]
-    return page.find(">", at) + 1
+    rest = _REST.match(page, at).end()
+    return (rest if page.startswith(">", rest) else end) + 1
 
 
 def parse(page: str | None) -> Dom:
