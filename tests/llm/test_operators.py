@@ -1,5 +1,6 @@
 """The operators against brute force, round trips and held-out labels, and on awkward tables."""
 
+import base64
 import hashlib
 import html
 import random
@@ -331,6 +332,19 @@ def test_langid(spark, sf, docs, awkward, none):
     assert {r.lang_pred for r in langid.identify(unlabelled, None).collect()} == {"und"}
 
 
+def test_langid_rejects_what_it_has_not_learned(docs):
+    model, rng = langid.learn(docs), random.Random(9)
+    rejected = lambda texts: np.mean([langid.predict(model, t)[2] for t in texts])
+    texts = [r.text for r in docs.collect() if r.lang and r.text]
+    assert rejected(texts) <= 0.01
+    assert rejected([t[:n] for t in texts for n in (8, 30, 100) if re.search(r"[^\W\d_]", t[:n])]) <= 0.01
+    assert rejected([rng.choice(texts)[:200] + " " + rng.choice(texts)[:200] for _ in range(200)]) <= 0.02
+    assert rejected(["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=400)) for _ in range(200)]) > 0.95
+    assert rejected([base64.b64encode(rng.randbytes(300)).decode() for _ in range(200)]) > 0.95
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa."
+    assert rejected([polish]) == 1
+
+
 def test_langid_learns_only_from_its_rows(docs):
     spoiled = docs.withColumn("lang", F.when(langid.held_out("doc_id"), "xx").otherwise(F.col("lang")))
     a, b = langid.learn(docs), langid.learn(spoiled)

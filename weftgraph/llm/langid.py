@@ -4,8 +4,10 @@ Texts are lower-cased, ASCII characters that are not letters become one space, a
 n-gram of 2 to 4 UTF-8 bytes of the whole text is hashed to a row of an embedding table.
 The mean row goes through a linear layer and a softmax, both trained by stochastic
 gradient descent in numpy on a bounded sample of labelled rows. A temperature is
-calibrated on short and whole texts of sampled documents that training does not see; the
-rejection threshold is the confidence that all but ALPHA of those documents reach.
+calibrated on short and whole texts of sampled documents that training does not see. The
+rejection threshold depends on the length of a text: at each of LENGTHS it is the confidence
+that all but ALPHA of the texts reach that are cut to that length from those documents, from
+one or half and half from two of different languages, and it is interpolated between them.
 
 Defined results: text that is null or has no letter is `und` with score 0 and rejected;
 without any label every document is `und`; rows with a null id are never held out and
@@ -26,10 +28,10 @@ from weftgraph.llm.common import map_texts, table
 #: Labelled documents sampled for a language, and windows of so many characters from all over each of them.
 DOCS_PER_LANG, WINDOWS, WINDOW_CHARS = 400, 6, 256
 BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 16, 16, 4, 0.4, 7
-#: The share of calibration documents that the rejection threshold may turn away.
+#: The share of calibration texts of any length that the rejection threshold may turn away.
 ALPHA = 0.001
-#: The threshold is at most so many times the confidence of a blind guess, so short clean texts stay.
-OVER_CHANCE = 1.15
+#: Characters of calibration texts, and texts of one language and of two that a document gives for each.
+LENGTHS, CUTS = (3, 6, 12, 24, 48, 96, 192, 384, 1536), 4
 UNKNOWN = "und"
 _PIECE = 1 << 20
 
@@ -103,7 +105,7 @@ def train(samples: list[tuple[str, list[str]]], seed: int = SEED) -> dict | None
             out_w -= rate * np.outer(mean, g)
             bias -= 0.1 * rate * g
             table_rows[ids] -= (rate * 10) * share[:, None] * back
-    model = {"langs": langs, "rows": (table_rows @ out_w).astype(np.float32), "bias": bias, "temperature": 1.0, "threshold": 0.0}
+    model = {"langs": langs, "rows": (table_rows @ out_w).astype(np.float32), "bias": bias, "temperature": 1.0, "threshold": ([0.0], [0.0])}
     check = [(" ".join(ws), langs.index(lang)) for (lang, ws), out in zip(samples, held, strict=True) if out and _LETTER.search(" ".join(ws))]
     if check:
         cut = lambda t, n: t[int(rng.integers(0, max(1, len(t) - n))) :][:n]
@@ -112,17 +114,45 @@ def train(samples: list[tuple[str, list[str]]], seed: int = SEED) -> dict | None
         y = np.array([k for _, k in check + short])
         loss = lambda t: -np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean()
         model["temperature"] = float(min(np.geomspace(0.05, 20, 60), key=loss))
-        top = _softmax(z[: len(check)] / model["temperature"]).max(axis=1)
-        model["threshold"] = float(min(np.quantile(top, ALPHA), OVER_CHANCE / len(langs)))
+        model["threshold"] = thresholds(model, check, rng)
     return model
 
 
+def _confidence(model: dict, text: str) -> np.ndarray:
+    return _softmax((mean_row(text, model["rows"]) + model["bias"]) / model["temperature"])
+
+
+def thresholds(model: dict, check: list[tuple[str, int]], rng: np.random.Generator) -> tuple[list[float], list[float]]:
+    """Logarithms of text lengths and the least confidence at each, from (text, language) pairs.
+
+    Lengths are those of the bytes that n-grams are made of, so digits and signs do not count.
+    """
+    cut = lambda t, n: t[int(rng.integers(0, max(1, len(t) - n))) :][:n]
+    by_lang = [[t for t, k in check if k == y] for y in range(len(model["langs"]))]
+    sizes, least = [], []
+    for n in LENGTHS:
+        texts = []
+        for t, k in check:
+            others = [o for y, o in enumerate(by_lang) if y != k and o]
+            for _ in range(CUTS):
+                texts.append(cut(t, n))
+                if others:
+                    other = others[int(rng.integers(len(others)))]
+                    texts.append(cut(t, n - n // 2) + " " + cut(other[int(rng.integers(len(other)))], n // 2))
+        texts = [t for t in texts if _LETTER.search(t)]
+        if texts:
+            sizes.append(float(np.log(np.median([len(_normal(t)) for t in texts]))))
+            least.append(float(np.quantile([_confidence(model, t).max() for t in texts], ALPHA)))
+    order = np.argsort(sizes, kind="stable")
+    return [sizes[i] for i in order], [least[i] for i in order]
+
+
 def predict(model: dict | None, text: str | None) -> tuple[str, float, bool]:
     if model is None or not text or not _LETTER.search(text):
         return UNKNOWN, 0.0, True
-    p = _softmax((mean_row(text, model["rows"]) + model["bias"]) / model["temperature"])
+    p = _confidence(model, text)
     k = int(p.argmax())
-    return model["langs"][k], float(p[k]), bool(p[k] < model["threshold"])
+    return model["langs"][k], float(p[k]), bool(p[k] < np.interp(np.log(len(_normal(text))), *model["threshold"]))
 
 
 def held_out(id_col: str):
