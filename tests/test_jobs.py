@@ -304,6 +304,31 @@ def test_rest_source(spark, api):
         ids(url=f"{api}/pages", json_root="data.none", pagination={"page_size": 10})
 
 
+def test_rest_rows_keep_the_fields_of_later_pages(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    records = [{"id": 1, "price": 3, "code": 7}, {"id": 2, "price": 2.5, "note": "x", "code": "a"}, {"id": 3, "more": {"y": [1]}}]
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            page = int(self.path.split("?page=")[1].split("&")[0])
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(records[page - 1 : page]).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    cfg = SourceConfig(name="s", type="rest", url=f"http://127.0.0.1:{server.server_port}/", pagination={"page_size": 1})
+    got = sorted(read_source(spark, cfg).collect(), key=lambda r: r.id)
+    assert [(r.price, r.note, r.code) for r in got] == [(3.0, None, "7"), (2.5, "x", "a"), (None, None, None)]
+    assert got[2].more.y == [1] and got[0].more is None
+    server.shutdown()
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_merge_equals_row_by_row_upserts(spark, seed):
     """Any mix of mappings, nulls and repeats gives what setting properties one row at a time gives."""

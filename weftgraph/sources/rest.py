@@ -1,21 +1,23 @@
 """HTTP APIs as a Python data source: pages are fetched on an executor, rows parsed by Spark.
 
 Each page's stop rule needs the page before it, so the pages of one source are read in
-order in one partition. The schema is that of the first page, which the driver fetches
-while planning; later pages are read with it.
+order in one partition. They are read once into the shared folder while planning, and the
+schema is inferred over all records: a field has the type that holds all its values. The
+driver fetches the first page before, so that a wrong address or root fails at once.
 """
 
 from __future__ import annotations
 
 import json
+import tempfile
 import time
 import urllib.parse
 import urllib.request
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from weftgraph.config import SourceConfig
@@ -129,6 +131,14 @@ class _Reader(DataSourceReader):
                 yield (json.dumps(record),)
 
 
+def _shared_dir(spark: SparkSession) -> str:
+    """The session's `spark.checkpoint.dir`; where that is unset (tests, one machine), a temporary folder."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weft-ckpt-"))
+    return sc.getCheckpointDir()
+
+
 @source_registry.register("rest")
 def rest(spark: SparkSession, cfg: SourceConfig) -> DataFrame:
     spark.dataSource.register(RestSource)
@@ -138,5 +148,6 @@ def rest(spark: SparkSession, cfg: SourceConfig) -> DataFrame:
         return raw.limit(0)
     if not isinstance(first[0], dict):
         return raw
-    schema = spark.range(1).select(F.schema_of_json(F.lit(json.dumps(first))).alias("s")).first().s
-    return raw.select(F.from_json("value", schema.removeprefix("ARRAY<").removesuffix(">")).alias("r")).select("r.*")
+    path = f"{_shared_dir(spark)}/weft-{uuid.uuid4().hex}"
+    raw.write.text(path)
+    return spark.read.json(path, mode="FAILFAST", samplingRatio=1.0)
