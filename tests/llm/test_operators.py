@@ -382,6 +382,36 @@ def test_lm_is_a_distribution_and_learns(spark, sf, docs, awkward, none):
     assert empty == {} and lmscore.fit(none, empty).keys() == m.keys()
 
 
+def test_lm_scores_words_and_not_their_buckets(spark, docs, monkeypatch):
+    counts = lmscore.count_words(docs).collect()
+    for known in (1_000_000, 3_000):
+        monkeypatch.setattr(lmscore, "KNOWN", known)
+        vocab = lmscore.vocabulary(spark.createDataFrame(counts))
+        rare = [r for r in counts if r.word.encode() not in vocab]
+        by_id = defaultdict(list)
+        for r in rare:
+            by_id[vocab[r.word.encode()]].append(np.exp(vocab.log_shares(r.word)))
+        total = {b: sum(r.n for r in rare if vocab[r.word.encode()] == b) for b in by_id}
+        for b, shares in by_id.items():  # a distribution over an id's words, with room for those never seen
+            assert sum(shares) <= 1 and 1 - sum(shares) <= 1.01 / (total[b] + 1) + 1e-4 + (known == 3_000) * max(shares)
+        if known == 1_000_000:
+            assert all(np.isclose(vocab.log_shares(r.word), np.log(r.n / (total[vocab[r.word.encode()]] + 1)), atol=1e-4) for r in rare)
+    model = lmscore.start()
+    often, seldom = max(rare, key=lambda r: r.n), min(rare, key=lambda r: r.n)
+    unseen = next(w for w in map(str, range(10**9, 10**9 + 10**5)) if w.encode() not in vocab and vocab[w.encode()] == vocab[often.word.encode()])
+    score = lambda w: lmscore.score(spark.createDataFrame([(w,)], "text string"), model, vocab).first().log_likelihood
+    assert score(often.word) > score(unseen) and vocab.log_shares(seldom.word) < vocab.log_shares(often.word)
+
+
+def test_lm_vocabulary_grows_with_the_counts(spark, monkeypatch):
+    counts = spark.range(3000).selectExpr("concat('w', id) word", "300 - id div 10 n")
+    vocab = lmscore.vocabulary(counts)
+    assert vocab.base == 33 and len(vocab) == 33 * 33 - lmscore.RARE >= sum(300 - i // 10 >= lmscore.LEAST for i in range(3000))
+    docs = spark.createDataFrame([("w1 w2 w3 w2999 w1000",)] * 3, "text string")
+    assert lmscore.score(docs, lmscore.fit(docs, vocab), vocab).first().log_likelihood < 0
+    assert lmscore.start(base=33)["in"].shape[1] == 33 * 33 + 1
+
+
 def test_lm_averages_in_levels(docs, monkeypatch):
     monkeypatch.setattr(lmscore, "FAN", 2)
     vocab = lmscore.vocabulary(lmscore.count_words(docs))

@@ -1,15 +1,20 @@
 """Masked pseudo-likelihood: a bidirectional window network scores documents.
 
 Every word is predicted from the two words on either side; a document's score is the sum
-of the conditional log-probabilities of its words. Words are counted over all documents
-(the vocabulary is the most frequent ones, the rest share hashed ids). Each partition
+of the conditional log-probabilities of its words. Words are counted over all documents.
+The vocabulary, whose words have ids of their own, is the most frequent ones; it grows with
+the words that occur LEAST times, up to MAX_BASE digits squared. A word outside it has one
+of RARE hashed ids and the probability of that id times its share of the id's tokens, where
+one token more stands for all words never seen. Shares are exact for the words of the
+largest counts, as many as KNOWN holds; those of smaller counts share alike. Each partition
 trains the network in numpy, from one seeded start, on every STRIDE-th position of every
 document in it; the weights are averaged by windows seen, FAN partitions at a time, so
 what is gathered grows with the corpus while no task holds more than FAN models. The
 model that is broadcast has a fixed size.
 
-The output layer is two softmaxes: a word id is (high, low) digits, and the low digit is
-predicted given the high one, which is a normalised distribution over ids.
+The output layer is two softmaxes: a word id is (high, low) digits of a base that follows
+the vocabulary, and the low digit is predicted given the high one, which is a normalised
+distribution over ids.
 
 Defined results: null or wordless text has no tokens, log-likelihood 0 and a null mean;
 an empty table gives no rows; repeated rows repeat.
@@ -18,6 +23,7 @@ an empty table gives no rows; repeated rows repeat.
 from __future__ import annotations
 
 import io
+import math
 from collections import Counter
 
 import numpy as np
@@ -33,9 +39,11 @@ from weftgraph.llm.common import checkpointed, map_texts, small_batches, table
 from weftgraph.llm.decontam import words
 
 SIDE, BASE, HIDDEN = 2, 32, 32
+#: Ids of the smallest network; there are more when more words occur LEAST times.
 IDS = BASE * BASE
-#: Ids that all words outside the vocabulary share by hash.
-RARE = 64
+LEAST, MAX_BASE = 200, 128
+#: Ids that all words outside the vocabulary share by hash, and words whose share of them is kept.
+RARE, KNOWN = 64, 1_000_000
 STRIDE, BATCH, RATE, SEED = 8, 2048, 0.05, 3
 FAN = 16
 #: Distinct words that a counting task holds before it hands counts on, and tokens scored at once.
@@ -64,17 +72,76 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return part.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(counts: DataFrame) -> dict[bytes, int]:
-    """The IDS - RARE most frequent words and their ids (a bounded top-k)."""
-    rows = counts.orderBy(F.col("n").desc(), "word").limit(IDS - RARE).collect()
-    return {r.word.encode(): RARE + i for i, r in enumerate(rows)}
+class Vocabulary(dict):
+    """Ids of words; unknown words are hashed to a shared id and not kept.
 
+    `base` is that of the digits of ids. `hashes` (sorted) and `shares` are the words
+    outside the vocabulary and their log share of an id's tokens, `other` the log share
+    that any other word of an id has.
+    """
 
-class Vocabulary(dict):
-    """Ids of words; unknown words are hashed to a shared id and not kept."""
+    def __init__(self, ids=(), base: int = BASE, hashes=(), shares=(), other=None) -> None:
+        super().__init__(ids)
+        self.base, self.hashes, self.shares, self.other = base, np.asarray(hashes, np.uint64), np.asarray(shares, np.float32), np.zeros(RARE) if other is None else other
+        if isinstance(ids, Vocabulary):
+            self.base, self.hashes, self.shares, self.other = ids.base, ids.hashes, ids.shares, ids.other
+
+    def __reduce__(self):
+        return Vocabulary, (dict(self), self.base, self.hashes, self.shares, self.other)
 
     def __missing__(self, word: bytes) -> int:
-        return xxhash.xxh32_intdigest(word) % RARE
+        return word_hash(word) % RARE
+
+    def log_shares(self, text: str | None) -> float:
+        """The sum of log p(word | id) over the words of a text; a word of the vocabulary is alone in its id."""
+        h = np.array([word_hash(w) for w in words(text) if w not in self], np.uint64)
+        if not len(h):
+            return 0.0
+        out = self.other[(h % np.uint64(RARE)).astype(np.int64)]
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            out = np.where(self.hashes[at] == h, self.shares[at], out)
+        return float(out.sum())
+
+
+def word_hash(word: bytes) -> int:
+    """Spark's xxhash64 of a string, unsigned."""
+    return xxhash.xxh64_intdigest(word, 42)
+
+
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """The most frequent words and their ids, and the shares of the rest in theirs.
+
+    What is gathered is bounded: the words of the vocabulary, one row a distinct count,
+    KNOWN hashes, and RARE sums.
+    """
+    counts = checkpointed(counts)
+    levels = sorted(((r.n, r["count"]) for r in counts.groupBy("n").count().collect()), reverse=True)
+    often = sum(c for n, c in levels if n >= LEAST)
+    base = min(MAX_BASE, max(BASE, math.ceil(math.sqrt(often + RARE))))
+    rows = counts.orderBy(F.col("n").desc(), "word").limit(base * base - RARE).collect()
+    ids = {r.word.encode(): RARE + i for i, r in enumerate(rows)}
+    if not rows:
+        return Vocabulary()
+    last = rows[-1]
+    rest = counts.where((F.col("n") < last.n) | ((F.col("n") == last.n) & (F.col("word") > last.word)))
+    cut, room = last.n + 1, KNOWN
+    for n, c in levels:
+        if n <= last.n:
+            if c > room:
+                break
+            cut, room = n, room - c
+    rest = rest.select(F.xxhash64("word").alias("h"), "n", (F.col("n") < cut).alias("other"))
+    sums = rest.groupBy(F.pmod("h", F.lit(RARE)).cast("int").alias("b")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("other"), F.col("n")).otherwise(0)).alias("tokens"), F.sum(F.col("other").cast("long")).alias("words"))
+    total, tokens, others = np.zeros(RARE), np.zeros(RARE), np.zeros(RARE)
+    for r in sums.collect():
+        total[r.b], tokens[r.b], others[r.b] = r.n, r.tokens, r.words
+    known = rest.where("not other").select("h", "n").toArrow()
+    h, n = known["h"].to_numpy().view(np.uint64), known["n"].to_numpy()
+    order = np.argsort(h)
+    h, n = h[order], n[order]
+    shares = np.log(n) - np.log(total[(h % np.uint64(RARE)).astype(np.int64)] + 1)
+    return Vocabulary(ids, base, h, shares, np.log(tokens + 1) - np.log(others + 1) - np.log(total + 1))
 
 
 def token_ids(text: str | None, vocab: Vocabulary) -> np.ndarray:
@@ -82,10 +149,10 @@ def token_ids(text: str | None, vocab: Vocabulary) -> np.ndarray:
     return np.fromiter(map(vocab.__getitem__, w), np.int32, len(w))
 
 
-def start(seed: int = SEED) -> dict[str, np.ndarray]:
+def start(seed: int = SEED, base: int = BASE) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     normal = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
-    return {"in": normal(2 * SIDE, IDS + 1, HIDDEN), "high": normal(HIDDEN, BASE), "high0": np.zeros(BASE, np.float32), "given": normal(BASE, HIDDEN), "low": normal(HIDDEN, BASE), "low0": np.zeros(BASE, np.float32)}
+    return {"in": normal(2 * SIDE, base * base + 1, HIDDEN), "high": normal(HIDDEN, base), "high0": np.zeros(base, np.float32), "given": normal(base, HIDDEN), "low": normal(HIDDEN, base), "low0": np.zeros(base, np.float32)}
 
 
 def _log_softmax(z: np.ndarray) -> np.ndarray:
@@ -100,7 +167,7 @@ def _forward(m: dict, around: np.ndarray, target: np.ndarray):
     for j in range(1, 2 * SIDE):
         h += m["in"][j][around[j]]
     np.tanh(h, out=h)
-    high = target // BASE
+    high = target // len(m["high0"])
     k = h + m["given"][high]
     return h, k, _log_softmax(h @ m["high"] + m["high0"]), _log_softmax(k @ m["low"] + m["low0"])
 
@@ -109,37 +176,38 @@ def _around(line: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([line[at + j] for j in _OFFSETS])
 
 
-def padded_line(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def padded_line(ids: list[np.ndarray], base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
     """All documents in one line with pads between, and the positions of real tokens."""
-    pad = np.full(SIDE, IDS, np.int32)
+    pad = np.full(SIDE, base * base, np.int32)
     line = np.concatenate([pad, *[x for i in ids for x in (i, pad)]])
-    return line, np.flatnonzero(line != IDS)
+    return line, np.flatnonzero(line != base * base)
 
 
 def log_probabilities(m: dict, ids: list[np.ndarray]) -> np.ndarray:
-    """log p(token | both sides) of every token of the documents, in order."""
-    line, at = padded_line(ids)
+    """log p(id | both sides) of every token of the documents, in order."""
+    base = len(m["high0"])
+    line, at = padded_line(ids, base)
     out = np.empty(len(at), np.float64)
     for i in range(0, len(at), PIECE):
         some = at[i : i + PIECE]
         target = line[some]
         _, _, high, low = _forward(m, _around(line, some), target)
         n = np.arange(len(some))
-        out[i : i + PIECE] = high[n, target // BASE] + low[n, target % BASE]
+        out[i : i + PIECE] = high[n, target // base] + low[n, target % base]
     return out
 
 
 def train_step(m: dict, seen: dict, around: np.ndarray, target: np.ndarray, rate: float = RATE) -> None:
     """One Adagrad step on the mean negative log-probability."""
-    n, rows = len(target), np.arange(len(target))
+    n, rows, base = len(target), np.arange(len(target)), len(m["high0"])
     h, k, high, low = _forward(m, around, target)
     g_high, g_low = np.exp(high), np.exp(low)
-    g_high[rows, target // BASE] -= 1
-    g_low[rows, target % BASE] -= 1
+    g_high[rows, target // base] -= 1
+    g_low[rows, target % base] -= 1
     g_k = g_low @ m["low"].T
     g_h = (g_high @ m["high"].T + g_k) * (1 - h * h)
     given = np.zeros_like(m["given"])
-    np.add.at(given, target // BASE, g_k)
+    np.add.at(given, target // base, g_k)
     grads = {"high": h.T @ g_high, "high0": g_high.sum(0), "given": given, "low": k.T @ g_low, "low0": g_low.sum(0)}
     for name, g in grads.items():
         g = g / n
@@ -173,18 +241,19 @@ def _merge(packed) -> tuple[int, dict]:
     return n, {k: (v / n).astype(np.float32) for k, v in total.items()}
 
 
-def fit(docs: DataFrame, vocab: dict[bytes, int], text_col: str = "text") -> dict[str, np.ndarray]:
+def fit(docs: DataFrame, vocab: Vocabulary, text_col: str = "text") -> dict[str, np.ndarray]:
     """The network, trained on every STRIDE-th position of every document."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(dict(vocab), Vocabulary(vocab).base))
 
     def train(batches):
-        ids_of, m = Vocabulary(shared.value), start()
+        ids_of = shared.value
+        m = start(base=ids_of.base)
         seen = {k: np.zeros_like(v) for k, v in m.items()}
         n = 0
 
         def learn(ids):
-            line, at = padded_line(ids)
+            line, at = padded_line(ids, ids_of.base)
             some = at[(np.arange(len(at)) % STRIDE) == 0]
             some = np.random.default_rng(SEED + len(some)).permutation(some)
             for i in range(0, len(some), BATCH):
@@ -214,15 +283,15 @@ def fit(docs: DataFrame, vocab: dict[bytes, int], text_col: str = "text") -> dic
     while (models.agg(F.max("part")).first()[0] or 0) >= FAN:
         models = checkpointed(models.groupBy((F.col("part") / FAN).cast("long").alias("g")).applyInPandas(average, schema))
     rows = models.collect()  # at most FAN models of fixed size
-    return _merge((r.n, bytes(r.model)) for r in sorted(rows, key=lambda r: r.part))[1] if rows else start()
+    return _merge((r.n, bytes(r.model)) for r in sorted(rows, key=lambda r: r.part))[1] if rows else start(base=Vocabulary(vocab).base)
 
 
-def score(docs: DataFrame, model: dict, vocab: dict[bytes, int], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: dict, vocab: Vocabulary, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """`docs` with n_tokens, log_likelihood and mean_log_likelihood of whole texts."""
-    shared = docs.sparkSession.sparkContext.broadcast((model, vocab))
+    shared = docs.sparkSession.sparkContext.broadcast((model, Vocabulary(vocab)))
 
     def make():
-        m, ids_of = shared.value[0], Vocabulary(shared.value[1])
+        m, ids_of = shared.value
 
         def run(texts):
             sums, sizes = [], []
@@ -230,7 +299,8 @@ def score(docs: DataFrame, model: dict, vocab: dict[bytes, int], text_col: str =
                 ids = [token_ids(t, ids_of) for t in texts[at : at + 64]]
                 ends = np.cumsum([len(i) for i in ids])
                 run = np.concatenate(([0.0], np.cumsum(log_probabilities(m, ids))))
-                sums += np.diff(run[np.concatenate(([0], ends))]).tolist()
+                shares = [ids_of.log_shares(t) for t in texts[at : at + 64]]
+                sums += (np.diff(run[np.concatenate(([0], ends))]) + shares).tolist()
                 sizes += [len(i) for i in ids]
             return {"n_tokens": sizes, "log_likelihood": sums, "mean_log_likelihood": [s / n if n else None for s, n in zip(sums, sizes, strict=True)]}
 
