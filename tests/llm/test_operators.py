@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -403,6 +404,39 @@ def test_lm_scores_words_and_not_their_buckets(spark, docs, monkeypatch):
     assert score(often.word) > score(unseen) and vocab.log_shares(seldom.word) < vocab.log_shares(often.word)
 
 
+def test_lm_trains_on_every_position(spark, docs, monkeypatch):
+    seen: Counter = Counter()
+    few = [r.text for r in docs.where("length(text) < 2000").orderBy("doc_id").limit(20).collect()] + ["one", "two words", None]
+    vocab = lmscore.vocabulary(lmscore.count_words(docs))
+    monkeypatch.setattr(lmscore, "train_step", lambda m, s, around, target: seen.update(map(tuple, np.vstack([around, target]).T.tolist())))
+    monkeypatch.setattr(lmscore, "LINE", 1000)
+
+    class Frame:  # runs what would run on an executor here
+        sparkSession = spark  # noqa: N815
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return list(run(iter([pa.RecordBatch.from_arrays([pa.array(few)], names=["t"])])))
+
+    class Stop(Exception):
+        pass
+
+    def stop(rows):
+        raise Stop(sum(b["n"][0].as_py() for b in rows))
+
+    monkeypatch.setattr(lmscore, "checkpointed", stop)
+    monkeypatch.setattr(lmscore, "TaskContext", type("C", (), {"get": staticmethod(lambda: type("P", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    with pytest.raises(Stop) as n:
+        lmscore.fit(Frame(), vocab)
+    want: Counter = Counter()
+    for t in few:
+        line, at = lmscore.padded_line([lmscore.token_ids(t, vocab)], vocab.base)
+        want.update(map(tuple, np.vstack([lmscore._around(line, at), line[at]]).T.tolist()))
+    assert seen == want and n.value.args == (want.total(),)
+
+
 def test_lm_vocabulary_grows_with_the_counts(spark, monkeypatch):
     counts = spark.range(3000).selectExpr("concat('w', id) word", "300 - id div 10 n")
     vocab = lmscore.vocabulary(counts)

@@ -7,8 +7,8 @@ the words that occur LEAST times, up to MAX_BASE digits squared. A word outside
 of RARE hashed ids and the probability of that id times its share of the id's tokens, where
 one token more stands for all words never seen. Shares are exact for the words of the
 largest counts, as many as KNOWN holds; those of smaller counts share alike. Each partition
-trains the network in numpy, from one seeded start, on every STRIDE-th position of every
-document in it; the weights are averaged by windows seen, FAN partitions at a time, so
+trains the network in numpy, from one seeded start, on every position of every document
+in it, once; the weights are averaged by windows seen, FAN partitions at a time, so
 what is gathered grows with the corpus while no task holds more than FAN models. The
 model that is broadcast has a fixed size.
 
@@ -44,10 +44,12 @@ IDS = BASE * BASE
 LEAST, MAX_BASE = 200, 128
 #: Ids that all words outside the vocabulary share by hash, and words whose share of them is kept.
 RARE, KNOWN = 64, 1_000_000
-STRIDE, BATCH, RATE, SEED = 8, 2048, 0.05, 3
+BATCH, RATE, SEED = 2048, 0.05, 3
 FAN = 16
 #: Distinct words that a counting task holds before it hands counts on, and tokens scored at once.
 HELD, PIECE = 400_000, 8_192
+#: Tokens that a training task holds before it learns from them.
+LINE = 256 * BATCH
 FIELDS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType()), T.StructField("mean_log_likelihood", T.DoubleType())])
 _OFFSETS = [j for j in range(-SIDE, SIDE + 1) if j]
 
@@ -161,15 +163,22 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
-def _forward(m: dict, around: np.ndarray, target: np.ndarray):
-    """hidden, low's input, log-probabilities of both digits."""
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
+def _forward(m: dict, around: np.ndarray, target: np.ndarray, end=_log_softmax):
+    """hidden, low's input, log-probabilities of both digits (or what `end` makes of their scores)."""
     h = m["in"][0][around[0]]
     for j in range(1, 2 * SIDE):
         h += m["in"][j][around[j]]
     np.tanh(h, out=h)
     high = target // len(m["high0"])
     k = h + m["given"][high]
-    return h, k, _log_softmax(h @ m["high"] + m["high0"]), _log_softmax(k @ m["low"] + m["low0"])
+    return h, k, end(h @ m["high"] + m["high0"]), end(k @ m["low"] + m["low0"])
 
 
 def _around(line: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -200,8 +209,7 @@ def log_probabilities(m: dict, ids: list[np.ndarray]) -> np.ndarray:
 def train_step(m: dict, seen: dict, around: np.ndarray, target: np.ndarray, rate: float = RATE) -> None:
     """One Adagrad step on the mean negative log-probability."""
     n, rows, base = len(target), np.arange(len(target)), len(m["high0"])
-    h, k, high, low = _forward(m, around, target)
-    g_high, g_low = np.exp(high), np.exp(low)
+    h, k, g_high, g_low = _forward(m, around, target, _softmax)
     g_high[rows, target // base] -= 1
     g_low[rows, target % base] -= 1
     g_k = g_low @ m["low"].T
@@ -214,8 +222,10 @@ def train_step(m: dict, seen: dict, around: np.ndarray, target: np.ndarray, rate
         seen[name] += g * g
         m[name] -= rate * g / np.sqrt(seen[name] + 1e-8)
     for j in range(2 * SIDE):
-        order = np.argsort(around[j], kind="stable")
-        ids, first = np.unique(around[j][order], return_index=True)
+        order = np.argsort(around[j].astype(np.uint16), kind="stable")  # ids are at most MAX_BASE squared; 16 bits sort faster
+        ids = around[j][order]
+        first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        ids = ids[first]
         g = np.add.reduceat(g_h[order], first, axis=0) / n
         seen["in"][j][ids] += g * g
         m["in"][j][ids] -= rate * g / np.sqrt(seen["in"][j][ids] + 1e-8)
@@ -242,7 +252,7 @@ def _merge(packed) -> tuple[int, dict]:
 
 
 def fit(docs: DataFrame, vocab: Vocabulary, text_col: str = "text") -> dict[str, np.ndarray]:
-    """The network, trained on every STRIDE-th position of every document."""
+    """The network, trained on every position of every document."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(dict(vocab), Vocabulary(vocab).base))
 
@@ -254,8 +264,7 @@ def fit(docs: DataFrame, vocab: Vocabulary, text_col: str = "text") -> dict[str,
 
         def learn(ids):
             line, at = padded_line(ids, ids_of.base)
-            some = at[(np.arange(len(at)) % STRIDE) == 0]
-            some = np.random.default_rng(SEED + len(some)).permutation(some)
+            some = np.random.default_rng(SEED + len(at)).permutation(at)
             for i in range(0, len(some), BATCH):
                 part = some[i : i + BATCH]
                 train_step(m, seen, _around(line, part), line[part])
@@ -266,7 +275,7 @@ def fit(docs: DataFrame, vocab: Vocabulary, text_col: str = "text") -> dict[str,
             for text in batch.column(0):
                 held.append(token_ids(text.as_py(), ids_of))
                 size += len(held[-1])
-                if size >= 32 * STRIDE * BATCH:
+                if size >= LINE:
                     n += learn(held)
                     held, size = [], 0
         if size:
