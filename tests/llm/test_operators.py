@@ -357,21 +357,47 @@ def test_langid_learns_only_from_its_rows(docs):
 # 6 LM scoring
 
 
-def test_lm_is_a_distribution_and_learns(spark, sf, docs, awkward, none):
+def brute_log_likelihood(m, ids):
+    """Every position of one document by itself, in plain loops over digits."""
+    base, out = m["out"].shape[2], []
+    line = [base**3] * 2 + list(ids) + [base**3] * 2
+    for at in range(2, len(line) - 2):
+        total = sum(m["rows"][line[at + o]].astype(float) * m["place"][j] for j, o in enumerate((-2, -1, 1, 2)))
+        h = total / (1 + np.abs(total))
+        h[-1] = 1
+        digits = [line[at] // base**2, line[at] // base % base, line[at] % base]
+        p = 1.0
+        for i, d in enumerate(digits):
+            k = h + sum(m["given"][g][digits[g]] for g in range(i))
+            e = np.exp(k @ m["out"][i])
+            p *= e[d] / e.sum()
+        out.append(np.log(p))
+    return out
+
+
+def test_lm_is_a_distribution_and_learns(spark, sf, docs, texts, awkward, none):
     m = lmscore.start()
-    around = np.zeros((4, lmscore.IDS), np.int64) + 5
-    _, _, high, low = lmscore._forward(m, around, np.arange(lmscore.IDS))
-    n = np.arange(lmscore.IDS)
-    assert abs(np.exp(high[n, n // lmscore.BASE] + low[n, n % lmscore.BASE]).sum() - 1) < 1e-4
+    around = np.tile(np.array([[3, 5, 0, 7, lmscore.IDS]], np.int32), (lmscore.IDS, 1))
+    assert abs(np.exp(lmscore.window_scores(m, around, np.arange(lmscore.IDS))).sum() - 1) < 1e-4
     counts = lmscore.count_words(docs)
     want = Counter(w.decode() for r in docs.collect() for w in decontam.words(r.text))
     assert {r.word: r.n for r in counts.collect()} == want
     vocab = lmscore.vocabulary(counts)
+    assert vocab.tokens == want.total()
     model = lmscore.fit(docs, vocab)
-    trained = lmscore.score(docs, model, vocab).agg(F.sum("log_likelihood")).first()[0]
-    plain = lmscore.score(docs, m, vocab).agg(F.sum("log_likelihood")).first()[0]
-    assert trained > 0.95 * plain and trained > plain
-    ids = [lmscore.token_ids("the of the", lmscore.Vocabulary(vocab)), lmscore.token_ids("", lmscore.Vocabulary(vocab)), lmscore.token_ids("and to", lmscore.Vocabulary(vocab))]
+    rows = lmscore.score(docs, model, vocab).collect()
+    # better than the best that knows only how often each id occurs
+    freq = Counter(i for t in texts.values() for i in lmscore.token_ids(t, vocab).tolist())
+    unigram = sum(n * np.log(n / want.total()) for n in freq.values())
+    shares = sum(vocab.log_shares(p := decontam.words(t), lmscore.ids_of_words(p, vocab)) for t in texts.values())
+    assert sum(r.log_likelihood for r in rows) > unigram + shares + 0.02 * abs(unigram)
+    for t in [t for t in texts.values() if 0 < len(t) < 1500][:5]:
+        parts = decontam.words(t)
+        ids = lmscore.ids_of_words(parts, vocab)
+        assert np.allclose(brute_log_likelihood(model, ids), lmscore.log_probabilities(model, [ids]), atol=1e-4)
+        found = lmscore.score(spark.createDataFrame([(t,)], "text string"), model, vocab).first()
+        assert np.isclose(found.log_likelihood, sum(brute_log_likelihood(model, ids)) + vocab.log_shares(parts, ids), rtol=1e-4)
+    ids = [lmscore.token_ids("the of the", vocab), lmscore.token_ids("", vocab), lmscore.token_ids("and to", vocab)]
     apart = np.concatenate([lmscore.log_probabilities(model, [i]) for i in ids])
     assert np.allclose(apart, lmscore.log_probabilities(model, ids), atol=1e-4)
     got = lmscore.score(awkward, model, vocab).collect()
@@ -381,76 +407,97 @@ def test_lm_is_a_distribution_and_learns(spark, sf, docs, awkward, none):
     assert lmscore.score(none, model, vocab).count() == 0
     empty = lmscore.vocabulary(lmscore.count_words(none))
     assert empty == {} and lmscore.fit(none, empty).keys() == m.keys()
+    assert lmscore.fit(awkward, lmscore.vocabulary(lmscore.count_words(awkward))).keys() == m.keys()
+
+
+def test_lm_step_follows_the_gradient():
+    """The change of the loss along each parameter agrees with the step's gradient."""
+    rng = np.random.default_rng(1)
+    m = {k: v.astype(np.float64) for k, v in lmscore.start(base=4).items()}
+    windows = rng.integers(0, 65, (3, 9)).astype(np.int32)
+    target = windows[:, 2:-2].reshape(-1)
+    real = target < 64
+
+    def loss():
+        return -lmscore.window_scores(m, windows, np.where(real, target, 0))[real].mean()
+
+    before, sums = {k: v.copy() for k, v in m.items()}, {k: v.astype(np.float64) for k, v in lmscore.fresh_sums(m).items()}
+    lmscore.train_step(m, sums, windows, rate=1e-9)
+    moved = {k: (before[k] - m[k]) / 1e-9 for k in m}  # Adagrad's first step: g / |g|, for rows by their mean square
+    m.update(before)
+    for name in m:
+        flat = m[name].reshape(-1)
+        for at in rng.choice(flat.size, 25, replace=False):
+            old = flat[at]
+            flat[at] = old + 1e-5
+            up = loss()
+            flat[at] = old - 1e-5
+            g = (up - loss()) / 2e-5
+            flat[at] = old
+            step = moved[name].reshape(-1)[at]
+            if name in ("given", "rows", "place") and at % lmscore.HIDDEN == lmscore.HIDDEN - 1:
+                assert step == 0  # the number that is always 1
+            elif abs(g) > 1e-4:
+                assert np.sign(step) == np.sign(g)
 
 
 def test_lm_scores_words_and_not_their_buckets(spark, docs, monkeypatch):
     counts = lmscore.count_words(docs).collect()
+    share = lambda vocab, w: vocab.log_shares([w.encode()], lmscore.token_ids(w, vocab))
     for known in (1_000_000, 3_000):
         monkeypatch.setattr(lmscore, "KNOWN", known)
         vocab = lmscore.vocabulary(spark.createDataFrame(counts))
         rare = [r for r in counts if r.word.encode() not in vocab]
         by_id = defaultdict(list)
         for r in rare:
-            by_id[vocab[r.word.encode()]].append(np.exp(vocab.log_shares(r.word)))
+            by_id[vocab[r.word.encode()]].append(np.exp(share(vocab, r.word)))
         total = {b: sum(r.n for r in rare if vocab[r.word.encode()] == b) for b in by_id}
         for b, shares in by_id.items():  # a distribution over an id's words, with room for those never seen
             assert sum(shares) <= 1 and 1 - sum(shares) <= 1.01 / (total[b] + 1) + 1e-4 + (known == 3_000) * max(shares)
         if known == 1_000_000:
-            assert all(np.isclose(vocab.log_shares(r.word), np.log(r.n / (total[vocab[r.word.encode()]] + 1)), atol=1e-4) for r in rare)
+            assert all(np.isclose(share(vocab, r.word), np.log(r.n / (total[vocab[r.word.encode()]] + 1)), atol=1e-4) for r in rare)
     model = lmscore.start()
     often, seldom = max(rare, key=lambda r: r.n), min(rare, key=lambda r: r.n)
     unseen = next(w for w in map(str, range(10**9, 10**9 + 10**5)) if w.encode() not in vocab and vocab[w.encode()] == vocab[often.word.encode()])
     score = lambda w: lmscore.score(spark.createDataFrame([(w,)], "text string"), model, vocab).first().log_likelihood
-    assert score(often.word) > score(unseen) and vocab.log_shares(seldom.word) < vocab.log_shares(often.word)
+    assert score(often.word) > score(unseen) and share(vocab, seldom.word) < share(vocab, often.word)
 
 
-def test_lm_trains_on_every_position(spark, docs, monkeypatch):
-    seen: Counter = Counter()
-    few = [r.text for r in docs.where("length(text) < 2000").orderBy("doc_id").limit(20).collect()] + ["one", "two words", None]
+def test_lm_trains_on_every_position(docs, monkeypatch):
     vocab = lmscore.vocabulary(lmscore.count_words(docs))
-    monkeypatch.setattr(lmscore, "train_step", lambda m, s, around, target: seen.update(map(tuple, np.vstack([around, target]).T.tolist())))
-    monkeypatch.setattr(lmscore, "LINE", 1000)
-
-    class Frame:  # runs what would run on an executor here
-        sparkSession = spark  # noqa: N815
-
-        def select(self, *_):
-            return self
-
-        def mapInArrow(self, run, schema):  # noqa: N802
-            return list(run(iter([pa.RecordBatch.from_arrays([pa.array(few)], names=["t"])])))
-
-    class Stop(Exception):
-        pass
+    few = [lmscore.token_ids(r.text, vocab) for r in docs.orderBy("doc_id").limit(30).collect()]
+    base, seen = vocab.base, Counter()
+    for w in lmscore.stretches(lmscore.padded_line(few, base), base, 3):
+        assert w.shape[0] <= lmscore.BATCH // lmscore.STRETCH
+        for o in range(lmscore.STRETCH):
+            seen.update(tuple(x) for x in w[:, o : o + 5].tolist() if x[2] < base**3)
+    want: Counter = Counter()
+    for ids in few:
+        line = [base**3] * 2 + ids.tolist() + [base**3] * 2
+        want.update(tuple(line[i : i + 5]) for i in range(len(ids)))
+    assert seen == want
+    found, n = lmscore.sharded_ids(docs, vocab, shard=20_000)
+    rows = found.collect()
+    assert n == -(-vocab.tokens // 20_000) and {r.shard for r in rows} <= set(range(n))
+    assert sum(len(r.ids) // 2 for r in rows) == vocab.tokens
 
-    def stop(rows):
-        raise Stop(sum(b["n"][0].as_py() for b in rows))
 
-    monkeypatch.setattr(lmscore, "checkpointed", stop)
-    monkeypatch.setattr(lmscore, "TaskContext", type("C", (), {"get": staticmethod(lambda: type("P", (), {"partitionId": staticmethod(lambda: 0)}))}))
-    with pytest.raises(Stop) as n:
-        lmscore.fit(Frame(), vocab)
-    want: Counter = Counter()
-    for t in few:
-        line, at = lmscore.padded_line([lmscore.token_ids(t, vocab)], vocab.base)
-        want.update(map(tuple, np.vstack([lmscore._around(line, at), line[at]]).T.tolist()))
-    assert seen == want and n.value.args == (want.total(),)
+def test_lm_is_the_same_for_any_partitioning(docs, monkeypatch):
+    monkeypatch.setattr(lmscore, "FAN", 2)
+    vocab = lmscore.vocabulary(lmscore.count_words(docs))
+    a = lmscore.fit(docs.coalesce(1), vocab, shard=10_000)
+    b = lmscore.fit(docs.repartition(7, "doc_id"), vocab, shard=10_000)
+    assert vocab.tokens > 5 * 10_000
+    assert all(np.array_equal(a[k], b[k]) and np.isfinite(a[k]).all() for k in a)
 
 
-def test_lm_vocabulary_grows_with_the_counts(spark, monkeypatch):
+def test_lm_vocabulary_grows_with_the_counts(spark):
     counts = spark.range(3000).selectExpr("concat('w', id) word", "300 - id div 10 n")
     vocab = lmscore.vocabulary(counts)
-    assert vocab.base == 33 and len(vocab) == 33 * 33 - lmscore.RARE >= sum(300 - i // 10 >= lmscore.LEAST for i in range(3000))
+    assert vocab.base == 11 and len(vocab) == 11**3 - lmscore.RARE >= sum(300 - i // 10 >= lmscore.LEAST for i in range(3000))
     docs = spark.createDataFrame([("w1 w2 w3 w2999 w1000",)] * 3, "text string")
     assert lmscore.score(docs, lmscore.fit(docs, vocab), vocab).first().log_likelihood < 0
-    assert lmscore.start(base=33)["in"].shape[1] == 33 * 33 + 1
-
-
-def test_lm_averages_in_levels(docs, monkeypatch):
-    monkeypatch.setattr(lmscore, "FAN", 2)
-    vocab = lmscore.vocabulary(lmscore.count_words(docs))
-    model = lmscore.fit(docs.repartition(5, "doc_id"), vocab)
-    assert all(np.isfinite(v).all() for v in model.values())
+    assert lmscore.start(base=11)["rows"].shape[0] == 11**3 + 1
 
 
 # 7 Mixing
