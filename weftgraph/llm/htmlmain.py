@@ -7,9 +7,15 @@ trained in numpy on generated labelled pages, give each node the probability tha
 text lies in it. Decoding takes the most probable labelling in which a node without main
 text has no descendant with it and a node with it has no ancestor without.
 
+Parsing is linear in the page: an end tag is looked up in counts of open elements, and the
+ends of elements that are skipped whole are matched in one pass before.
+
 Defined results: null or empty html gives an empty text; tags that are never closed end
-with their parent; text inside scripts, styles and the like is never main text; input
-columns named like the new ones are replaced; repeated rows repeat.
+with their parent, at any depth; text inside scripts, styles and the like is never main
+text, and those that are never closed run to the end of the page; buttons, drawings,
+players and the like are skipped up to their end tag, or up to the next tag where they
+have none inside their parent; input columns named like the new ones are replaced;
+repeated rows repeat.
 """
 
 from __future__ import annotations
@@ -30,7 +36,9 @@ TREES, DEPTH, PAGES, SEED = 80, 5, 1500, 13
 
 # Element names of the HTML standard, by their part in parsing.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object head title textarea select button canvas audio video xmp noembed noframes".split())
+RAW = frozenset("script style title textarea iframe xmp noembed noframes".split())
+SKIPPED = frozenset("noscript template svg math object head select button canvas audio video".split())
+NO_BOUNDARY = frozenset("svg math button select object canvas audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label map mark meter output picture progress q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 #: An opening tag ends an open element of its set, up to the nearest scope.
@@ -67,6 +75,8 @@ _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
 _ATTR = re.compile(r"""(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: What stands between a tag's name and its >: attributes, whose values may be quoted and of any length.
 _REST = re.compile(r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+)*+""")
+#: Comments and raw text, to their end or that of the page, and other tags.
+_PAIRED = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(sorted(RAW))})(?=[\s/>]).*?(?:</\1(?=[\s/>])|\Z)|<(/?)([a-z][^\s/>]*)", re.I | re.S)
 _LABEL = re.compile(r'data-y="(\d)"')
 _WORD = re.compile(r"[^\W_]+")
 _TOKEN = re.compile(r"[a-z0-9]+")
@@ -97,28 +107,81 @@ def _tag_end(page: str, at: int) -> int:
     return (rest if page.startswith(">", rest) else end) + 1
 
 
+def skipped_ends(page: str) -> dict[int, int]:
+    """For each SKIPPED element, by the position of its tag, that of its end tag inside its parent.
+
+    One pass: a stack of open elements in which an end tag closes what is open inside it.
+    Buttons and selects do not nest, so a second one ends the first.
+    """
+    out: dict[int, int] = {}
+    if not any(f"<{t}" in page or f"<{t.upper()}" in page for t in SKIPPED):
+        return out
+    stack: list[tuple[str, int]] = []
+    count: dict[str, int] = {}
+    for m in _PAIRED.finditer(page):
+        if not m[3]:
+            continue
+        tag = m[3].lower()
+        if tag in VOID or tag in INLINE or tag in RAW or tag == "p" or tag in IMPLIED:
+            continue  # these are often left open and never hold the others' ends
+        if not m[2]:
+            while tag in ("button", "select") and count.get(tag):
+                top, _ = stack.pop()
+                count[top] -= 1
+            stack.append((tag, m.start()))
+            count[tag] = count.get(tag, 0) + 1
+        elif count.get(tag):
+            while True:
+                top, at = stack.pop()
+                count[top] -= 1
+                if top == tag:
+                    break
+            if tag in SKIPPED:
+                out[at] = m.start()
+    return out
+
+
+class _Frame:
+    """An open block element and the inline elements open in it."""
+
+    __slots__ = ("counts", "inlines", "node", "scope", "tag")
+
+    def __init__(self, tag: str, node: int, scope: dict) -> None:
+        self.tag, self.node, self.scope = tag, node, scope  # scope: open block tags by count since the nearest SCOPE element
+        self.inlines: list[str] = []
+        self.counts: dict[str, int] = {}
+
+
 def parse(page: str | None) -> Dom:
     dom = Dom()
     page = page or ""
-    stack: list[tuple[str, int]] = [("#root", 0)]  # tag, node of the nearest block
+    stack = [_Frame("#root", 0, {})]
+    opened: dict[str, int] = {}  # block tags open anywhere
     run: list[str] = []
-    state = {"link": 0, "links": 0}
+    link = links = 0
     at, n = 0, len(page)
+    ends = skipped_ends(page)
 
     def boundary() -> None:
-        nonlocal run
+        nonlocal run, links
         if run:
             if any(not r.isspace() for r in run):
-                dom.runs.append((stack[-1][1], run, state["links"]))
+                dom.runs.append((stack[-1].node, run, links))
             run = []
-        state["links"] = 0
+        links = 0
 
-    def pop_to(depth: int) -> None:
-        if any(t not in INLINE for t, _ in stack[depth:]):
-            boundary()
-        for t, _ in stack[depth:]:
-            state["link"] -= t == "a"
-        del stack[depth:]
+    def pop_through(tags) -> None:
+        """Close blocks up to the nearest of some tags."""
+        nonlocal link
+        boundary()
+        while True:
+            top = stack.pop()
+            link -= top.counts.get("a", 0)
+            opened[top.tag] -= 1
+            if top.tag not in SCOPE:
+                top.scope[top.tag] -= 1
+            if top.tag in tags:
+                return
 
     while at < n:
         lt = page.find("<", at)
@@ -126,12 +189,12 @@ def parse(page: str | None) -> Dom:
             lt = n
         if lt > at:
             run.append(page[at:lt])
-            if state["link"]:
-                state["links"] += lt - at
+            if link:
+                links += lt - at
         if lt == n:
             break
         if page.startswith("<!--", lt):
-            end = page.find("-->", lt + 4)
+            end = page.find("-->", lt + 2)  # <!--> is a comment too
             at = n if end < 0 else end + 3
             continue
         m = _TAG.match(page, lt)
@@ -145,14 +208,18 @@ def parse(page: str | None) -> Dom:
             continue
         tag = m[2].lower()
         at = _tag_end(page, m.end())
+        top = stack[-1]
         if m[1]:
-            if tag not in VOID:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] == tag:
-                        pop_to(depth)
-                        break
-                    if tag in INLINE and stack[depth][0] not in INLINE:
-                        break
+            if tag in INLINE:
+                if top.counts.get(tag):
+                    while True:
+                        last = top.inlines.pop()
+                        top.counts[last] -= 1
+                        link -= last == "a"
+                        if last == tag:
+                            break
+            elif tag not in VOID and opened.get(tag):
+                pop_through((tag,))
             continue
         if tag == "br":
             run.append(" ")
@@ -161,32 +228,33 @@ def parse(page: str | None) -> Dom:
             if tag == "hr":
                 boundary()
             continue
-        if tag in RAW:
-            if not page[lt:at].endswith("/>"):
-                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-                if end:
-                    at = end.end()
-                elif tag != "head":
-                    at = n
-            if tag not in ("svg", "math", "button", "select", "object", "canvas"):
+        if tag in RAW or tag in SKIPPED:
+            if not page.startswith("/>", at - 2):
+                if tag in RAW:
+                    end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+                    at = end.end() if end else n
+                elif lt in ends:
+                    at = _tag_end(page, max(ends[lt], at))
+                elif tag not in ("head", "noscript", "template"):
+                    at = n if (end := page.find("<", at)) < 0 else end
+            if tag not in NO_BOUNDARY:
                 boundary()
             continue
         if tag in INLINE:
-            stack.append((tag, stack[-1][1]))
-            state["link"] += tag == "a"
+            top.inlines.append(tag)
+            top.counts[tag] = top.counts.get(tag, 0) + 1
+            link += tag == "a"
             continue
         if tag in CLOSES_P or tag in IMPLIED:
-            for depth in range(len(stack) - 1, 0, -1):
-                t = stack[depth][0]
-                if t in IMPLIED.get(tag, ()) or t == "p" and tag in CLOSES_P:
-                    pop_to(depth)
-                    break
-                if t in SCOPE:
-                    break
+            closes = [t for t in ("p", *IMPLIED.get(tag, ())) if top.scope.get(t) and (t != "p" or tag in CLOSES_P)]
+            if closes:
+                pop_through(closes)
         boundary()
-        if len(stack) < 400:
-            node = dom.add(tag, stack[-1][1], page[m.end() : at])
-            stack.append((tag, node))
+        top = stack[-1]
+        if tag not in SCOPE:
+            top.scope[tag] = top.scope.get(tag, 0) + 1
+        opened[tag] = opened.get(tag, 0) + 1
+        stack.append(_Frame(tag, dom.add(tag, top.node, page[m.end() : at]), {} if tag in SCOPE else top.scope))
     boundary()
     return dom
 
@@ -264,7 +332,7 @@ def features(dom: Dom, texts: list[str], owners: list[tuple[int, int]]) -> np.nd
     ]
     hot = np.zeros((n, len(GROUPS)))
     hot[np.arange(n), group] = 1
-    return np.column_stack([*out, own, above[:, :2], hot, above[:, 2:]])
+    return np.column_stack([*out, own, above[:, :2], hot, above[:, 2:]]).astype(np.float32)
 
 
 def decode(dom: Dom, p: np.ndarray) -> np.ndarray:
@@ -283,16 +351,35 @@ def decode(dom: Dom, p: np.ndarray) -> np.ndarray:
     return keep
 
 
+#: Nodes that trees see at once.
+NODES = 50_000
+
+
+def scores_of(model: Boosted, x: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(0), *[model.probability(x[i : i + NODES]) for i in range(0, len(x), NODES)]])
+
+
 def main_texts(pages: list[str | None], model: Boosted) -> list[str]:
-    doms = [parse(p) for p in pages]
-    ready = [_prepare(d) for d in doms]
-    rows = [features(d, *r) for d, r in zip(doms, ready, strict=True)]
-    scores = model.probability(np.concatenate(rows))
-    out, at = [], 0
-    for dom, (texts, owners), x in zip(doms, ready, rows, strict=True):
-        keep = decode(dom, scores[at : at + len(x)])
-        at += len(x)
-        out.append("\n\n".join(t for t, (node, _) in zip(texts, owners, strict=True) if t and keep[node]))
+    out, waiting, nodes = [], [], 0
+
+    def flush() -> None:
+        nonlocal waiting, nodes
+        if waiting:
+            scores, at = scores_of(model, np.concatenate([x for *_, x in waiting])), 0
+            for dom, texts, owners, x in waiting:
+                keep = decode(dom, scores[at : at + len(x)])
+                at += len(x)
+                out.append("\n\n".join(t for t, (node, _) in zip(texts, owners, strict=True) if t and keep[node]))
+        waiting, nodes = [], 0
+
+    for page in pages:
+        dom = parse(page)
+        texts, owners = _prepare(dom)
+        waiting.append((dom, texts, owners, features(dom, texts, owners)))
+        nodes += len(dom.tag)
+        if nodes >= NODES:
+            flush()
+    flush()
     return out
 
 
