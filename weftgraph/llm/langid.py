@@ -3,30 +3,36 @@
 Texts are lower-cased, ASCII characters that are not letters become one space, and every
 n-gram of 2 to 4 UTF-8 bytes of the whole text is hashed to a row of an embedding table.
 The mean row goes through a linear layer and a softmax, both trained by stochastic
-gradient descent in numpy on a bounded sample of labelled rows. A temperature is
+gradient descent in numpy on the whole texts of a bounded sample of labelled rows. One
+class more stands for what is no learned language: noise made of random letters, shuffled
+text, encoded bytes and letters of scripts that the sample lacks. A temperature is
 calibrated on short and whole texts of sampled documents that training does not see. The
 rejection threshold depends on the length of a text: at each of LENGTHS it is the confidence
 that all but ALPHA of the texts reach that are cut to that length from those documents, from
 one or half and half from two of different languages, and it is interpolated between them.
 
-Defined results: text that is null or has no letter is `und` with score 0 and rejected;
-without any label every document is `und`; rows with a null id are never held out and
-never learned from; ties go to the language first by code point.
+Defined results: text that is null or has no letter (Unicode category L) is `und` with
+score 0 and rejected; without any label every document is `und`; rows with a null id are
+never held out and never learned from; ties go to the language first by code point.
 """
 
 from __future__ import annotations
 
+import base64
 import re
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from weftgraph.llm.common import map_texts, table
 
-#: Labelled documents sampled for a language, and windows of so many characters from all over each of them.
-DOCS_PER_LANG, WINDOWS, WINDOW_CHARS = 400, 6, 256
+#: At most so many labelled documents, whole, and so many characters in all are sampled for a language.
+DOCS_PER_LANG, CHARS_PER_LANG = 400, 1_500_000
+#: Characters of a training text; a document gives as many as it holds.
+WINDOW_CHARS = 256
 BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 16, 16, 4, 0.4, 7
 #: The share of calibration texts of any length that the rejection threshold may turn away.
 ALPHA = 0.001
@@ -36,10 +42,17 @@ UNKNOWN = "und"
 _PIECE = 1 << 20
 
 _SPACED = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+_LATIN = re.compile("[A-Za-z]")
+#: First code points of the 128 that a script's noise is drawn from: Greek, Cyrillic, Armenian and Hebrew, Arabic, Devanagari, Thai, Georgian, kana, Han, Hangul.
+SCRIPTS = (0x380, 0x400, 0x580, 0x600, 0x900, 0xE00, 0x1080, 0x3080, 0x4E00, 0x5B80, 0x7000, 0xAC00)
 FIELDS = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of Unicode category L; numbers such as a half or a Roman numeral are none."""
+    return bool(_LATIN.search(text)) or any(map(str.isalpha, text))
+
+
 def _normal(text: str) -> np.ndarray:
     raw = b" " + b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_SPACED).split()) + b" "
     return np.frombuffer(raw if len(raw) > 3 else raw + b"   ", np.uint8)
@@ -72,25 +85,48 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(samples: list[tuple[str, list[str]]], seed: int = SEED) -> dict | None:
-    """A model from (language, windows of one document) pairs."""
+def noise(rng: np.random.Generator, text: str, foreign: list[int]) -> str:
+    """What is no language, about as long as `text`; `foreign` are first code points of scripts."""
+    n = max(4, len(text))
+    kind = int(rng.integers(0, 6 if foreign else 4))
+    if kind == 0:
+        return "".join(rng.permutation(list(text)).tolist())
+    if kind == 1:
+        return base64.b64encode(rng.bytes(n * 3 // 4 + 3)).decode()[:n]
+    if kind == 2:
+        return "".join(map(chr, rng.integers(97, 123, n).tolist()))
+    if kind == 3:  # words of random letters
+        return "".join(map(chr, np.where(rng.random(n) < 0.18, 32, rng.integers(97, 123, n)).tolist()))
+    first = foreign[int(rng.integers(len(foreign)))]
+    return "".join(map(chr, np.where(rng.random(n) < 0.15, 32, first + rng.integers(0, 128, n)).tolist()))
+
+
+def train(samples: list[tuple[str, str]], seed: int = SEED) -> dict | None:
+    """A model from (language, whole text of a document) pairs."""
     langs = sorted({lang for lang, _ in samples})
     if not langs:
         return None
     rng = np.random.default_rng(seed)
     held = [i % 5 == 4 for i in range(len(samples))] if len(samples) >= 10 * len(langs) else [False] * len(samples)
-    examples = []
-    for (lang, windows), out in zip(samples, held, strict=True):
+    pages = {ord(c) >> 7 for _, text in samples for c in set(text)}
+    foreign = [f for f in SCRIPTS if f >> 7 not in pages]
+    examples, windows = [], []
+    for (lang, text), out in zip(samples, held, strict=True):
         if out:
             continue
-        for w in windows:
+        for at in range(0, len(text), WINDOW_CHARS):
+            w = text[at : at + WINDOW_CHARS]
             short = w[: int(rng.integers(4, WINDOW_CHARS))] if rng.random() < 0.3 else w
-            if _LETTER.search(short):
+            if has_letter(short):
                 examples.append((np.unique(_buckets(_normal(short)), return_counts=True), langs.index(lang)))
+                windows.append(short)
+    for i in rng.permutation(len(windows))[: len(windows) // len(langs)]:
+        examples.append((np.unique(_buckets(_normal(noise(rng, windows[i], foreign))), return_counts=True), len(langs)))
+    classes = len(langs) + 1
     table_rows = rng.normal(0, 0.1, (BUCKETS, DIM))
-    out_w, bias = np.zeros((DIM, len(langs))), np.zeros(len(langs))
-    weight = np.bincount([y for _, y in examples], minlength=len(langs)) if examples else np.ones(len(langs))
-    weight = weight.sum() / np.maximum(weight, 1) / len(langs)
+    out_w, bias = np.zeros((DIM, classes)), np.zeros(classes)
+    weight = np.bincount([y for _, y in examples], minlength=classes) if examples else np.ones(classes)
+    weight = weight.sum() / np.maximum(weight, 1) / classes
     steps, step = max(1, EPOCHS * len(examples)), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(examples)):
@@ -106,12 +142,13 @@ def train(samples: list[tuple[str, list[str]]], seed: int = SEED) -> dict | None
             bias -= 0.1 * rate * g
             table_rows[ids] -= (rate * 10) * share[:, None] * back
     model = {"langs": langs, "rows": (table_rows @ out_w).astype(np.float32), "bias": bias, "temperature": 1.0, "threshold": ([0.0], [0.0])}
-    check = [(" ".join(ws), langs.index(lang)) for (lang, ws), out in zip(samples, held, strict=True) if out and _LETTER.search(" ".join(ws))]
+    check = [(text, langs.index(lang)) for (lang, text), out in zip(samples, held, strict=True) if out and has_letter(text)]
     if check:
         cut = lambda t, n: t[int(rng.integers(0, max(1, len(t) - n))) :][:n]
-        short = [(s, k) for t, k in check for n in (6, 12, 24, 48) if _LETTER.search(s := cut(t, n))]
-        z = np.array([mean_row(t, model["rows"]) + bias for t, _ in check + short])
-        y = np.array([k for _, k in check + short])
+        short = [(s, k) for t, k in check for n in (6, 12, 24, 48) if has_letter(s := cut(t, n))]
+        none = [(noise(rng, cut(t, n), foreign), len(langs)) for t, _ in check for n in (24, 192)]
+        z = np.array([mean_row(t, model["rows"]) + bias for t, _ in check + short + none])
+        y = np.array([k for _, k in check + short + none])
         loss = lambda t: -np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean()
         model["temperature"] = float(min(np.geomspace(0.05, 20, 60), key=loss))
         model["threshold"] = thresholds(model, check, rng)
@@ -119,7 +156,8 @@ def train(samples: list[tuple[str, list[str]]], seed: int = SEED) -> dict | None
 
 
 def _confidence(model: dict, text: str) -> np.ndarray:
-    return _softmax((mean_row(text, model["rows"]) + model["bias"]) / model["temperature"])
+    """The probability of each language; what is missing to 1 is that of none."""
+    return _softmax((mean_row(text, model["rows"]) + model["bias"]) / model["temperature"])[:-1]
 
 
 def thresholds(model: dict, check: list[tuple[str, int]], rng: np.random.Generator) -> tuple[list[float], list[float]]:
@@ -139,7 +177,7 @@ def thresholds(model: dict, check: list[tuple[str, int]], rng: np.random.Generat
                 if others:
                     other = others[int(rng.integers(len(others)))]
                     texts.append(cut(t, n - n // 2) + " " + cut(other[int(rng.integers(len(other)))], n // 2))
-        texts = [t for t in texts if _LETTER.search(t)]
+        texts = [t for t in texts if has_letter(t)]
         if texts:
             sizes.append(float(np.log(np.median([len(_normal(t)) for t in texts]))))
             least.append(float(np.quantile([_confidence(model, t).max() for t in texts], ALPHA)))
@@ -148,7 +186,7 @@ def thresholds(model: dict, check: list[tuple[str, int]], rng: np.random.Generat
 
 
 def predict(model: dict | None, text: str | None) -> tuple[str, float, bool]:
-    if model is None or not text or not _LETTER.search(text):
+    if model is None or not text or not has_letter(text):
         return UNKNOWN, 0.0, True
     p = _confidence(model, text)
     k = int(p.argmax())
@@ -159,12 +197,14 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample_labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_lang: int = DOCS_PER_LANG) -> list[tuple[str, list[str]]]:
-    """Windows of at most `docs_per_lang` documents a language, chosen by a hash of the id.
+def sample_labelled(
+    docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_lang: int = DOCS_PER_LANG, chars_per_lang: int = CHARS_PER_LANG
+) -> list[tuple[str, str]]:
+    """(language, whole text) of a bounded sample of labelled rows, chosen by a hash of the id.
 
-    Only rows that are not held out and have a label and an id; what reaches the driver
-    is bounded by languages x docs_per_lang x WINDOWS x WINDOW_CHARS characters (about
-    twice that before the cut to docs_per_lang).
+    Only rows that are not held out and have a label and an id. In the order of the hash,
+    rows are taken while they are at most `docs_per_lang` and their characters, longer rows
+    that went before included, at most `chars_per_lang`: that is all that reaches the driver.
     """
     labelled = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
     labelled = labelled.where(F.col("i").isNotNull() & F.col("l").isNotNull() & ~held_out("i"))
@@ -173,16 +213,17 @@ def sample_labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
         return []
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 2 * docs_per_lang / n)))])
     draw = F.pmod(F.xxhash64(F.col("i").cast("string"), F.lit(SEED)), F.lit(1 << 30))
-    room = F.greatest(F.length("t") - WINDOW_CHARS, F.lit(0))
-    cuts = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda k: F.substring("t", 1 + F.floor(k * room / (WINDOWS - 1)).cast("int"), F.lit(WINDOW_CHARS)))
     chosen = labelled.where(draw < F.element_at(share, F.col("l")) * (1 << 30)).where(F.col("t").isNotNull())
-    rows = chosen.select("l", draw.alias("d"), F.col("i").cast("string").alias("i"), F.array_distinct(cuts).alias("w")).collect()
-    out, taken = [], dict.fromkeys(counts, 0)
-    for r in sorted(rows, key=lambda r: (r.d, r.i, r.l, r.w)):
-        if taken[r.l] < docs_per_lang:
-            taken[r.l] += 1
-            out.append((r.l, r.w))
-    return out
+    chosen = chosen.select("l", draw.alias("d"), F.col("i").cast("string").alias("i"), F.xxhash64("t").alias("h"), F.length("t").alias("n"))
+    in_order = Window.partitionBy("l").orderBy("d", "i", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a longer row than what is left is passed over, so that one does not end the sample
+    fits = chosen.where(F.col("n") <= chars_per_lang // 4)
+    fits = fits.withColumns({"nth": F.count(F.lit(1)).over(in_order), "upto": F.sum("n").over(in_order)})
+    taken = fits.where(f"nth <= {docs_per_lang} and upto <= {chars_per_lang}").select("l", "i", "h", "nth").distinct()
+    texts = labelled.select("l", "t", F.col("i").cast("string").alias("i"), F.xxhash64("t").alias("h"))
+    rows = texts.join(F.broadcast(taken), ["l", "i", "h"]).collect()  # at most docs_per_lang rows a language are broadcast
+    first = {(r.l, r.i, r.h): (r.nth, r.t) for r in sorted(rows, key=lambda r: -r.nth)}
+    return [(lang, text) for (lang, _, _), (_, text) in sorted(first.items(), key=lambda x: (x[0][0], x[1][0]))]
 
 
 def identify(docs: DataFrame, model: dict | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
