@@ -13,6 +13,9 @@ more than 4,096 distinct fingerprints and no list is paired up whole. Of each li
 a tree of the linked fingerprints goes on. Equal fingerprints are one posting, however
 many documents share them.
 
+With a `similarity`, texts link by their Jaccard similarity of shingles instead, through the
+positional bytes of `minwise`, as no 64-bit fingerprint reaches 0.8.
+
 Defined results: null or wordless text has fingerprint 0 and links like any other; rows
 with a null doc_id take part, but a class has the smallest doc_id that is not null (null
 if there is none); repeated rows stay repeated.
@@ -29,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftgraph.llm import minwise
 from weftgraph.llm.common import checkpointed, map_texts, salted_join, table
 from weftgraph.llm.components import components
 
@@ -142,15 +146,23 @@ def near_links(prints: DataFrame, hot: int = HOT) -> DataFrame:
     return _links(cold).unionByName(_links(warm))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """(id, text_hash, print, root, component_id): one row per row of `docs`.
 
     `text_hash` tells rows apart that share an id; `root` is a fingerprint that names the class.
+    With `similarity`, `print` is the hash of the text's positional bytes.
     """
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
-    rows = checkpointed(fingerprints(keyed, "text", ["id", "text_hash"], shingle))
+    keep = ["id", "text_hash"]
+    if similarity is None:
+        rows = checkpointed(fingerprints(keyed, "text", keep, shingle))
+        links = near_links(rows.select("print").distinct())
+    else:
+        rows = checkpointed(minwise.signatures(keyed, "text", keep, shingle).withColumn("print", F.xxhash64("sig")))
+        sigs = checkpointed(rows.groupBy(F.col("print").alias("node")).agg(F.first("sig").alias("sig")))
+        links = minwise.near_links(sigs, similarity)
     prints = rows.groupBy("print").agg(F.min("id").alias("first"))
-    roots = components(near_links(prints.select("print")))
+    roots = components(links)
     linked = prints.join(roots.withColumnRenamed("node", "print"), "print")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     linked = salted_join(linked, least, ["root"], ["print"]).select("print", "root", "least")
@@ -158,9 +170,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return salted_join(rows, classes, ["print"], ["id", "text_hash"]).select("id", "text_hash", "print", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """`docs` with one row of each class: that of the smallest id (null last, then by text hash)."""
-    found = near_duplicates(docs, id_col, text_col, shingle)
+    found = near_duplicates(docs, id_col, text_col, shingle, similarity)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "text_hash")).alias("w"))
     word = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
     kept = first.select(word(F.col("w.id")).alias("__id"), F.col("w.text_hash").alias("__hash"))
