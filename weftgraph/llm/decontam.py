@@ -6,13 +6,15 @@ WIDTH characters, so every run of `window` consecutive item words (all words of
 item) is a pattern of that many codes; each document becomes a line of codes, is scanned
 once, and matches are mapped back to words and to code points of the original.
 
-A benchmark above `block_bytes` is taken in blocks, one pass over the documents each, so
-that a worker never holds more than one block's automaton; the passes' hits are then
-united by document.
+A benchmark above `block_bytes` is too large for one automaton in a worker. One pass over
+the documents then looks up the hashes of their windows among those of the benchmark, 8
+bytes each, and keeps the texts that hit any; only these are scanned by one automaton a
+block, and the blocks' runs are merged.
 
 Defined results: null or wordless text has no words and no hits; a benchmark without
 words marks nothing; repeated items count once; hits of an item with a null id count
-as hit words but not as an item. Spans of several blocks may overlap.
+as hit words but not as an item. Runs are disjoint and not adjacent, however many blocks
+there are.
 """
 
 from __future__ import annotations
@@ -26,16 +28,20 @@ from itertools import repeat
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import kept, map_texts, table
+from weftgraph.llm.common import kept, map_texts, salted_join, small_batches, table
 
 WINDOW = 10
 WIDTH = 3
 #: UTF-8 bytes of benchmark text that one automaton takes: about 20 nodes of 40 bytes a word, 130 MB in a worker.
 BLOCK_BYTES = 1_000_000
+#: Window hashes that one pass over the documents looks up, 8 bytes each in a worker: those of about 200 MB of benchmark.
+HASHES = 1 << 25
 
 _KEEP = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz") | frozenset(range(128, 256))
 _TABLE = bytes(b if b in _KEEP else 32 for b in range(256))
@@ -155,16 +161,64 @@ def _scan(key: str, block, window: int):
     return make
 
 
-def _united(first: DataFrame, others: list[DataFrame], keys: list[str]) -> DataFrame:
-    """The first block's rows with the hits of the other blocks."""
-    more = reduce(lambda a, b: a.unionByName(b), others)
-    lists = ("item_ids", "hit_spans", "hit_words")
-    more = more.groupBy(*keys).agg(*[F.flatten(F.collect_list(c)).alias(f"__{c}") for c in lists])
-    rows = first.join(more, keys, "left")
-    rows = rows.withColumns({c: F.array_sort(F.array_distinct(F.concat(c, F.coalesce(f"__{c}", F.array().cast(FIELDS[c].dataType))))) for c in lists})
-    inside = F.array_distinct(F.flatten(F.transform("hit_words", lambda r: F.sequence(r[0], r[1] - 1))))
-    rows = rows.withColumns({"n_hit": F.size(inside).cast("long"), "n_items": F.size("item_ids").cast("long"), "items_sha256": F.sha2(F.array_join("item_ids", ","), 256)})
-    return rows.withColumn("contaminated", F.col("n_hit") > 0).drop(*keys, *[f"__{c}" for c in lists])
+def window_hashes(parts: list[bytes], lengths: list[int]) -> np.ndarray:
+    """The hash of every run of words of the given lengths."""
+    h = np.fromiter((xxhash.xxh64_intdigest(w) for w in parts), np.uint64, len(parts))
+    out, acc = [], np.zeros(len(h), np.uint64)
+    for n in range(1, min(max(lengths, default=0), len(h)) + 1):
+        acc = acc[: len(h) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + h[n - 1 :]
+        if n in lengths:
+            out.append((acc ^ (acc >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(n))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _hashed(items: DataFrame, window: int) -> DataFrame:
+    """(n, h): word counts and hashes of all benchmark windows, distinct."""
+    small_batches(items.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for text in batch.column(0):
+                line = words(text.as_py())
+                n = min(len(line), window)
+                h = np.unique(window_hashes(line, [n])).view(np.int64) if n else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), n), pa.int32()), pa.array(h)], names=["n", "h"])
+
+    return items.select("t").mapInArrow(run, "n int, h long").distinct()
+
+
+def _suspects(docs: DataFrame, text_col: str, hashes: DataFrame, lengths: list[int], keys: list[str]) -> DataFrame:
+    """(keys, text), once, of the texts in which a window's hash occurs."""
+    known = docs.sparkSession.sparkContext.broadcast(np.sort(hashes.select("h").toArrow()["h"].to_numpy().view(np.uint64)))
+
+    def make():
+        def run(texts):
+            out = []
+            for text in texts:
+                h = window_hashes(words(text), lengths)
+                at = np.minimum(np.searchsorted(known.value, h), len(known.value) - 1)
+                out.append(bool((known.value[at] == h).any()) if len(h) else False)
+            return {"__suspect": out}
+
+        return run
+
+    found = map_texts(docs, text_col, T.StructType([T.StructField("__suspect", T.BooleanType())]), make, [*keys, text_col])
+    return found.where("__suspect").dropDuplicates(keys).select(*keys, F.col(f"`{text_col}`").alias("__text"))
+
+
+def _merged(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of (keys, items, runs) from the hits of several blocks, whose runs may overlap or touch."""
+    runs = F.array_sort(F.flatten(F.collect_list(F.zip_with("hit_words", "hit_spans", lambda w, c: F.struct(w[0].alias("a"), w[1].alias("b"), c[0].alias("c"), c[1].alias("d"))))))
+    rows = hits.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("__items"), runs.alias("__runs"))
+    kind = "array<struct<a:bigint,b:bigint,c:bigint,d:bigint>>"
+
+    def step(done, r):
+        last = F.element_at(done, -1)
+        longer = F.struct(last["a"].alias("a"), F.greatest(last["b"], r["b"]).alias("b"), last["c"].alias("c"), F.greatest(last["d"], r["d"]).alias("d"))
+        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))
+        return F.when((F.size(done) > 0) & (r["a"] <= F.try_element_at(done, F.lit(-1))["b"]), joined).otherwise(F.concat(done, F.array(r)))
+
+    return rows.withColumn("__runs", F.aggregate("__runs", F.array().cast(kind), step))
 
 
 def decontaminate(
@@ -176,30 +230,49 @@ def decontaminate(
     window: int = WINDOW,
     keep: list[str] | None = None,
     block_bytes: int = BLOCK_BYTES,
+    hashes: int = HASHES,
 ) -> DataFrame:
     """`docs` with the columns of FIELDS; hit_words are runs [first, after) of word numbers.
 
     The benchmark is a stated query set: its size is measured, and it reaches the
-    executors in blocks of about `block_bytes`.
+    executors in blocks of about `block_bytes`, or as `hashes` window hashes at a time.
     """
     sc = docs.sparkSession.sparkContext
     items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("t is not null")
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, math.ceil(size / block_bytes))
 
-    def scan(df: DataFrame, b: int, columns: list[str] | None) -> DataFrame:
+    def scan(df: DataFrame, b: int, column: str, columns: list[str] | None) -> DataFrame:
         rows = items if n == 1 else items.where(F.pmod(F.xxhash64("t"), F.lit(n)) == b)
         block = sc.broadcast([(r.i, r.t) for r in rows.collect()])
-        return map_texts(df, text_col, FIELDS, _scan(uuid.uuid4().hex, block, window), columns)
+        return map_texts(df, column, FIELDS, _scan(uuid.uuid4().hex, block, window), columns)
 
     if n == 1:
-        return scan(docs, 0, keep)
-    # what a text hits depends on nothing else, so its two hashes name it in every pass
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+        return scan(docs, 0, text_col, keep)
+    # what a text hits depends on nothing else, so its two hashes name it
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
     keys = ["__hash", "__hash2"]
     keyed = docs.withColumns({"__hash": F.xxhash64(text), "__hash2": F.xxhash64(F.lit(1), text)})
-    others = [kept(scan(keyed, b, keys).where("contaminated").dropDuplicates(keys).select(*keys, "item_ids", "hit_spans", "hit_words")) for b in range(1, n)]
-    return _united(scan(keyed, 0, [*(docs.columns if keep is None else keep), *keys]), others, keys)
+    windows = kept(_hashed(items, window))
+    lengths = sorted(r.n for r in windows.select("n").distinct().collect())  # at most `window` numbers
+    passes = max(1, math.ceil(windows.count() / hashes))
+    parts = [windows.where(F.pmod("h", F.lit(passes)) == k) for k in range(passes)]
+    suspects = kept(reduce(lambda a, b: a.unionByName(b), [_suspects(keyed, text_col, p, lengths, keys) for p in parts]).dropDuplicates(keys))
+    hits = [kept(scan(suspects, b, "__text", keys).where("contaminated").select(*keys, "item_ids", "hit_spans", "hit_words")) for b in range(n)]
+    merged = _merged(reduce(lambda a, b: a.unionByName(b), hits), keys)
+
+    def make():
+        return lambda texts: {"n_words": [len(words(t)) for t in texts]}
+
+    names = {f.name.lower() for f in FIELDS}
+    columns = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
+    counted = map_texts(keyed.withColumn("__row", F.monotonically_increasing_id()), text_col, T.StructType([FIELDS["n_words"]]), make, [*columns, *keys, "__row"])
+    rows = salted_join(counted, merged, keys, ["__row"], how="left")
+    pairs = lambda a, b: F.coalesce(F.transform("__runs", lambda r: F.array(r[a], r[b])), F.array().cast(_PAIRS))
+    rows = rows.withColumns({"item_ids": F.coalesce("__items", F.array().cast("array<string>")), "hit_spans": pairs("c", "d"), "hit_words": pairs("a", "b")})
+    n_hit = F.aggregate("hit_words", F.lit(0).cast("long"), lambda acc, r: acc + r[1] - r[0])
+    rows = rows.withColumns({"n_hit": n_hit, "n_items": F.size("item_ids").cast("long"), "items_sha256": F.sha2(F.array_join("item_ids", ","), 256)})
+    return rows.withColumn("contaminated", F.col("n_hit") > 0).select(*[F.col(f"`{c}`") for c in columns], *FIELDS.names)
 
 
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
