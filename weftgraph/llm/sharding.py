@@ -1,7 +1,7 @@
 """Hilbert-curve sharding with DataFrame functions only.
 
-Each metadata dimension is quantised at its approximate quantiles, the cells are ordered
-along a Hilbert curve (Hamilton's algorithm as a state table walked by `aggregate`), and
+Numeric dimensions are quantised at their approximate quantiles, text dimensions where the
+rows of their distinct values in order pass a cell's share; the cells are ordered along a Hilbert curve (Hamilton's algorithm as a state table walked by `aggregate`), and
 the global order (curve index, text checksum, id) is cut into runs of equal counts: law
 `rows`. Files written run by run then have narrow ranges in every dimension.
 
@@ -10,11 +10,13 @@ that one, so no task sees more than a partition; only one row a partition is bro
 
 Defined results: null text has no bytes; null dimensions come first; equal rows take
 neighbouring ranks in any order; an empty table gives no rows; input columns named like
-the ones added are replaced.
+the ones added are replaced. `assign_shards` keeps rows with equal keys in one shard, so
+its counts may differ by the number of rows that share the key at a cut.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,22 +66,49 @@ def hilbert_index(cells: Sequence[Column], bits: int = BITS) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step)["h"]
 
 
-def order_code(text: Column) -> Column:
-    """The first 6 bytes of a string as a number that keeps their order; null is -1."""
-    head = F.rpad(F.substring(F.hex(text.cast("string").cast("binary")), 1, 12), 12, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(-1))
+def _prefix_sums(df: DataFrame, order: Sequence[str], weight: str) -> DataFrame:
+    """`df` with `before`, the sum of `weight` over the rows before each in the order, and `total`.
+
+    Rows are dealt by range; a task sees one partition, and one row a partition is broadcast.
+    """
+    dealt = checkpointed(df.repartitionByRange(*order).withColumn("pid", F.spark_partition_id()))
+    sums = dealt.groupBy("pid").agg(F.sum(weight).alias("s"))
+    upto = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    everything = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    starts = sums.select("pid", (F.sum("s").over(upto) - F.col("s")).alias("start"), F.sum("s").over(everything).alias("total"))
+    inside = Window.partitionBy("pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return dealt.join(F.broadcast(starts), "pid").withColumn("before", F.col("start") + F.sum(weight).over(inside) - F.col(weight)).drop("pid", "start")
 
 
-def cells_of(df: DataFrame, dims: Sequence[str], bits: int = BITS) -> list[Column]:
-    """Cells of numeric columns, cut at their approximate quantiles over all rows."""
+def text_cuts(df: DataFrame, dims: Sequence[str], bits: int = BITS) -> dict[str, list[str]]:
+    """For text columns, the first value of every cell but the lowest: at most 2^bits - 1 a column.
+
+    A value begins in the cell in which the share of the rows with smaller values falls, so
+    a prefix that all values share costs nothing. Nulls are in the lowest cell.
+    """
+    if not dims:
+        return {}
+    pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("value")) for d in dims]))
+    counts = df.select(pairs.alias("p")).select("p.dim", "p.value").groupBy("dim", "value").agg(F.count(F.lit(1)).alias("n"))
+    summed = _prefix_sums(counts, ["dim", "value"], "n")
+    # every column has as many rows, so the sums of one column start at a multiple of that
+    rows = F.col("total") / len(dims)
+    cell = F.floor((F.col("before") % rows) * (1 << bits) / rows)
+    first = summed.where("value is not null").groupBy("dim", cell.alias("cell")).agg(F.min("value").alias("value")).where("cell > 0")
+    out: dict[str, list[str]] = {d: [] for d in dims}
+    for r in first.collect():
+        out[r.dim].append(r.value)
+    return {d: sorted(v, key=lambda x: x.encode("utf-8", "surrogatepass")) for d, v in out.items()}
+
+
+def cells_of(df: DataFrame, numbers: Sequence[str], texts: Sequence[str], bits: int = BITS) -> list[Column]:
+    """Cells of numeric and text columns, cut by all rows."""
     points = [k / (1 << bits) for k in range(1, 1 << bits)]
-    edges = df.agg(*[F.percentile_approx(d, points, 10_000).alias(d) for d in dims]).first()
-    out = []
-    for d in dims:
-        cuts = F.array(*[F.lit(int(e)) for e in sorted(set(edges[d] or [0]))])
-        value = F.col(d)
-        out.append(F.size(F.filter(cuts, lambda e: e <= value)))  # noqa: B023
-    return out
+    edges = df.agg(*[F.percentile_approx(d, points, 10_000).alias(d) for d in numbers]).first()
+    found = {d: F.array(*[F.lit(int(e)) for e in sorted(set(edges[d] or [0]))]) for d in numbers}
+    found |= {d: F.array(*[F.lit(v) for v in cuts]).cast("array<string>") for d, cuts in text_cuts(df, texts, bits).items()}
+    reached = lambda cuts, value: F.size(F.filter(cuts, lambda e: e <= value))
+    return [reached(cuts, F.col(d)) for d, cuts in found.items()]
 
 
 def ranked(df: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -97,14 +126,13 @@ def ranked(df: DataFrame, order: Sequence[str]) -> DataFrame:
 
 def measured(docs: DataFrame, text_col: str, dims: Sequence[str]) -> list[Column]:
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    return [(F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text).alias("text_crc32"), *[order_code(F.col(d)).alias(f"dim_{d}") for d in dims]]
+    return [(F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text).alias("text_crc32"), *[F.col(d).cast("string").alias(f"dim_{d}") for d in dims]]
 
 
 def hilbert_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims: Sequence[str] = ("lang", "source"), shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """(id_col, size, text_crc32, curve, shard, slot) of every row."""
-    names = ["size", *[f"dim_{d}" for d in dims]]
     rows = checkpointed(docs.select(F.col(id_col), *measured(docs, text_col, dims)))
-    rows = rows.withColumn("curve", hilbert_index(cells_of(rows, names, bits), bits)).select(id_col, "size", "text_crc32", "curve")
+    rows = rows.withColumn("curve", hilbert_index(cells_of(rows, ["size"], [f"dim_{d}" for d in dims], bits), bits)).select(id_col, "size", "text_crc32", "curve")
     r = ranked(rows, ["curve", "text_crc32", id_col, "size"])
     at = F.expr(f"cast((rank * {shards}) div total as int)")
     first = F.expr(f"(shard * total + {shards - 1}) div {shards}")
@@ -117,19 +145,32 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The runs are cut on a narrow table; the keys at the cuts (one a shard) then place
     every row. Rows with equal keys stay in one shard.
     """
-    names = ["size", *[f"dim_{d}" for d in dims]]
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("curve", "shard")]
     key = [F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id")]
     narrow = checkpointed(docs.select(*key, *measured(docs, text_col, dims)))
-    cells = cells_of(narrow, names, bits)
+    cells = cells_of(narrow, ["size"], [f"dim_{d}" for d in dims], bits)
     order = ["curve", "text_crc32", "id"]
     r = ranked(narrow.withColumn("curve", hilbert_index(cells, bits)).select(*order), order)
     cut = F.expr(f"rank > 0 and (rank * {shards}) div total != ((rank - 1) * {shards}) div total")
-    cuts = sorted(tuple(x) for x in r.where(cut).select(*order).collect())  # at most shards - 1 rows
+    cuts = sorted((tuple(x) for x in r.where(cut).select(*order).collect()), key=lambda c: (c[0], c[1], c[2].encode("utf-8", "surrogatepass")))  # at most shards - 1 rows
     whole = docs.select(F.struct(*kept).alias("row"), *key, *measured(docs, text_col, dims)).withColumn("curve", hilbert_index(cells, bits))
-    me = F.struct(*order)
-    past = [F.when(me >= F.struct(*[F.lit(v).alias(n) for v, n in zip(c, order, strict=True)]), 1).otherwise(0) for c in cuts]
-    return whole.select("row.*", "curve", sum(past, F.lit(0)).cast("int").alias("shard"))
+    return whole.select("row.*", "curve", cuts_passed(F.struct(*order), cuts).alias("shard"))
+
+
+def cuts_passed(key: Column, cuts: Sequence[tuple[int, int, str]]) -> Column:
+    """How many of some sorted (curve, text_crc32, id) a key is not below, by binary search in one literal."""
+    kind = "array<struct<curve:bigint,text_crc32:bigint,id:string>>"
+    found = F.from_json(F.lit(json.dumps([dict(zip(("curve", "text_crc32", "id"), c, strict=True)) for c in cuts])), kind)
+
+    def halve(at, _):
+        middle = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        passed = key >= F.get(found, middle)
+        low = F.when((at["low"] < at["high"]) & passed, middle + 1).otherwise(at["low"])
+        high = F.when((at["low"] < at["high"]) & ~passed, middle).otherwise(at["high"])
+        return F.struct(low.alias("low"), high.alias("high"))
+
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), start, halve)["low"]
 
 
 def write_shards(sharded: DataFrame, path: str, order: Sequence[str] = ("curve",)) -> None:
