@@ -7,8 +7,9 @@ is redacted when its score passes a threshold calibrated on held-out samples. Ev
 that touches documents is DataFrame functions.
 
 Defined results: null text has no spans; spans count code points, end exclusive; spans of
-the method that overlap a base span, or a better one of the method, are not listed;
-repeated rows repeat.
+the method that overlap a base span are not listed; of spans of the method that overlap
+each other the best-scored is, ties go to the longer, then the earlier, then the kind
+first in GENERATORS; repeated rows repeat.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ BASE = {
 MARKS = {"email": "@", "ip": "[0-9][.][0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
 GENERATORS = {
     "contact": r"(?:\G|(?<=[\s<>()\[\]\"',;:|]))[^\s<>()\[\]\"',;:|@]++\x20?(?:@|\[at\]|\(at\))\x20?[^\s<>()\[\]\"',;:|@]++",
-    "digits": r"(?<![A-Za-z0-9])[(+]?[0-9](?:[\x20().\-/]{0,2}[0-9]){6,24}+(?![A-Za-z0-9])",
-    "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){10,30}+(?![A-Za-z0-9])",
+    "digits": r"(?<![A-Za-z0-9])[(+]?[0-9](?:[\x20().\-/]{0,2}[0-9]){6,}+(?![A-Za-z0-9])",
+    "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){10,}+(?![A-Za-z0-9])",
 }
 GENERATOR_MARKS = {"contact": r"@|\[at\]|\(at\)", "digits": r"[0-9](?:[\x20().\-/]{0,2}[0-9]){6}", "account": "[A-Z]{2}[0-9]{2}"}
 #: Words near a span that speak for a kind.
@@ -225,20 +226,34 @@ def _scored_spans(kind: str) -> Column:
 def scan_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with arrays of spans email, ip, card, phone and, by the trees, contact, digits, account."""
     trees, least = model(docs.sparkSession)
-    new = {*BASE, *GENERATORS}
+    new = {*BASE, *GENERATORS, "__best"}
     found = proposals(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]), text_col)
     taken = [F.col(k) for k in BASE]
-    cols = [c for c in found.columns if c not in GENERATORS]
-    free = {}
-    for k in GENERATORS:
-        free[k] = F.filter(F.col(k), _outside(taken))
-    found = found.select(*[F.col(f"`{c}`") for c in cols], *[free[k].alias(k) for k in GENERATORS])
-    scored = {k: F.transform(F.col(k), _with_features(k)) for k in GENERATORS}
-    found = found.select(*[F.col(f"`{c}`") for c in cols], *[v.alias(k) for k, v in scored.items()])
-    strong = {k: F.filter(F.col(k), lambda x: margin(trees, x["f"]) >= least) for k in GENERATORS}
-    found = found.select(*[F.col(f"`{c}`") for c in cols], *[v.alias(k) for k, v in strong.items()])
-    apart = [F.filter(F.col("digits"), _outside([F.col("account"), F.col("contact")])).alias("digits")]
-    return found.select(*[F.col(f"`{c}`") for c in cols], F.col("contact"), *apart, F.filter(F.col("account"), _outside([F.col("contact")])).alias("account"))
+    cols = [F.col(f"`{c}`") for c in found.columns if c not in GENERATORS]
+    # one step a projection, so that no expression is computed twice
+    found = found.select(*cols, *[F.filter(F.col(k), _outside(taken)).alias(k) for k in GENERATORS])
+    found = found.select(*cols, *[F.transform(F.col(k), _with_features(k)).alias(k) for k in GENERATORS])
+    found = found.select(*cols, *[F.transform(F.col(k), _with_score(trees, i)).alias(k) for i, k in enumerate(GENERATORS)])
+    strong = F.filter(F.concat(*GENERATORS), lambda x: x["score"] >= least)
+    found = found.select(*cols, best_apart(strong).alias("__best"))
+    return found.select(*cols, *[F.filter("__best", _of_kind(i)).alias(k) for i, k in enumerate(GENERATORS)])
+
+
+def best_apart(spans: Column) -> Column:
+    """Of spans (score, s, e, kind, m) those that overlap no better one, in order of their place."""
+    order = lambda x: F.struct((-x["score"]).alias("a"), (x["s"] - x["e"]).alias("b"), x["s"].alias("c"), x["kind"].alias("d"), x.alias("x"))
+    ranked = F.array_sort(F.transform(spans, order))
+    none = F.slice(spans, 1, 0)
+    kept = F.aggregate(ranked, none, lambda done, r: F.when(F.exists(done, lambda d: (d["s"] < r["x"]["e"]) & (r["x"]["s"] < d["e"])), done).otherwise(F.concat(done, F.array(r["x"]))))
+    return F.transform(F.array_sort(F.transform(kept, lambda x: F.struct(x["s"].alias("s"), x.alias("x")))), lambda r: r["x"])
+
+
+def _of_kind(i: int):
+    return lambda x: x["kind"] == i
+
+
+def _with_score(trees: Boosted, i: int):
+    return lambda x: F.struct(margin(trees, x["f"]).alias("score"), x["s"].alias("s"), x["e"].alias("e"), F.lit(i).alias("kind"), x["m"].alias("m"))
 
 
 def _outside(others: list[Column]):
@@ -250,8 +265,8 @@ def _with_features(kind: str):
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with `redacted`: every found span replaced by [kind]."""
-    found = scan_pii(docs, text_col)
+    """`docs` with `redacted`: every found span replaced by [kind]. Input columns named like a kind are replaced."""
+    found = scan_pii(docs.drop("redacted", "__done"), text_col)
     every = F.array_sort(F.concat(*[F.transform(k, _named(k)) for k in (*BASE, *GENERATORS)]))
     text = F.coalesce(F.col(text_col), F.lit(""))
 
@@ -274,4 +289,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in BASE]
     digest = F.sha2(listed(base, by_start=False), 256).alias("base_sha256")
     every = base | {k: F.col(k) for k in GENERATORS}
-    return found.select("doc_id", *counts, digest, listed(every, by_start=False).alias("spans"))
+    n = sum((F.size(k) for k in every), F.lit(0)).cast("long").alias("n_spans")
+    return found.select("doc_id", *counts, digest, listed(every, by_start=False).alias("spans"), n)
