@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from weftgraph.sources.paths import removed_at_exit, shared_dir
+
 #: Rows that a Python function sees at once, whatever the size of the Arrow batch.
 SLICE = 512
 #: Bytes of an Arrow batch on its way to Python: both sides of every core hold a few of these.
@@ -23,29 +24,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _shared_dir(df: DataFrame) -> str:
-    """The session's `spark.checkpoint.dir`; where that is unset (tests, one machine), a temporary folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weft-ckpt-"))
-    return sc.getCheckpointDir()
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the shared folder of the cluster."""
-    _shared_dir(df)
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a table in that folder.
+    """Cut the lineage by a table in that folder, which goes when the application ends.
 
     Unlike a checkpoint it starts again from measured sizes: estimates multiply from
     join to join, and a loop of checkpoints ends up planning with astronomical numbers.
     """
-    path = f"{_shared_dir(df)}/weft-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = removed_at_exit(spark, f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def salted_join(many: DataFrame, one: DataFrame, keys: list[str], by: list[str], salts: int = 8, how: str = "inner") -> DataFrame:

@@ -161,13 +161,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = checkpointed(minwise.signatures(keyed, "text", keep, shingle).withColumn("print", F.xxhash64("sig")))
         sigs = checkpointed(rows.groupBy(F.col("print").alias("node")).agg(F.first("sig").alias("sig")))
         links = minwise.near_links(sigs, similarity)
-    prints = rows.groupBy("print").agg(F.min("id").alias("first"))
-    roots = components(links)
-    linked = prints.join(roots.withColumnRenamed("node", "print"), "print")
-    least = linked.groupBy("root").agg(F.min("first").alias("least"))
-    linked = salted_join(linked, least, ["root"], ["print"]).select("print", "root", "least")
-    classes = prints.join(linked, "print", "left").select("print", F.coalesce("root", "print").alias("root"), F.coalesce("least", "first").alias("component_id"))
-    return salted_join(rows, classes, ["print"], ["id", "text_hash"]).select("id", "text_hash", "print", "root", "component_id")
+    roots = components(links).select(F.col("node").alias("print"), "root")
+    # rows are dealt by fingerprint or class and a salt, as one of either may hold many of them
+    labelled = salted_join(rows.select("id", "text_hash", "print"), roots, ["print"], ["id", "text_hash"], how="left")
+    labelled = checkpointed(labelled.withColumn("root", F.coalesce("root", "print")))
+    least = labelled.groupBy("root").agg(F.min("id").alias("component_id"))
+    return salted_join(labelled, least, ["root"], ["id", "text_hash"]).select("id", "text_hash", "print", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
