@@ -529,7 +529,17 @@ def test_near_dedup_reaches_its_similarity(spark, sf, docs, texts, awkward, none
 # 5 Language
 
 
-def test_langid(spark, sf, docs, awkward, none):
+@pytest.fixture(scope="module")
+def lang_model(docs):
+    return langid.learn(docs)
+
+
+@pytest.fixture(scope="module")
+def lm_vocab(docs):
+    return lmscore.vocabulary(lmscore.count_words(docs))
+
+
+def test_langid(spark, sf, docs, awkward, none, lang_model):
     rows = queries.QUERIES["op5_langid"](spark, sf).collect()
     truth = {r.doc_id: r for r in docs.collect()}
     assert len(rows) == len(truth)
@@ -537,7 +547,7 @@ def test_langid(spark, sf, docs, awkward, none):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1
     held = [r.lang_pred == truth[r.doc_id].lang for r in rows if r.held_out]
     assert np.mean(held) > 0.9
-    model = langid.learn(docs)
+    model = lang_model
     got = langid.identify(awkward, model).collect()
     letters = lambda t: any(unicodedata.category(c)[0] == "L" for c in t or "")
     assert len(got) == len(AWKWARD)
@@ -557,8 +567,8 @@ RUSSIAN = "Все люди рождаются свободными и равны
 POLISH = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa."
 
 
-def test_langid_rejects_what_it_has_not_learned(docs):
-    model, rng = langid.learn(docs), random.Random(9)
+def test_langid_rejects_what_it_has_not_learned(docs, lang_model):
+    model, rng = lang_model, random.Random(9)
     rejected = lambda texts: np.mean([langid.predict(model, t)[2] for t in texts])
     texts = [r.text for r in docs.collect() if r.lang and r.text]
     letter = lambda t: any(map(str.isalpha, t))
@@ -573,9 +583,9 @@ def test_langid_rejects_what_it_has_not_learned(docs):
     assert rejected([GREEK, GREEK[:40], CHINESE, CHINESE[:20], RUSSIAN, POLISH]) == 1
 
 
-def test_langid_learns_only_from_its_rows(docs):
+def test_langid_learns_only_from_its_rows(docs, lang_model):
     spoiled = docs.withColumn("lang", F.when(langid.held_out("doc_id"), "xx").otherwise(F.col("lang")))
-    a, b = langid.learn(docs), langid.learn(spoiled)
+    a, b = lang_model, langid.learn(spoiled)
     assert a["langs"] == b["langs"] and np.array_equal(a["rows"], b["rows"])
     text = "the and of to " * 50
     assert np.allclose(langid.mean_row(text, a["rows"]), a["rows"][langid._buckets(langid._normal(text))].mean(axis=0))
@@ -705,8 +715,8 @@ def test_lm_scores_words_and_not_their_buckets(spark, docs, monkeypatch):
     assert score(often.word) > score(unseen) and share(vocab, seldom.word) < share(vocab, often.word)
 
 
-def test_lm_trains_on_every_position(docs, monkeypatch):
-    vocab = lmscore.vocabulary(lmscore.count_words(docs))
+def test_lm_trains_on_every_position(docs, lm_vocab):
+    vocab = lm_vocab
     few = [lmscore.token_ids(r.text, vocab) for r in docs.orderBy("doc_id").limit(30).collect()]
     base, seen = vocab.base, Counter()
     for w in lmscore.stretches(lmscore.padded_line(few, base), base, 3):
@@ -724,9 +734,9 @@ def test_lm_trains_on_every_position(docs, monkeypatch):
     assert sum(len(r.ids) // 2 for r in rows) == vocab.tokens
 
 
-def test_lm_is_the_same_for_any_partitioning(docs, monkeypatch):
+def test_lm_is_the_same_for_any_partitioning(docs, lm_vocab, monkeypatch):
     monkeypatch.setattr(lmscore, "FAN", 2)
-    vocab = lmscore.vocabulary(lmscore.count_words(docs))
+    vocab = lm_vocab
     a = lmscore.fit(docs.coalesce(1), vocab, shard=10_000)
     b = lmscore.fit(docs.repartition(7, "doc_id"), vocab, shard=10_000)
     assert vocab.tokens > 5 * 10_000
