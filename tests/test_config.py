@@ -7,7 +7,7 @@ import pytest
 from weftgraph.cli import main
 from weftgraph.config import IngestConfig, NodeMapping, PropertyMapping, SchemaConstraint, SchemaDefinition, SchemaIndex, SourceConfig, load_config
 from weftgraph.env import MissingEnvironmentVariable, resolve
-from weftgraph.metrics import JobMetrics, track_step
+from weftgraph.metrics import JobMetrics
 from weftgraph.plans.csv_mapping import load_csv_mapping
 from weftgraph.plans.kg_schema import from_dict, is_kg_schema
 from weftgraph.resilience import CircuitBreaker, CircuitBreakerOpen, CircuitState, MaxRetriesExceeded, healthy, retry
@@ -32,11 +32,13 @@ def test_defaults_and_references():
     assert cfg.settings.batch_size == 500 and cfg.settings.execution_mode == "standard" and cfg.connection.uri == "bolt://localhost:7687"
     with pytest.raises(ValueError, match="unknown source 'x'"):
         IngestConfig.model_validate(minimal(nodes=[{"source": "x", "label": "A", "key": "id"}]))
-    with pytest.raises(ValueError, match="merged by"):
-        IngestConfig.model_validate(minimal(nodes=[{"source": "s", "label": "A", "key": "a"}, {"source": "s", "label": "A", "key": "b"}]))
+    two = IngestConfig.model_validate(minimal(nodes=[{"source": "s", "label": "A", "key": "a"}, {"source": "s", "label": "A", "key": "b"}]))
+    assert [n.key for n in two.nodes] == ["a", "b"]
     assert PropertyMapping(source_field="a", target="").target_name == "a"
     store = IngestConfig.model_validate(minimal(somestore={"uri": "bolt://db", "username": "me"}, settings={"spark": {"somestore_connector_batch_size": 9}}))
     assert store.connection.uri == "bolt://db" and store.settings.spark.connector_batch_size == 9
+    other = IngestConfig.model_validate(minimal(warehouse={"uri": "x://y", "schema": "z"}, note={"username": "me"}, settings={"spark": {"my_own_connector_batch_size": 9, "other": 1}}))
+    assert other.connection.uri == "bolt://localhost:7687" and other.settings.spark.connector_batch_size == 5000  # unknown keys are ignored
 
 
 @pytest.mark.parametrize("kind", ["csv", "json", "sql", "rest"])
@@ -156,9 +158,9 @@ def test_retry_and_breaker():
 
 def test_metrics():
     m = JobMetrics()
-    with track_step(m.add_step("a")) as s:
+    with m.step("a") as s:
         s.records_processed, s.records_failed = 5, 1
-    with pytest.raises(ValueError), track_step(m.add_step("b")):
+    with pytest.raises(ValueError), m.step("b"):
         raise ValueError("boom")
     d = json.loads(m.to_json())
     assert [x["status"] for x in d["steps"]] == ["completed", "failed"] and d["steps"][1]["error"] == "boom"

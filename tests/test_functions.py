@@ -163,3 +163,57 @@ def test_ids(spark):
         ids(strategy="passthrough")
     with pytest.raises(ValueError, match="share one id"):
         ids(fields=["nope"])
+
+
+PATTERNS = [
+    r"\d+", r"\w+$", r"\W", r"[\w.-]+@[\w-]+", r"\s*\S", r"a.b", r"(?i)é", r"(?i:STRASSE) x", r"x\b", r"\bx", r"a\Bb", r"[^\d\s]+$", r"[[a]", r"[a&&b]+$", r"[]x]", r"[^]x]", r"a{,2}b", r"a{2}$", r"a{x", r"}x",
+    r"\x41\u00e9", r"a|b$", r"^a$", r"a\Z", r"(a)\1", r"(?s)a.b", r"(?P<n>a)(?P=n)", r"(?x) a  b", r"(?m)^a$", r"a\.b\-c", r"[\b]", r"(?<=a)b", r"(?=a)\w", r"\v", r"[a~|#]", r"\141", r"a++b", r"(?>a|b)c", r"", r"(?a)\w",
+    r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4})+", r"^[^@\s]+@[^@\s]+\.[^@\s]+$", r"[\W\d]+$", r"[\S]", r"(?-i:a)", r"\t|\n", r"€+", r"[à-ü]+$",
+]
+SUBJECTS = ["", "a", "b", "ab", "a\nb", "a\rb", "a\u2028b", "a\u0085b", "É", "é", "x", "x y", "xé", "٣", "½", "²", "_", "a_b-c.d@e-f", "e\u0301", "\u00a0x", "\x1cx", "\u2003", "aab", "aaa", "aa", "a{x", "}x", "A\u00e9", "a\n", "aa\n", "a.b-c", "\x08", "]", "[", "[a", "&", "a&&b", "\x0b", "~|#", "straße x", "STRASSE x", "strasse x", "\u212a", "DE89 3704 0044", "jo@x.org", "jo@x", "ab\tc", "€€", "äöü", "中文", "😀", "bc", "ac", "aac", "\t", None]
+
+
+def test_patterns_match_as_in_python(spark):
+    import re
+
+    from weftgraph.config import ValidationRuleConfig
+    from weftgraph.functions.patterns import to_java
+    from weftgraph.operators.validation import apply_rules
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(SUBJECTS)], "i int, t string").coalesce(1)
+    in_python = [p for p in PATTERNS if to_java(p) is None]
+    assert in_python == [r"(?P<n>a)(?P=n)", r"(?x) a  b", r"(?m)^a$", r"\141", r"(?a)\w"]
+    for p in PATTERNS:
+        valid = {r.i for r in apply_rules(df, [ValidationRuleConfig(field="t", rule="regex", params={"pattern": p})]).valid.collect()}
+        assert valid == {i for i, t in enumerate(SUBJECTS) if t is None or re.match(p, t)}, (p, to_java(p), [(SUBJECTS[i], bool(re.match(p, SUBJECTS[i] or ""))) for i in valid ^ {i for i, t in enumerate(SUBJECTS) if t is None or re.match(p, t)}])
+    plan = apply_rules(df, [ValidationRuleConfig(field="t", rule="regex", params={"pattern": r"(?i)\w+\s\d{3}\b"})]).valid._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+
+
+def test_one_of_compares_exactly(spark):
+    from decimal import Decimal
+
+    from weftgraph.config import ValidationRuleConfig
+    from weftgraph.operators.validation import apply_rules
+
+    big = 9007199254740993
+    df = spark.createDataFrame([(big, True, 0.1, Decimal("0.10")), (big - 1, False, float(big - 1), Decimal("2.00")), (None, None, None, None)], "l long, b boolean, d double, e decimal(10,2)")
+    valid = lambda f, *values: [r[f] for r in apply_rules(df, [ValidationRuleConfig(field=f, rule="one_of", params={"values": list(values)})]).valid.where(f"{f} is not null").collect()]
+    assert valid("l", big - 1) == [big - 1] and valid("l", big) == [big] and valid("l", float(big - 1), "x") == [big - 1] and valid("l", 2**70, 0.5) == [] and valid("l", "1") == []
+    assert valid("b", 1) == [True] and valid("b", False) == [False]
+    assert valid("d", big - 1, 0.1) == [0.1, float(big - 1)] and valid("d", big) == [] and valid("d", float("nan")) == []
+    assert valid("e", 2) == [Decimal("2.00")] and valid("e", 0.1) == []  # 0.1 is no decimal 0.10, as in Python
+    assert valid("l", True) == []
+
+
+def test_number_text_has_small_code(spark):
+    """str() of a double compiles, whatever the number, also several times in one projection."""
+    from weftgraph.functions.pyvalues import pystr
+
+    numbers = [0.0, -0.0, 1.5, 1e16, 1e15, 123456789.125, 1e-5, 1e-4, 2.5e-320, 1.7976931348623157e308, 2.0**70, 0.1 + 0.2, 1 / 3, 1e22, 1e23, float("inf"), float("-inf"), float("nan"), 9007199254740993.0, -1.25e-7, 100.0]
+    df = spark.createDataFrame([(x,) for x in numbers], "x double").coalesce(1)
+    text = pystr(F.col("x"), T.DoubleType())
+    got = df.select("x", *[text.alias(f"t{i}") for i in range(5)]).collect()
+    assert [r.t4 for r in got] == [repr(x) for x in numbers]
+    code = df.select(*[text.alias(f"t{i}") for i in range(3)])._jdf.queryExecution().debug().codegenToSeq().toString()
+    assert len(code) < 60_000

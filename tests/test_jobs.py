@@ -165,6 +165,103 @@ def test_hooks(spark):
     run_hook(out, lambda gr: None)
 
 
+def test_sql_hooks_keep_what_they_do_not_return(spark):
+    def graph():
+        nodes = rows(spark, [(1, "a"), (2, "b"), (3, "c")], "id int, tag string")
+        return g.PropertyGraph(nodes={"P": g.Nodes(nodes, "id")}, rels={("B", "P", "P"): rows(spark, [(1, 2)], "from_val int, to_val int")})
+
+    tags = lambda out: {r.id: r.tag for r in out.nodes["P"].df.collect()}
+    assert tags(run_hook(graph(), SchemaHook(sql="SELECT from_val AS id, 'x' AS tag FROM rel_B", label="P"), spark)) == {1: "x", 2: "b", 3: "c"}
+    assert tags(run_hook(graph(), SchemaHook(sql="SELECT id, CAST(NULL AS STRING) AS tag FROM node_P WHERE id = 2", label="P"), spark)) == {1: "a", 2: None, 3: "c"}
+    assert tags(run_hook(graph(), SchemaHook(sql="SELECT id, id * 10 AS tag FROM node_P WHERE id = 3", label="P"), spark)) == {1: "a", 2: "b", 3: "30"}
+    with pytest.raises(Exception, match="several rows for 1"):
+        tags(run_hook(graph(), SchemaHook(sql="SELECT 1 AS id, 'x' AS tag UNION ALL SELECT 1, 'y'", label="P"), spark))
+    with pytest.raises(ValueError, match="must return its key"):
+        run_hook(graph(), SchemaHook(sql="SELECT 'x' AS tag", label="P"), spark)
+    empty = g.PropertyGraph()
+    run_hook(empty, SchemaHook(sql="SELECT 1 AS id", label="P"), spark)
+    assert empty.nodes == {}
+    for text in ("WITH p, count(r) AS n SET p.n = n", "WITH p, avg(r.w) AS n SET p.n = n"):
+        out = run_hook(graph(), SchemaHook(cypher=f"MATCH (p:P)<-[r:NONE]-() {text}"), spark)
+        assert {r.n for r in out.nodes["P"].df.collect()} == {None}
+
+
+def test_relationship_to_an_absent_label(spark, tmp_path):
+    cfg = job(tmp_path, settings={"output_path": str(tmp_path / "out"), "coerce_endpoints": True})
+    cfg["relationships"].append(cfg["relationships"][0] | {"rel_type": "LIKES", "to_label": "Nobody"})
+    cfg["relationships"].append(cfg["relationships"][0] | {"rel_type": "KNOWS", "validation": {"rules": [{"field": "title", "rule": "required"}]}, "from_label": "Nobody"})
+    for _ in range(2):
+        out = run(IngestConfig.model_validate(cfg), spark=spark)
+        assert out.relationships_created == {"WORKS_IN": 4, "LIKES": 4, "KNOWS": 3} and out.records_skipped == 2
+        assert (out.graph.rel("LIKES").count(), out.graph.rel("KNOWS").count(), out.graph.rel("WORKS_IN").count()) == (0, 0, 2)
+        assert out.dangling["rels:LIKES"].count() == 4
+
+
+def test_label_merged_by_two_keys(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,mail\n1,a@x\n2,b@x\n,z@x\n")
+    (tmp_path / "b.csv").write_text("mail,team\nb@x,red\nc@x,blue\nb@x,green\n")
+    props = lambda *names: [{"source_field": n} for n in names]
+    cfg = {
+        "sources": [{"name": n, "type": "csv", "path": str(tmp_path / f"{n}.csv")} for n in "ab"],
+        "nodes": [{"source": "a", "label": "P", "key": "id", "properties": props("id", "mail")}, {"source": "b", "label": "P", "key": "mail", "properties": props("mail", "team")}],
+        "relationships": [{"source": "b", "rel_type": "SAME", "from_label": "P", "from_key": "mail", "from_field": "mail", "to_label": "P", "to_key": "id", "to_field": "team"}],
+    }
+    want = {("1", "a@x", None), ("2", "b@x", "green"), ("", "z@x", None), (None, "c@x", "blue")}
+    got = lambda out: {(r.id, r.mail, r.team) for r in out.graph.nodes["P"].df.collect()}
+    assert got(run(IngestConfig.model_validate(cfg), spark=spark)) == want
+    cfg["settings"] = {"output_path": str(tmp_path / "out")}
+    for _ in range(2):  # a second run finds its own nodes
+        out = run(IngestConfig.model_validate(cfg), spark=spark)
+        assert got(out) == want and out.graph.nodes["P"].df.count() == 4
+
+
+def test_record_index_is_the_place_in_the_source(spark, tmp_path):
+    from weftgraph.config import ValidationConfig
+    from weftgraph.operators.validation import validate
+
+    n = 0
+    for name, size in (("c", 40), ("a", 500), ("b", 3)):
+        spark.range(size).selectExpr("cast(id as int) as k", f"'{name}' as file").coalesce(1).write.parquet(str(tmp_path / "tmp" / name))
+        next((tmp_path / "tmp" / name).glob("*.parquet")).rename(tmp_path / f"{name}.parquet")
+    df = spark.read.parquet(str(tmp_path / "*.parquet"))
+    before = {"a": 0, "b": 500, "c": 503}  # by file name, whatever the order in which splits are dealt
+    rules = lambda e: ValidationConfig(rules=[{"field": "k", "rule": "max", "params": {"value": 1}}], on_error=e)
+    for source in (df, df.select("k", "file")):
+        found = validate(source, rules("dead_letter")).rejects().collect()
+        assert len(found) == 498 + 1 + 38
+        assert all(r.record_index == before[r.record.file] + r.record.k for r in found)
+    with pytest.raises(ValueError, match="failed at record 2:"):
+        validate(df, rules("fail"))
+    made = spark.range(100).repartition(7, "id").selectExpr("cast(id as int) as k")  # no files: in the order of partitions
+    order = [r.k for r in made.collect()]
+    found = validate(made, rules("dead_letter")).rejects().collect()
+    assert {r.record_index: r.record.k for r in found} == {i: k for i, k in enumerate(order) if k > 1}
+    assert n == 0
+
+
+def test_csv_files_are_split_where_lines_are_records(spark, tmp_path):
+    from weftgraph.sources.files import splittable
+
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    plain = "a,b\n" + "".join(f'{i},"x ""{i}"", y"\n' for i in range(3000))
+    texts = {"plain": plain, "broken": plain + '7,"line\nbreak"\n', "blank": plain + "  \n", "short": "a,b\n1,2\n"}
+    try:
+        spark.conf.set(size, "10000")
+        for name, text in texts.items():
+            (tmp_path / f"{name}.csv").write_text(text)
+            cfg = SourceConfig(name="s", type="csv", path=str(tmp_path / f"{name}.csv"))
+            assert splittable(spark, cfg) == (name == "plain")
+            df = read_source(spark, cfg)
+            assert (df.rdd.getNumPartitions() > 1) == (name == "plain")
+            if name == "plain":
+                assert sorted((r.a, r.b) for r in df.collect()) == sorted((str(i), f'x "{i}", y') for i in range(3000))
+            if name == "broken":
+                assert df.where("a = '7'").collect()[-1].b == "line\nbreak"
+    finally:
+        spark.conf.set(size, before)
+
+
 def test_file_sources(spark, tmp_path):
     (tmp_path / "a.csv").write_text('a;b;c\n1;"x;""y""\nz";\n\n2;;""\n')
     read = lambda **c: [tuple(r) for r in read_source(spark, SourceConfig(name="s", **c)).collect()]
@@ -207,6 +304,55 @@ def test_streams(spark, tmp_path):
     assert {(r.id, r.v) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {(1, "c"), (2, "b"), (3, "d")}
 
 
+def test_stream_tables_survive_a_lost_driver(spark, tmp_path):
+    """At every point of a swap the next batch finds all rows."""
+    from weftgraph.streaming import merge as m
+
+    path = tmp_path / "t"
+    write = lambda where, data: spark.createDataFrame(data, "id int, v string, bucket int").coalesce(1).write.partitionBy("bucket").parquet(str(where))
+    read = lambda: {(r.id, r.v) for r in m.bucketed(spark, str(path)).collect()}
+    assert m.bucketed(spark, str(path)) is None
+    m.recover(spark, str(path))
+    write(path, [(1, "a", 0), (2, "b", 1)])
+    write(path / m.NEW, [(1, "c", 0), (3, "d", 2)])
+    assert read() == {(1, "a"), (2, "b")}  # new files are not seen before the swap
+    m.swap(spark, str(path))
+    assert read() == {(1, "c"), (2, "b"), (3, "d")}
+    # the old bucket is away and the new one not yet there
+    write(path / m.NEW, [(1, "e", 0)])
+    (path / m.OLD).mkdir()
+    (path / "bucket=0").rename(path / m.OLD / "bucket=0")
+    m.recover(spark, str(path))
+    assert read() == {(1, "c"), (2, "b"), (3, "d")}
+    # both are there: the swap of that bucket was done
+    write(path / m.OLD, [(1, "older", 0)])
+    m.recover(spark, str(path))
+    assert read() == {(1, "c"), (2, "b"), (3, "d")} and not (path / m.OLD).exists() and not (path / m.NEW).exists()
+
+
+def test_progress_and_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from weftgraph.metrics import JobMetrics, TaskProgress
+    from weftgraph.sources.paths import shared_dir
+
+    with TaskProgress(spark, 0.01) as p:
+        spark.range(10).count()
+        assert all(done <= tasks for _, done, tasks in p.report())
+    m = JobMetrics()
+    with pytest.raises(KeyError), m:
+        with m.step("good") as s:
+            s.records_processed = 10
+        with m.step("bad"):
+            raise KeyError("x")
+    assert [s.status for s in m.steps] == ["completed", "failed"] and m.status == "failed" and m.errors == ["'x'"] and m.steps[1].error == "'x'"
+    assert m.total_records_processed == 10 and m.duration_seconds >= 0 and m.steps[0].duration_seconds >= 0
+    assert JobMetrics().step("x").to_dict()["status"] == "pending"
+    remote = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="yarn"), conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
+        shared_dir(remote)
+
+
 def test_stream_windows(spark, sf, tmp_path):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
@@ -219,6 +365,7 @@ def test_queries_match_sql(spark, sf):
     """Every registered query of the engine against its SQL."""
     import duckdb
 
+    from weftgraph.plans import checks  # noqa: F401  it registers further queries
     from weftgraph.plans.catalogue import ORACLE, QUERIES
 
     con = duckdb.connect()

@@ -205,10 +205,11 @@ class SparkSettings(BaseModel):
     @model_validator(mode="before")
     @classmethod
     def _any_connector(cls, data: Any) -> Any:
-        """A batch size named after its connector is taken as connector_batch_size."""
-        if isinstance(data, dict):
-            named = [k for k in data if k.endswith("_connector_batch_size")]
-            data = {k: v for k, v in data.items() if k not in named} | {"connector_batch_size": data[k] for k in named}
+        """One number <store>_connector_batch_size is taken as connector_batch_size; other unknown keys are ignored."""
+        if isinstance(data, dict) and "connector_batch_size" not in data:
+            named = [k for k, v in data.items() if k.count("_") == 3 and k.endswith("_connector_batch_size") and isinstance(v, int)]
+            if len(named) == 1:
+                return {k: v for k, v in data.items() if k != named[0]} | {"connector_batch_size": data[named[0]]}
         return data
 
 
@@ -227,6 +228,8 @@ class JobSettings(BaseModel):
     output_path: str | None = None
     #: A connector's data source name: projections are also handed to it with their statements.
     external_format: str | None = None
+    #: Seconds between reports of the tasks that are done; none by default.
+    progress_seconds: float | None = None
     coerce_endpoints: bool = False
     strict_keys: bool = False
 
@@ -246,12 +249,15 @@ class IngestConfig(BaseModel):
     @model_validator(mode="before")
     @classmethod
     def _any_connection(cls, data: Any) -> Any:
-        """A connection block may be named after its store: it is the unknown key that holds a uri or a user."""
+        """A connection block may be named after its store: the one unknown block that has a uri and nothing but a connection's fields.
+
+        Any other unknown key is ignored.
+        """
         if isinstance(data, dict) and "connection" not in data:
             known = {*cls.model_fields, "schema"}
-            for k, v in data.items():
-                if k not in known and isinstance(v, dict) and {"uri", "username"} & v.keys():
-                    return {n: x for n, x in data.items() if n != k} | {"connection": v}
+            found = [k for k, v in data.items() if k not in known and isinstance(v, dict) and "uri" in v and v.keys() <= Connection.model_fields.keys()]
+            if len(found) == 1:
+                return {n: x for n, x in data.items() if n != found[0]} | {"connection": data[found[0]]}
         return data
 
     @model_validator(mode="after")
@@ -263,10 +269,7 @@ class IngestConfig(BaseModel):
             for m in mappings:
                 if m.source not in names:
                     raise ValueError(f"{kind} mapping references unknown source '{m.source}'")
-        keys: dict[str, str] = {}
         for m in self.nodes:
-            if keys.setdefault(m.label, m.key) != m.key:
-                raise ValueError(f"label '{m.label}' is merged by '{keys[m.label]}' and by '{m.key}'")
             targets = {p.target_name for p in m.properties}
             if len({t.lower() for t in targets}) != len(targets):
                 raise ValueError(f"properties of '{m.label}' differ in case only")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,24 +29,50 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
 
 
-def _double_text(x: Column) -> Column:
-    """repr() of a float: positional from 1e-4 up to 1e16, else with a two-digit exponent."""
-    text = short = x.cast("string")
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)`, with `value` computed once and its code written once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _shortest(x: Column, text: Column) -> Column:
+    """The text of a double with the fewest digits that tell it apart; the JVM may print one or two more."""
     long = F.length(F.regexp_replace(F.substring_index(text, "E", 1), "[-.]|^-?0[.]0*", ""))
-    for digits in (17, 16):  # the JVM may print more digits than tell the number apart
+    for digits in (17, 16):
         fewer = F.format_string(f"%.{digits - 1}E", x)
         text = F.when((long > digits) & (fewer.try_cast("double") == x), fewer).otherwise(text)
+    return text
+
+
+def _unscaled(text: Column) -> Column:
+    """Text like -1.25E-7 as Python writes it."""
     sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
     mantissa = F.regexp_replace(F.substring_index(text, "E", 1), "^-|[.]?0+$", "")
-    digits = F.regexp_replace(mantissa, "[.]", "")
-    power = F.substring_index(text, "E", -1).cast("int")
-    whole = F.concat(F.rpad(digits, F.greatest(F.length(digits), power + 1), F.lit("0")))
-    big = F.concat(F.substring(whole, F.lit(1), power + 1), F.lit("."), F.coalesce(F.nullif(F.substring(whole, power + 2, F.length(whole)), F.lit("")), F.lit("0")))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(-power - 1, F.lit(0))), digits)
-    exponent = F.concat(mantissa, F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(power).cast("string"), F.greatest(F.length(F.abs(power).cast("string")), F.lit(2)), F.lit("0")))
-    plain = F.when(power.between(0, 15), big).when(power.between(-4, -1), small).otherwise(exponent)
+    parts = F.struct(sign.alias("sign"), mantissa.alias("mantissa"), F.regexp_replace(mantissa, "[.]", "").alias("digits"), F.substring_index(text, "E", -1).cast("int").alias("power"))
+
+    def written(p: Column) -> Column:
+        digits, power = p["digits"], p["power"]
+        whole = F.rpad(digits, F.greatest(F.length(digits), power + 1), F.lit("0"))
+        after = F.coalesce(F.nullif(F.substring(whole, power + 2, F.length(whole)), F.lit("")), F.lit("0"))
+        big = F.concat(F.substring(whole, F.lit(1), power + 1), F.lit("."), after)
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(-power - 1, F.lit(0))), digits)
+        size = F.abs(power).cast("string")
+        exponent = F.concat(p["mantissa"], F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(size, F.greatest(F.length(size), F.lit(2)), F.lit("0")))
+        return F.concat(p["sign"], F.when(power.between(0, 15), big).when(power.between(-4, -1), small).otherwise(exponent))
+
+    return _let(parts, written)
+
+
+def _double_text(x: Column) -> Column:
+    """repr() of a float: positional from 1e-4 up to 1e16, else with a two-digit exponent.
+
+    Short plain texts, the common case, stay in generated code; the rest is interpreted,
+    as its code would grow beyond what the JVM compiles.
+    """
+    short = x.cast("string")
     common = ~short.contains("E") & (F.length(short) <= 17) & ~F.isnan(x) & (F.abs(x) < 1e7)
-    return F.when(common, short).when(F.isnan(x), "nan").when(text == "Infinity", "inf").when(text == "-Infinity", "-inf").when(text.contains("E"), F.concat(sign, plain)).otherwise(text)
+    rare = _let(x, lambda v: _let(_shortest(v, v.cast("string")), lambda t: F.when(t.contains("E"), _unscaled(t)).otherwise(t)))
+    names = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
+    return F.when(common, short).otherwise(F.coalesce(names, rare))
 
 
 def pystr(x: Column, kind: T.DataType) -> Column:

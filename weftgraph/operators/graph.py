@@ -7,7 +7,7 @@ that owns it. Relationships are two equi-joins with node keys, then the same agg
 from __future__ import annotations
 
 import logging
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -19,7 +19,7 @@ from weftgraph.config import NodeMapping, PropertyMapping, RelationshipMapping
 from weftgraph.functions.ids import generate_id
 from weftgraph.functions.pyvalues import column, pystr, type_of
 from weftgraph.functions.transforms import apply_chain
-from weftgraph.sources.paths import table_at
+from weftgraph.sources.paths import reads_files, table_at
 
 log = logging.getLogger(__name__)
 
@@ -32,8 +32,7 @@ def with_sequence(df: DataFrame) -> DataFrame:
     if SEQ in df.columns:
         return df
     row = F.monotonically_increasing_id()
-    plan = df._jdf.queryExecution().analyzed() if hasattr(df, "_jdf") else None
-    if plan is not None and plan.metadataOutput().mkString(",").count("_metadata") == 1:  # of one file scan
+    if reads_files(df):
         return df.withColumn(SEQ, F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), row.alias("r")))
     return df.withColumn(SEQ, F.struct(F.lit("").alias("f"), F.lit(0).cast("long").alias("b"), row.alias("r")))
 
@@ -80,7 +79,7 @@ def merge(rows: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
         for c in r.columns:
             if c not in (*keys, SEQ):
                 owners.setdefault(c, []).append(i)
-    rows = _one_type(rows)
+    rows = one_type(rows)
     tagged = [r.withColumn(ORD, F.lit(i)) for i, r in enumerate(rows)]
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
     every = every.where(reduce(lambda a, b: a & b, [F.col(f"`{k}`").isNotNull() for k in keys]))
@@ -100,7 +99,7 @@ def merge(rows: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     return merged.select(*by, *[F.col(where[n])[n].alias(n) for n in owners])
 
 
-def _one_type(rows: list[DataFrame]) -> list[DataFrame]:
+def one_type(rows: list[DataFrame]) -> list[DataFrame]:
     """Columns whose types differ between projections become text, as untyped values would mix."""
     kinds: dict[str, set] = {}
     for r in rows:
@@ -123,10 +122,14 @@ class Nodes:
     df: DataFrame
     key: str
     found: DataFrame | None = None
+    #: Mappings merge the label by several keys, so `key` may be null or repeat.
+    mixed: bool = False
 
     @property
     def keys(self) -> DataFrame:
         """The distinct keys: a smaller plan than that of the merge, which need not run for them."""
+        if self.mixed:
+            return self.df.select(self.key).where(F.col(f"`{self.key}`").isNotNull())
         return self.df.select(self.key) if self.found is None else self.found.where(F.col(f"`{self.key}`").isNotNull()).distinct()
 
 
@@ -169,12 +172,12 @@ class PropertyGraph:
             self.write_rels(at, path)
 
     @staticmethod
-    def read(spark: SparkSession, path: str, nodes: dict[str, str], rels: Sequence[tuple[str, str, str]]) -> PropertyGraph:
-        """What `write` left, for labels (with their keys) and relationships that exist there."""
+    def read(spark: SparkSession, path: str, nodes: dict[str, str], rels: Sequence[tuple[str, str, str]], mixed: Collection[str] = ()) -> PropertyGraph:
+        """What `write` left, for labels (with their keys; `mixed` ones have several) and relationships that exist there."""
         out = PropertyGraph()
         for label, key in nodes.items():
             if (df := table_at(spark, f"{path}/nodes/{label}")) is not None:
-                out.nodes[label] = Nodes(df, key)
+                out.nodes[label] = Nodes(df, key, mixed=label in mixed)
         for t, a, b in rels:
             if (df := table_at(spark, f"{path}/rels/{t}/{a}-{b}")) is not None:
                 out.rels[t, a, b] = df
@@ -218,13 +221,33 @@ def matched(rows: DataFrame, graph: PropertyGraph, m: RelationshipMapping, coerc
     return rows
 
 
-def merge_nodes(graph: PropertyGraph, label: str, key: str, projections: Sequence[DataFrame]) -> None:
-    """Merge projections of one label, in order, into what the graph already holds."""
-    rows = _one_type([*([graph.nodes[label].df] if label in graph.nodes else []), *projections])
+def merge_nodes(graph: PropertyGraph, label: str, key: str, projections: Sequence[DataFrame], mixed: bool = False) -> None:
+    """Merge projections of one label, in order, into what the graph already holds.
+
+    `mixed`: the label is merged by other keys too, so nodes may lack this one.
+    """
+    if mixed:
+        graph.nodes[label] = _upserted(graph.nodes.get(label), key, projections)
+        return
+    rows = one_type([*([graph.nodes[label].df] if label in graph.nodes else []), *projections])
     found = reduce(lambda a, b: a.unionByName(b), [r.select(key) for r in rows])
     graph.nodes[label] = Nodes(merge(rows, [key]), key, found)
 
 
+def _upserted(old: Nodes | None, key: str, projections: Sequence[DataFrame]) -> Nodes:
+    """Every old node with a merged row's key value takes its properties; rows that match none are new nodes."""
+    if old is None or key not in old.df.columns:
+        new = merge(projections, [key])
+        return Nodes(new if old is None else old.df.unionByName(new, allowMissingColumns=True), key if old is None else old.key, mixed=True)
+    before, new = one_type([old.df, merge(projections, [key])])
+    names = [c for c in new.columns if c != key]
+    values = new.select(F.col(f"`{key}`").alias("__key"), F.struct(F.lit(True).alias("__hit"), *[F.col(f"`{c}`") for c in names]).alias("__new"))
+    taken = {n: F.when(F.col("__new").isNotNull(), F.col("__new")[n]).otherwise(column(before, n)) for n in names}
+    updated = before.join(values, F.col(f"`{key}`") == F.col("__key"), "left").withColumns(taken).drop("__key", "__new")
+    fresh = new.join(before.select(F.col(f"`{key}`").alias("__key")), F.col(f"`{key}`") == F.col("__key"), "left_anti")
+    return Nodes(updated.unionByName(fresh, allowMissingColumns=True), old.key, mixed=True)
+
+
 def merge_rels(graph: PropertyGraph, m: RelationshipMapping, projections: Sequence[DataFrame], coerce: bool = False) -> None:
     at = (m.rel_type, m.from_label, m.to_label)
     old = [graph.rels[at]] if at in graph.rels else []

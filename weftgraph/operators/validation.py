@@ -5,15 +5,19 @@ from __future__ import annotations
 import logging
 import re
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from weftgraph.config import ValidationConfig, ValidationRuleConfig
+from weftgraph.functions.patterns import to_java
 from weftgraph.functions.pyvalues import column, is_float_text, is_int_text, pystr, try_float, type_of
+from weftgraph.sources.paths import reads_files
 
 log = logging.getLogger(__name__)
 
@@ -21,8 +25,6 @@ ERRORS = "_errors"
 #: Names of declared types and of the Python types that values have.
 EXPECTED = ("str", "int", "float", "bool")
 PYTHON_TYPES = {"string": "str", "boolean": "bool", "double": "float", "float": "float", "date": "date", "timestamp": "datetime", "timestamp_ntz": "datetime"}
-#: Constructs that Java reads otherwise than Python; patterns with them run as Arrow-batched Python.
-_PYTHON_ONLY = re.compile(r"\(\?P|\(\?\(|\(\?[aLu]|\\Z|\\N\{|&&|\[[^\]]*\[|\\[wWdDsSbB]")
 
 
 def _type_fails(x: Column, kind: T.DataType, expected: str) -> Column:
@@ -36,9 +38,11 @@ def _type_fails(x: Column, kind: T.DataType, expected: str) -> Column:
 
 
 def _regex_fails(text: Column, pattern: str) -> Column:
-    if _PYTHON_ONLY.search(pattern):
+    """Where `re.match` finds nothing; only what Java cannot say runs as Arrow-batched Python."""
+    java = to_java(pattern)
+    if java is None:
         return ~F.udf(lambda v: v is None or re.match(pattern, v) is not None, "boolean", useArrow=True)(text)
-    return ~text.rlike(f"^(?:{pattern})" if not pattern.startswith("^") or "|" in pattern else pattern)
+    return ~text.rlike(java)
 
 
 def _bound_fails(x: Column, kind: T.DataType, value: Any, low: bool) -> Column:
@@ -60,9 +64,17 @@ def _one_of_fails(x: Column, kind: T.DataType, values: list[Any]) -> Column:
     if isinstance(kind, T.StringType):
         same = [v for v in values if isinstance(v, str)]
         return ~x.isin(same) if same else F.lit(True)
-    if isinstance(kind, (T.NumericType, T.BooleanType)):
-        same = [float(v) for v in values if isinstance(v, (int, float))]
-        return ~x.cast("double").isin(same) if same else F.lit(True)
+    numbers = [v for v in values if isinstance(v, (int, float)) and v == v]
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):  # compared as integers, as doubles would take neighbours for equal
+        same = {int(v) for v in numbers if abs(v) < 1 << 63 and v == int(v)}
+        return ~x.cast("long").isin(sorted(same)) if same else F.lit(True)
+    if isinstance(kind, T.DecimalType):
+        exact = {Decimal(v) for v in numbers if abs(v) != float("inf")}
+        same = [v for v in exact if len(v.as_tuple().digits) <= 38 and v.as_tuple().exponent >= -kind.scale]
+        return ~x.isin(same) if same else F.lit(True)
+    if isinstance(kind, T.NumericType):
+        same = {float(v) for v in numbers if isinstance(v, float) or abs(v) < 1 << 1023 and int(float(v)) == v}
+        return ~x.cast("double").isin(sorted(same)) if same else F.lit(True)
     return F.lit(True)
 
 
@@ -96,6 +108,22 @@ def failure(df: DataFrame, rule: ValidationRuleConfig) -> tuple[Column, Column]
     return x.isNotNull() & fails, F.lit(message) if isinstance(message, str) else message
 
 
+def _place(df: DataFrame) -> dict[str, Column]:
+    """The split that a row was read from and its number: by file and block where `df` reads files, by partition else."""
+    row = F.monotonically_increasing_id()
+    part = F.spark_partition_id()
+    if reads_files(df):
+        return {"__file": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start"), "__part": F.lit(0), "__row": row}
+    return {"__file": F.lit(""), "__block": F.lit(0).cast("long"), "__part": part, "__row": row}
+
+
+def _splits(df: DataFrame) -> DataFrame:
+    """For each split its first row number and how many records come before it, in the order of files."""
+    found = df.select(*[c.alias(n) for n, c in _place(df).items()]).groupBy("__file", "__block", "__part").agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    upto = Window.orderBy("__file", "__block", "__part").rowsBetween(Window.unboundedPreceding, -1)
+    return found.select("__file", "__block", "__part", "__first", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__start"))
+
+
 @dataclass
 class Validated:
     """Rows and what each rule makes of them.
@@ -122,12 +150,14 @@ class Validated:
         errors = F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
         return self.df.withColumn(ERRORS, errors)
 
-    def rejects(self, order: Column | None = None) -> DataFrame:
-        """(record_index, record, errors); the index orders the rows of a source."""
+    def rejects(self) -> DataFrame:
+        """(record_index, record, errors); the index is the record's place in its source, from 0."""
         names = self.df.columns
-        index = order if order is not None else F.monotonically_increasing_id()
-        rows = self.checked.withColumn("record_index", index).where(F.size(ERRORS) > 0)
-        return rows.select("record_index", F.struct(*[F.col(f"`{c}`") for c in names]).alias("record"), F.col(ERRORS).alias("errors"))
+        rows = self.checked.withColumns(_place(self.df)).where(F.size(ERRORS) > 0)
+        index = (F.col("__start") + F.col("__row") - F.col("__first")).alias("record_index")
+        # both sides hold the columns of _place, which name a split; one row a split is joined
+        found = rows.join(_splits(self.df), ["__file", "__block", "__part"])
+        return found.select(index, F.struct(*[F.col(f"`{c}`") for c in names]).alias("record"), F.col(ERRORS).alias("errors"))
 
 
 def apply_rules(df: DataFrame, rules: list[ValidationRuleConfig]) -> Validated:

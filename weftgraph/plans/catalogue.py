@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from weftgraph.config import (
     IdGenerationConfig,
     NodeMapping,
-    PaginationConfig,
     PropertyMapping,
     RelationshipMapping,
     SchemaConstraint,
@@ -32,7 +31,7 @@ from weftgraph.operators.hooks import run_hook
 from weftgraph.operators.schema import violations
 from weftgraph.operators.validation import Validated, apply_rules
 from weftgraph.sources import read_source
-from weftgraph.sources.paths import file_system
+from weftgraph.sources.paths import file_system, removed_at_exit, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,9 +76,8 @@ def _(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder for files of these round trips, where all executors see it."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base}/weft-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="weft-")
+    """A new folder for files of these round trips, where all executors see it; it goes with the application."""
+    return removed_at_exit(spark, f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}")
 
 
 @query("src_csv", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
@@ -130,16 +128,16 @@ def _(spark, sf_dir):
     return _derby(spark, sf_dir, "spark_jdbc", 'SELECT "n_nationkey", "n_name" FROM nation WHERE "n_regionkey" = 2')
 
 
-@query("src_rest", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation")
-def _(spark, sf_dir):
-    """Pages of a server in this process; the rows are read while it runs."""
+def served(spark: SparkSession, sf_dir: str, pagination: dict, rate_limit: dict | None = None) -> DataFrame:
+    """The nations by pages of a server in this process; they are read while it runs."""
     rows = [r.asDict() for r in _table(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()]
 
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self):
             q = parse_qs(urlsplit(self.path).query)
-            page, size = int(q["page"][0]), int(q["per_page"][0])
-            body = json.dumps({"data": rows[(page - 1) * size : page * size]}).encode()
+            size = int(q["per_page"][0])
+            at = int(q["cursor"][0]) if "cursor" in q else (int(q.get("page", ["1"])[0]) - 1) * size
+            body = json.dumps({"data": rows[at : at + size], "meta": {"next": at + size if at + size < len(rows) else None}}).encode()
             self.send_response(200)
             self.end_headers()
             self.wfile.write(body)
@@ -150,13 +148,18 @@ def _(spark, sf_dir):
     server = HTTPServer(("127.0.0.1", 0), Handler)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     try:
-        cfg = SourceConfig(name="n", type="rest", url=f"http://127.0.0.1:{server.server_port}/nations", json_root="data", pagination=PaginationConfig(page_size=10))
+        cfg = SourceConfig(name="n", type="rest", url=f"http://127.0.0.1:{server.server_port}/nations", json_root="data", pagination=pagination, rate_limit=rate_limit)
         got = [tuple(r) for r in read_source(spark, cfg).select("n_nationkey", "n_name").collect()]
     finally:
         server.shutdown()
     return spark.createDataFrame(got, "n_nationkey long, n_name string")
 
 
+@query("src_rest", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation")
+def _(spark, sf_dir):
+    return served(spark, sf_dir, {"page_size": 10})
+
+
 # Transforms
 
 
@@ -353,10 +356,10 @@ def _(spark, sf_dir):
     return out.nodes["Customer"].df.select("custkey", "mean_price")
 
 
-@query("hook_sql", "SELECT status, count(*) AS n, round(sum(price), 2) AS total FROM (SELECT o_orderstatus AS status, o_totalprice AS price FROM orders JOIN customer ON o_custkey = c_custkey) GROUP BY status")
+@query("hook_sql", "SELECT c_custkey AS custkey, c_name AS name, lower(c_mktsegment) AS segment, n AS orders, round(total, 2) AS total FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey")
 def _(spark, sf_dir):
-    _shop(spark, sf_dir).register_views()
-    return spark.sql("SELECT status, count(*) AS n, round(sum(price), 2) AS total FROM rel_PLACED JOIN node_Order ON to_val = orderkey GROUP BY status")
+    hook = SchemaHook(sql="SELECT from_val AS custkey, count(*) AS orders, round(sum(price), 2) AS total FROM rel_PLACED JOIN node_Order ON to_val = orderkey GROUP BY from_val", label="Customer")
+    return run_hook(_shop(spark, sf_dir), hook, spark).nodes["Customer"].df
 
 
 # A whole job

@@ -10,18 +10,20 @@ constraints.
 from __future__ import annotations
 
 import logging
-import time
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import nullcontext
 from dataclasses import dataclass, field
+from itertools import groupby
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.config import IngestConfig, NodeMapping, RelationshipMapping, SchemaConstraint, SchemaDefinition, SchemaHook, SchemaIndex, ValidationConfig, load_config
-from weftgraph.metrics import JobMetrics, StepMetric, track_step
+from weftgraph.metrics import JobMetrics, StepMetric, TaskProgress
 from weftgraph.operators import graph as g
 from weftgraph.operators import hooks, schema
 from weftgraph.operators.statements import node_statement, rel_statement, write_external
@@ -88,6 +90,9 @@ class Job:
         self.after_write: list[Callable[[], None]] = []
         self.rel_rows: list[tuple[str, RelationshipMapping, DataFrame]] = []
         self.persisted: list[DataFrame] = []
+        keys = {(m.label, m.key) for m in cfg.nodes}
+        #: Labels that mappings merge by several keys.
+        self.mixed = {label for label, _ in keys if sum(x == label for x, _ in keys) > 1}
 
     def read(self, count: bool) -> None:
         """Plan every source; a dry run also counts it."""
@@ -95,9 +100,8 @@ class Job:
         uses = [m.source for m in [*self.cfg.nodes, *self.cfg.relationships]]
 
         def one(cfg) -> DataFrame | None:
-            step = self.metrics.add_step(f"source:{cfg.name}")
             try:
-                with track_step(step):
+                with self.metrics.step(f"source:{cfg.name}") as step:
                     df = retry(read_source, self.spark, cfg, max_attempts=s.retry_max_attempts, base_delay=s.retry_base_delay, retryable_exceptions=RETRYABLE)
                     if s.continue_on_source_error:
                         df.limit(1).collect()  # errors that only a read shows
@@ -143,12 +147,22 @@ class Job:
         self.result.records_skipped += row.bad
 
     def observed(self, step: StepMetric, df: DataFrame, v: Validated | None) -> tuple[DataFrame, Callable[[], None]]:
-        """The valid rows, and what to call after the write that reads them to have their counts."""
+        """The valid rows, and what to call after the write that reads them to have their counts.
+
+        Rows that the optimiser finds to join with nothing are never read, and so not
+        observed; they are counted apart.
+        """
         seen = Observation()
-        rows = (df if v is None else v.df).observe(seen, *counts(F.lit(False) if v is None else v.bad))
+        plain, found = (df, counts(F.lit(False))) if v is None else (v.df, counts(v.bad))
+        rows = plain.observe(seen, *found)
 
         def take() -> None:
-            n, bad = seen.get["n"], seen.get["bad"]
+            try:
+                got = seen.get
+                n, bad = got["n"], got["bad"]
+            except (Py4JError, KeyError) as e:
+                log.info("%s: not observed (%s), counted apart", step.name, type(e).__name__)
+                n, bad = plain.agg(*found).first()
             step.records_processed, step.records_failed = n - bad, bad
             self.result.records_skipped += bad
 
@@ -156,8 +170,7 @@ class Job:
 
     def taken(self, name: str, m: NodeMapping | RelationshipMapping, made: dict[str, int], kind: str) -> tuple[DataFrame, Callable[[], None]]:
         """The valid rows of a mapping. They are counted now, or with the write where there is an output."""
-        step = self.metrics.add_step(name)
-        with track_step(step):
+        with self.metrics.step(name) as step:
             df, v = self.checked(name, m.source, m.validation)
             made.setdefault(kind, 0)
             if self.out and df.columns:
@@ -170,7 +183,7 @@ class Job:
 
         def later() -> None:
             take()
-            step.end_time = time.time()
+            step.stop()
             made[kind] += step.records_processed
 
         return rows, later
@@ -180,20 +193,21 @@ class Job:
         for m in self.cfg.nodes:
             by_label.setdefault(m.label, []).append(m)
         for label, mappings in by_label.items():
-            rows, after = [], []
+            rows, after = [], []  # (key, projection)
             for m in mappings:
                 df, later = self.taken(f"nodes:{label}", m, self.result.nodes_created, label)
                 after.append(later)
                 if df.columns:
-                    rows.append(g.project_nodes(df, m))
-                    self.send(rows[-1], node_statement(m, "event"))
+                    rows.append((m.key, g.project_nodes(df, m)))
+                    self.send(rows[-1][1], node_statement(m, "event"))
             if not rows:
                 continue
             if self.cfg.settings.strict_keys:
-                for r in rows:
-                    if not r.where(F.col(f"`{mappings[0].key}`").isNull()).isEmpty():
-                        raise ValueError(f"null merge key '{mappings[0].key}' for label '{label}'")
-            g.merge_nodes(self.result.graph, label, mappings[0].key, rows)
+                for key, r in rows:
+                    if not r.where(F.col(f"`{key}`").isNull()).isEmpty():
+                        raise ValueError(f"null merge key '{key}' for label '{label}'")
+            for key, same in groupby(rows, key=lambda x: x[0]):  # mappings in order; neighbours with one key are one merge
+                g.merge_nodes(self.result.graph, label, key, [r for _, r in same], mixed=label in self.mixed)
             self.stage(label)
             for later in after:
                 later()
@@ -203,7 +217,7 @@ class Job:
         if self.out:
             graph = self.result.graph
             graph.write_nodes(label, f"{self.out}/staged", schema.layout(self.schema).get(label, ()))
-            graph.nodes[label] = g.Nodes(self.spark.read.parquet(f"{self.out}/staged/nodes/{label}"), graph.nodes[label].key)
+            graph.nodes[label] = g.Nodes(self.spark.read.parquet(f"{self.out}/staged/nodes/{label}"), graph.nodes[label].key, mixed=graph.nodes[label].mixed)
             self.staged[label] = graph.nodes[label].df
 
     def rels(self) -> None:
@@ -237,9 +251,9 @@ class Job:
     def run_hooks(self, name: str, found: Iterable) -> None:
         found = list(found)
         if found:
-            with track_step(self.metrics.add_step(name)) as step:
+            with self.metrics.step(name) as step:
                 for h in found:
-                    self.result.graph = hooks.run_hook(self.result.graph, h)
+                    self.result.graph = hooks.run_hook(self.result.graph, h, self.spark)
                 step.records_processed = len(found)
 
     def check(self) -> None:
@@ -265,7 +279,7 @@ class Job:
     def dry(self) -> None:
         for m in [*self.cfg.nodes, *self.cfg.relationships]:
             if m.validation and m.validation.rules:
-                with track_step(self.metrics.add_step(f"validate:{m.source}")) as step:
+                with self.metrics.step(f"validate:{m.source}") as step:
                     df = self.sources[m.source]
                     if df.columns:
                         self.count(step, df, apply_rules(df, m.validation.rules))
@@ -280,21 +294,21 @@ class Job:
             self.dry()
             return self.result
         if out:
-            known = {m.label: m.key for m in cfg.nodes}
-            self.result.graph = g.PropertyGraph.read(self.spark, f"{out}/current", known, [(m.rel_type, m.from_label, m.to_label) for m in cfg.relationships])
+            known = {m.label: m.key for m in reversed(cfg.nodes)}  # the first mapping names a label's key
+            self.result.graph = g.PropertyGraph.read(self.spark, f"{out}/current", known, [(m.rel_type, m.from_label, m.to_label) for m in cfg.relationships], self.mixed)
         rest = self.statements()
         if stated := self.schema.to_hooks():
-            with track_step(self.metrics.add_step("schema")) as step:
+            with self.metrics.step("schema") as step:
                 step.records_processed = len(stated)
         self.run_hooks("pre_hooks", [*rest, *pre])
         self.nodes()
         if self.schema.constraints:
-            with track_step(self.metrics.add_step("constraints")):
+            with self.metrics.step("constraints"):
                 schema.enforce(self.result.graph, self.schema)
         self.rels()
         self.run_hooks("post_hooks", [*cfg.post_hooks, *post])
         if out:
-            with track_step(self.metrics.add_step("write")):
+            with self.metrics.step("write"):
                 self.write(out)
         for name, m, rows in self.rel_rows:  # over the tables that stay
             self.result.dangling[name] = g.dangling_rels(self.result.graph, m, rows, s.coerce_endpoints)
@@ -328,24 +342,18 @@ class Job:
             fs.rename(path(old), path(f"{out}/previous"))
         fs.rename(path(new), path(old))
         fs.delete(path(f"{out}/staged"), True)
-        self.result.graph = g.PropertyGraph.read(self.spark, old, {k: n.key for k, n in graph.nodes.items()}, list(graph.rels))
+        self.result.graph = g.PropertyGraph.read(self.spark, old, {k: n.key for k, n in graph.nodes.items()}, list(graph.rels), self.mixed)
 
 
 def run(cfg: IngestConfig, dry_run: bool = False, spark: SparkSession | None = None, pre_hooks: Iterable[Callable] = (), post_hooks: Iterable[Callable] = (), config_path: str = "") -> IngestResult:
     """Run a job. Metrics are complete, and written where asked, even when it fails."""
     job = Job(cfg, spark)
-    m = job.metrics
-    m.config_path, m.status, m.start_time = config_path, "running", time.time()
+    m, seconds = job.metrics, cfg.settings.progress_seconds
+    m.config_path = config_path
     try:
-        out = job.run(dry_run, pre_hooks, post_hooks)
-        m.status = "completed"
-        return out
-    except Exception as e:
-        m.status = "failed"
-        m.errors.append(str(e))
-        raise
+        with m, TaskProgress(job.spark, seconds) if seconds else nullcontext():
+            return job.run(dry_run, pre_hooks, post_hooks)
     finally:
-        m.end_time = time.time()
         m.log_summary()
         if cfg.settings.metrics_output:
             Path(cfg.settings.metrics_output).write_text(m.to_json(), encoding="utf-8")

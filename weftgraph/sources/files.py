@@ -8,19 +8,40 @@ from pyspark.sql import types as T
 
 from weftgraph.config import SourceConfig
 from weftgraph.registry import source_registry
+from weftgraph.sources.paths import file_system
 
 
 @source_registry.register("csv")
 def csv(spark: SparkSession, cfg: SourceConfig) -> DataFrame:
     """Every cell as text; an empty or missing cell is ''.
 
-    Quoted cells may span lines, so a file is one split; `headers` are reader options, and
-    multiLine: "false" there lets large files without such cells be split.
+    Quoted cells may span lines, and then a file is one split. Files larger than a split
+    are looked through once, in splits, and read in splits where no line can be part of
+    such a cell. `headers` are reader options; multiLine there decides without a look.
     """
     options = {"header": "true", "multiLine": "true", "escape": '"', "sep": cfg.delimiter, "encoding": cfg.encoding, "emptyValue": ""}
+    if not any(k.lower() == "multiline" for k in cfg.headers) and splittable(spark, cfg):
+        options["multiLine"] = "false"
     return spark.read.options(**(options | cfg.headers)).csv(cfg.path).na.fill("")
 
 
+def splittable(spark: SparkSession, cfg: SourceConfig) -> bool:
+    """Whether CSV files are larger than a split and hold whole records in every line.
+
+    A line with an even number of quotes begins and ends outside of a quoted cell if the
+    one before does. Lines of blanks only are records to one reader and none to the other.
+    """
+    fs, path = file_system(spark, cfg.path)
+    largest = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    found = [f for root in (fs.globStatus(path) or []) for f in ([root] if root.isFile() else fs.listStatus(root.getPath()))]
+    if not any(f.getLen() > largest for f in found) or cfg.encoding.lower().replace("-", "") not in ("utf8", "ascii", "usascii", "iso88591", "latin1", "windows1252", "cp1252"):
+        return False
+    line = F.col("value")
+    odd = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    blank = (F.length(line) > 0) & (F.length(F.trim(line)) == 0)
+    return spark.read.text(cfg.path).where((odd % 2 == 1) | blank).isEmpty()
+
+
 def descend(df: DataFrame, root: str) -> DataFrame:
     """The elements of the list at a dotted path; whole numbers index lists."""
     x, kind = None, df.schema
