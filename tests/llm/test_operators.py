@@ -480,10 +480,10 @@ def test_minwise_links_near_copies(spark, limit):
     """Groups of edited copies, one larger than a posting list may be, texts that share a passage, and unrelated ones."""
     rng = random.Random(limit)
     texts, groups = [], []
-    for g, (n, size) in enumerate([(90, 300), (20, 500), (6, 120), (2, 80), (2, 1000)]):
+    for g, (n, size) in enumerate([(90, 300), (20, 500), (6, 150), (2, 180), (2, 1000)]):
         words = [f"g{g}w{rng.randrange(3000)}" for _ in range(size)]
         for _ in range(n):
-            texts.append(" ".join(edited(rng, words, size // 100)))  # at 0.8 or more from each other
+            texts.append(" ".join(edited(rng, words, max(1, size // 150))))  # above 0.8 from each other
             groups.append(g)
     passage = " ".join(f"p{rng.randrange(3000)}" for _ in range(120))
     for i in range(60):
@@ -491,9 +491,9 @@ def test_minwise_links_near_copies(spark, limit):
         groups.append(100 + i)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     sigs = minwise.signatures(df, "text", ["doc_id"]).select(F.col("doc_id").alias("node"), "sig")
-    links = minwise.near_links(sigs, limit=limit).collect()
-    for x in links:
-        assert jaccard(texts[x.a], texts[x.b]) > 0.65 and x.a != x.b
+    sets = minwise.shingle_sets(df.withColumnRenamed("doc_id", "node"))
+    links = minwise.near_links(sigs, lambda nodes: sets.join(nodes, "node", "left_semi"), limit=limit).collect()
+    assert all(jaccard(texts[x.a], texts[x.b]) >= 0.8 and x.a != x.b for x in links)
     roots = components.union_find((x.a, x.b) for x in links)
     found = defaultdict(set)
     for i, g in enumerate(groups):
@@ -503,6 +503,23 @@ def test_minwise_links_near_copies(spark, limit):
     assert all(per[g] == 1 for g in range(5)), per
 
 
+def test_spanning_trees_are_maximal():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 256, (4, 128), dtype=np.uint8)
+    rows = [np.where(rng.random(128) < rng.random() * 0.5, rng.integers(0, 256, 128, dtype=np.uint8), base[rng.integers(4)]) for _ in range(60)]
+    nodes, sigs = list(range(100, 160)), [r.tobytes() for r in rows]
+    got = minwise.tree_links(nodes, sigs, 70)
+    weight = lambda a, b: int((rows[a - 100] == rows[b - 100]).sum())
+    every = sorted(((weight(a, b), a, b) for a in nodes for b in nodes if a < b and weight(a, b) >= 70), reverse=True)
+    roots, kruskal = {n: n for n in nodes}, []
+    for w, a, b in every:
+        if roots[a] != roots[b]:
+            kruskal.append(w)
+            old = roots[b]
+            roots = {n: roots[a] if r == old else r for n, r in roots.items()}
+    assert sorted(weight(a, b) for a, b in got) == sorted(kruskal) and len(got) == len(kruskal)
+
+
 def test_near_dedup_reaches_its_similarity(spark, sf, docs, texts, awkward, none):
     """Recall over all pairs of different texts at 0.8 or more, and nothing linked that is far below."""
     rows = {r.id: r.component_id for r in simhash.near_duplicates(docs, shingle=5, similarity=0.8).collect()}
@@ -519,7 +536,7 @@ def test_near_dedup_reaches_its_similarity(spark, sf, docs, texts, awkward, none
     for a, b in pairs:
         j = jaccard(texts[a], texts[b])
         best[a], best[b] = max(best[a], j), max(best[b], j)
-    assert all(best[d] >= 0.65 for d, c in rows.items() if c != d and texts[d].split())
+    assert all(best[d] >= 0.8 for d, c in rows.items() if c != d and texts[d].split())
     got = simhash.near_duplicates(awkward, shingle=5, similarity=0.8).collect()
     assert len(got) == len(AWKWARD) and len({r.component_id for r in got if r.id in (1, 2)}) == 1
     assert simhash.near_duplicates(none, shingle=5, similarity=0.8).count() == 0

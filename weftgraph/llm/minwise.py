@@ -8,13 +8,15 @@ a byte with the probability of their Jaccard similarity: the tally of shared pos
 bytes estimates it with a standard error of 0.035 at 0.8.
 
 The index posts a text under BANDS keys of WIDTH bytes each. A pair at similarity 0.8 meets
-with probability 1 - (1 - 0.8^5)^16 = 0.998. Where two meet, their shared bytes are tallied and pairs
-under the least are dropped; the least is the similarity less one standard error.
+with probability 1 - (1 - 0.8^5)^16 = 0.998. Where texts meet, their shared bytes are tallied
+and pairs under the least are dropped; the least is the similarity less two standard
+errors. Of each list the maximum spanning trees by shared bytes go on, so that no list is
+paired up whole, and every link that is left is verified on the whole sets of shingles.
 
 A posting list above `limit` is posted again under pairs of bands, which parts texts that
 share a passage only. A list that is still above it is a cloud of near copies: its
-members are compared with one leader, those that link are done, and the rest has the
-next leader, until at most `limit` are left. Equal signatures are one posting.
+members are compared with one leader, those that share the least are done, and the rest
+has the next leader, until at most `limit` are left. Equal signatures are one posting.
 
 Defined results: null and wordless texts have a signature of zeros and are equal; a text
 of fewer words than a shingle is one shingle; repeated texts are one node.
@@ -23,6 +25,7 @@ of fewer words than a shingle is one shingle; repeated texts are one node.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -47,7 +50,7 @@ SIGNATURE = T.StructType([T.StructField("sig", T.BinaryType())])
 
 
 def least_shared(similarity: float = SIMILARITY) -> int:
-    return math.ceil(BYTES * similarity - math.sqrt(BYTES * similarity * (1 - similarity)))
+    return math.floor(BYTES * similarity - 2 * math.sqrt(BYTES * similarity * (1 - similarity)))
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -86,20 +89,39 @@ def signatures(docs: DataFrame, text_col: str = "text", keep: list[str] | None =
     return map_texts(docs, text_col, SIGNATURE, make, keep)
 
 
+def shingle_sets(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(node, shingles) from (node, text): the distinct shingles of whole texts, by 32 bits of their hashes."""
+
+    def make():
+        return lambda found: {"shingles": [np.unique((shingle_hashes(t, shingle) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in found]}
+
+    return map_texts(texts, "text", T.StructType([T.StructField("shingles", T.ArrayType(T.IntegerType()))]), make, ["node"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The distinct pairs (a, b) whose sets of shingles are similar enough."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = salted_join(pairs, sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), ["a"], ["b"])
+    both = salted_join(left, sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), ["b"], ["a"])
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
 def tree_links(nodes: list[int], sigs: list[bytes], least: int) -> list[tuple[int, int]]:
-    """Trees over the nodes of a list whose signatures share at least `least` bytes, directly or through others."""
-    left = np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, BYTES)
-    names = np.asarray(nodes, np.int64)
+    """Maximum spanning trees by shared bytes over the nodes of a list; links have at least `least` (Prim's algorithm)."""
+    x = np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, BYTES)
+    best, via = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+    waiting = np.ones(len(x), bool)
     out: list[tuple[int, int]] = []
-    while len(names) > 1:
-        queue, names, left = [(int(names[0]), left[0])], names[1:], left[1:]
-        while queue and len(names):
-            name, x = queue.pop()
-            near = (left == x).sum(axis=1) >= least
-            if near.any():
-                out += [(name, int(k)) for k in names[near]]
-                queue += zip(names[near].tolist(), left[near], strict=True)
-                names, left = names[~near], left[~near]
+    at = 0
+    for _ in range(len(x) - 1):
+        waiting[at] = False
+        shared = (x == x[at]).sum(axis=1)
+        better = waiting & (shared > best)
+        best[better], via[better] = shared[better], at
+        at = int(np.where(waiting, best, -1).argmax())
+        if best[at] >= least:
+            out.append((nodes[via[at]], nodes[at]))
     return out
 
 
@@ -137,9 +159,15 @@ def _band(k: int) -> Column:
     return F.substring("sig", WIDTH * k + 1, WIDTH)
 
 
-def near_links(sigs: DataFrame, similarity: float = SIMILARITY, limit: int = LIMIT) -> DataFrame:
-    """Links (a, b) of `sigs` (node long, sig), one row a node."""
-    least = least_shared(similarity)
+def near_links(sigs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY, limit: int = LIMIT) -> DataFrame:
+    """Links (a, b) of `sigs` (node long, sig), one row a node; `sets_of` gives (node, shingles) of some nodes."""
+    pairs = checkpointed(candidates(sigs, least_shared(similarity), limit).distinct())
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return verified(pairs, checkpointed(sets_of(nodes)), similarity)
+
+
+def candidates(sigs: DataFrame, least: int, limit: int = LIMIT) -> DataFrame:
+    """Pairs (a, b) that share at least `least` bytes: trees of the posting lists."""
     keys = F.array(*[F.struct(F.xxhash64(F.lit(k), _band(k)).alias("key"), F.lit(k).alias("band")) for k in range(BANDS)])
     met = checkpointed(_meeting(sigs.select("node", F.explode(keys).alias("x")).select("node", "x.key", "x.band")))
     links = _listed(met.where(F.col("n") <= limit).select("key", "node"), sigs, least)

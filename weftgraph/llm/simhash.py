@@ -160,7 +160,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else:
         rows = checkpointed(minwise.signatures(keyed, "text", keep, shingle).withColumn("print", F.xxhash64("sig")))
         sigs = checkpointed(rows.groupBy(F.col("print").alias("node")).agg(F.first("sig").alias("sig")))
-        links = minwise.near_links(sigs, similarity)
+
+        def sets_of(nodes: DataFrame) -> DataFrame:
+            """The shingles of one text of each node; only texts of such nodes are read on."""
+            some = rows.join(nodes.select(F.col("node").alias("print")), "print", "left_semi")
+            one = some.groupBy("print").agg(F.min("text_hash").alias("text_hash"))
+            texts = salted_join(keyed, one, ["text_hash"], ["id"]).groupBy(F.col("print").alias("node")).agg(F.first("text").alias("text"))
+            return minwise.shingle_sets(texts, shingle)
+
+        links = minwise.near_links(sigs, sets_of, similarity)
     roots = components(links).select(F.col("node").alias("print"), "root")
     # rows are dealt by fingerprint or class and a salt, as one of either may hold many of them
     labelled = salted_join(rows.select("id", "text_hash", "print"), roots, ["print"], ["id", "text_hash"], how="left")
