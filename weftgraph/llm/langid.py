@@ -202,9 +202,10 @@ def sample_labelled(
 ) -> list[tuple[str, str]]:
     """(language, whole text) of a bounded sample of labelled rows, chosen by a hash of the id.
 
-    Only rows that are not held out and have a label and an id. In the order of the hash,
-    rows are taken while they are at most `docs_per_lang` and their characters, longer rows
-    that went before included, at most `chars_per_lang`: that is all that reaches the driver.
+    Only rows that are not held out and have a label, an id and a text. Texts of more than a
+    quarter of `chars_per_lang` characters are passed over, so that one does not end the
+    sample; the others are taken in the order of the hash while they are at most
+    `docs_per_lang` rows and `chars_per_lang` characters. No more reaches the driver.
     """
     labelled = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
     labelled = labelled.where(F.col("i").isNotNull() & F.col("l").isNotNull() & ~held_out("i"))
@@ -216,7 +217,6 @@ def sample_labelled(
     chosen = labelled.where(draw < F.element_at(share, F.col("l")) * (1 << 30)).where(F.col("t").isNotNull())
     chosen = chosen.select("l", draw.alias("d"), F.col("i").cast("string").alias("i"), F.xxhash64("t").alias("h"), F.length("t").alias("n"))
     in_order = Window.partitionBy("l").orderBy("d", "i", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # a longer row than what is left is passed over, so that one does not end the sample
     fits = chosen.where(F.col("n") <= chars_per_lang // 4)
     fits = fits.withColumns({"nth": F.count(F.lit(1)).over(in_order), "upto": F.sum("n").over(in_order)})
     taken = fits.where(f"nth <= {docs_per_lang} and upto <= {chars_per_lang}").select("l", "i", "h", "nth").distinct()
