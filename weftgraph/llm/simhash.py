@@ -163,8 +163,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         def sets_of(nodes: DataFrame) -> DataFrame:
             """The shingles of one text of each node; only texts of such nodes are read on."""
-            some = rows.join(nodes.select(F.col("node").alias("print")), "print", "left_semi")
-            one = some.groupBy("print").agg(F.min("text_hash").alias("text_hash"))
+            one = rows.groupBy("print").agg(F.min("text_hash").alias("text_hash"))  # copies are combined before any shuffle
+            one = one.join(nodes.select(F.col("node").alias("print")), "print", "left_semi")
             texts = salted_join(keyed, one, ["text_hash"], ["id"]).groupBy(F.col("print").alias("node")).agg(F.first("text").alias("text"))
             return minwise.shingle_sets(texts, shingle)
 
