@@ -46,10 +46,12 @@ def salted_join(many: DataFrame, one: DataFrame, keys: list[str], by: list[str],
     """`many` joined with `one`, which has one row a key, so that no key lands in one task.
 
     Rows of `many` are dealt over `salts` partitions a key by a hash of `by`; `one` is repeated.
+    Neither side is broadcast: Spark sees the size of `one` before it is repeated and hashed, and a
+    file just below its bound becomes some sixty times that in the driver.
     """
     one = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     many = many.withColumn("__salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
-    return many.join(one, [*keys, "__salt"], how).drop("__salt")
+    return many.join(one.hint("merge"), [*keys, "__salt"], how).drop("__salt")
 
 
 def small_batches(spark: SparkSession) -> None:
