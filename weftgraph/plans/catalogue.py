@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import os
+import shutil
 import tempfile
 import threading
 import uuid
@@ -109,13 +112,45 @@ def _(spark, sf_dir):
     return read_source(spark, SourceConfig(name="r", type="spark_json", path=path))
 
 
+def derby_archive(spark: SparkSession, table: str, df: DataFrame) -> str:
+    """The url of a read-only embedded database with one small table, which driver and executors open alike.
+
+    A database in memory or in a folder belongs to one process, so it is made in the driver and
+    shipped as an archive on the class path. Its rows pass one at a time.
+    """
+    jvm, kinds = spark._jvm, {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR(32672)", "double": "DOUBLE"}
+    name = f"weft_{uuid.uuid4().hex}"
+    jvm.org.apache.spark.util.Utils.classForName("org.apache.derby.iapi.jdbc.AutoloadedDriver", True, False)
+    with tempfile.TemporaryDirectory(prefix="weft-") as top:
+        db = jvm.java.sql.DriverManager.getConnection(f"jdbc:derby:memory:{name};create=true")
+        columns = ", ".join(f'"{c}" {kinds[t]}' for c, t in df.dtypes)
+        db.createStatement().executeUpdate(f"CREATE TABLE {table} ({columns})")
+        insert = db.prepareStatement(f"INSERT INTO {table} VALUES ({', '.join('?' * len(df.columns))})")
+        for row in df.toLocalIterator():
+            for k, v in enumerate(row, 1):
+                insert.setObject(k, v)
+            insert.executeUpdate()
+        backup = db.prepareCall("CALL SYSCS_UTIL.SYSCS_BACKUP_DATABASE(?)")
+        backup.setString(1, top)
+        backup.execute()
+        db.close()
+        try:
+            jvm.java.sql.DriverManager.getConnection(f"jdbc:derby:memory:{name};drop=true")
+        except Exception as e:  # the database says by an error that it is gone
+            if "08006" not in str(e):
+                raise
+        path = shutil.make_archive(f"{tempfile.mkdtemp(prefix='weft-')}/{name}", "zip", top, name)
+    jar = f"{path.removesuffix('.zip')}.jar"
+    os.rename(path, jar)
+    atexit.register(shutil.rmtree, os.path.dirname(jar), ignore_errors=True)
+    spark.sql(f"ADD JAR '{jar}'")
+    return f"jdbc:derby:classpath:{name}"
+
+
 def _derby(spark: SparkSession, sf_dir: str, kind: str, text: str) -> DataFrame:
-    """A round trip through an embedded database; kept here, as the database lives in the driver."""
-    url = f"jdbc:derby:memory:weft{kind.replace('_', '')};create=true"
-    _table(spark, sf_dir, "nation").coalesce(1).write.format("jdbc").mode("overwrite").options(url=url, dbtable="nation", driver="org.apache.derby.jdbc.EmbeddedDriver", createTableColumnTypes="n_name VARCHAR(64)").save()
-    cfg = SourceConfig(name="n", type=kind, connection_string=url, query=text, headers={"driver": "org.apache.derby.jdbc.EmbeddedDriver"}, chunk_size=10)
-    rows = [tuple(r) for r in read_source(spark, cfg).collect()]
-    return spark.createDataFrame(rows, "n_nationkey int, n_name string")
+    """A round trip through an embedded database, read by the executors."""
+    url = derby_archive(spark, "nation", _table(spark, sf_dir, "nation"))
+    return read_source(spark, SourceConfig(name="n", type=kind, connection_string=url, query=text, headers={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}, chunk_size=10))
 
 
 @query("src_sql", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
