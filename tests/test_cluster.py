@@ -19,7 +19,7 @@ spark.stop()
 """
 
 
-@pytest.mark.parametrize(("name", "region"), [("src_jdbc", 2)])
+@pytest.mark.parametrize(("name", "region"), [("src_jdbc", 2), ("src_sql", 1)])
 def test_databases_are_read_by_executors(sf, tmp_path, name, region):
     env = os.environ | {"SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_WORKER_DIR": str(tmp_path)}
     got = subprocess.run([sys.executable, "-c", RUN, name, sf], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
