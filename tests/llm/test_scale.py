@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+import random
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.llm import common
+from weftgraph.llm import common, minwise, simhash, widehash
 
 
 def test_salted_joins_broadcast_nothing(spark):
@@ -15,3 +20,75 @@ def test_salted_joins_broadcast_nothing(spark):
         found = common.salted_join(many, one, ["k"], ["v"], how=how)
         assert found.count() == 1000
         assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def words(rng, n):
+    return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+
+def shingles(text):
+    return set(minwise.shingle_hashes(text).tolist())
+
+
+def test_wide_simhash():
+    """A bit is 1 if it is set in over half of the distinct shingles."""
+    text = " ".join(words(random.Random(1), 700)) + " a b c d e a b c d e a b c d e"
+    m = (1 << 64) - 1
+    ones, sets = [0] * 1024, shingles(text)
+    for h in sets:
+        for w in (0, 9, 15):
+            x = (h * int(widehash._FACTORS[w]) + int(widehash._OFFSETS[w])) & m
+            x = ((x ^ x >> 31) * 0xBF58476D1CE4E5B9) & m
+            for k, byte in enumerate((x ^ x >> 29).to_bytes(8, "little")):
+                for bit in range(8):
+                    ones[64 * w + 8 * k + bit] += byte >> (7 - bit) & 1
+    got = np.unpackbits(np.frombuffer(widehash.wide_simhash(text), np.uint8))
+    for w in (0, 9, 15):
+        assert got[64 * w : 64 * w + 64].tolist() == [2 * n > len(sets) for n in ones[64 * w : 64 * w + 64]]
+    assert widehash.wide_simhash(None) == widehash.wide_simhash(" ") == bytes(widehash.BYTES)
+    assert len(np.unique(widehash.POSITIONS[:42])) == 126 and all(len(set(p)) == 3 for p in widehash.POSITIONS.tolist())
+
+
+@pytest.mark.parametrize("limit", [3, 2048])
+def test_near_dedup_keeps_the_steps_of_its_method(spark, limit):
+    """SimHash, index of positional bytes, tally, verification; the links are those of brute force."""
+    rng = random.Random(3)
+    texts = []
+    for n in (8, 9, 14, 40, 300):
+        for _ in range(12):
+            base = words(rng, n)
+            texts += [base, base + words(rng, 1), base[: n // 2] + words(rng, max(1, n // 80)) + base[n // 2 :], base[: n // 2] + words(rng, n - n // 2)]
+    cloud = words(rng, 200)  # a list longer than the limit
+    texts += [cloud[:k] + words(rng, 1) + cloud[k + 1 :] for k in rng.choices(range(200), k=40)]
+    texts = [" ".join(t) for t in texts] + ["", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    sigs = widehash.signatures(rows, "text", ["node"])
+    sets = minwise.shingle_sets(rows)
+    links = {(r.a, r.b) for r in widehash.near_links(sigs, lambda nodes: sets.join(nodes, "node", "left_semi"), limit=limit, group=100).collect()}
+    all_sets = [shingles(t) for t in texts]
+    near = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if all_sets[a] and 5 * len(all_sets[a] & all_sets[b]) >= 4 * len(all_sets[a] | all_sets[b])}
+    assert {(min(p), max(p)) for p in links if all_sets[p[0]]} <= near
+    roots, truth = ({x: r for x, r in simhash_classes(some, len(texts)).items()} for some in (links, near))
+    together = [(a, b) for a, b in near if truth[a] == truth[b]]
+    assert np.mean([roots[a] == roots[b] for a, b in together]) >= 0.97
+    small = [(a, b) for a, b in near if len(all_sets[a] | all_sets[b]) <= widehash.SMALL + 1]
+    assert len(small) >= 12 and all(roots[a] == roots[b] for a, b in small)
+    found = simhash.near_duplicates(rows, "node", shingle=5, similarity=0.8).where("id = 7").first()
+    want = spark.createDataFrame([(bytearray(widehash.wide_simhash(texts[7])),)], "sig binary").select(F.xxhash64("sig").alias("h")).first().h
+    assert found["print"] == want
+
+
+def simhash_classes(links, n):
+    from weftgraph.llm.components import union_find
+
+    return {x: x for x in range(n)} | union_find(links)
+
+
+def test_hot_lists_are_linked_whole():
+    """Postings of one key above every limit stay connected, in links that grow with their number only."""
+    rng = np.random.default_rng(5)
+    print_ = np.uint64(rng.integers(1 << 48))
+    prints = np.array([print_ ^ np.uint64(1 << int(b)) for b in rng.integers(0, 48, 5000)], np.uint64)
+    a, b = widehash.list_pairs(np.zeros(5000, np.uint64), prints, np.arange(5000), limit=64)
+    assert len(set(simhash_classes(zip(a.tolist(), b.tolist(), strict=True), 5000).values())) == 1 and len(a) <= 15_000
+    assert widehash.list_pairs(np.arange(9, dtype=np.uint64), prints[:9], np.arange(9))[0].size == 0

@@ -14,7 +14,7 @@ a tree of the linked fingerprints goes on. Equal fingerprints are one posting, h
 many documents share them.
 
 With a `similarity`, texts link by their Jaccard similarity of shingles instead, through the
-positional bytes of `minwise`, as no 64-bit fingerprint reaches 0.8.
+same steps on a SimHash of 1,024 bits (`widehash`), as no 64-bit fingerprint reaches 0.8.
 
 Defined results: null or wordless text has fingerprint 0 and links like any other; rows
 with a null doc_id take part, but a class has the smallest doc_id that is not null (null
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm import minwise
+from weftgraph.llm import minwise, widehash
 from weftgraph.llm.common import checkpointed, map_texts, salted_join, table
 from weftgraph.llm.components import components
 
@@ -150,7 +150,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, text_hash, print, root, component_id): one row per row of `docs`.
 
     `text_hash` tells rows apart that share an id; `root` is a fingerprint that names the class.
-    With `similarity`, `print` is the hash of the text's positional bytes.
+    With `similarity`, `print` is the hash of the text's wide SimHash.
     """
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
     keep = ["id", "text_hash"]
@@ -158,8 +158,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = checkpointed(fingerprints(keyed, "text", keep, shingle))
         links = near_links(rows.select("print").distinct())
     else:
-        rows = checkpointed(minwise.signatures(keyed, "text", keep, shingle).withColumn("print", F.xxhash64("sig")))
-        sigs = checkpointed(rows.groupBy(F.col("print").alias("node")).agg(F.first("sig").alias("sig")))
+        rows = checkpointed(widehash.signatures(keyed, "text", keep, shingle).withColumn("print", F.xxhash64("sig")))
+        sigs = checkpointed(rows.groupBy(F.col("print").alias("node")).agg(F.first("sig").alias("sig"), F.first("small").alias("small")))
 
         def sets_of(nodes: DataFrame) -> DataFrame:
             """The shingles of one text of each node; only texts of such nodes are read on."""
@@ -168,7 +168,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             texts = salted_join(keyed, one, ["text_hash"], ["id"]).groupBy(F.col("print").alias("node")).agg(F.first("text").alias("text"))
             return minwise.shingle_sets(texts, shingle)
 
-        links = minwise.near_links(sigs, sets_of, similarity)
+        links = widehash.near_links(sigs, sets_of, similarity)
     roots = components(links).select(F.col("node").alias("print"), "root")
     # rows are dealt by fingerprint or class and a salt, as one of either may hold many of them
     labelled = salted_join(rows.select("id", "text_hash", "print"), roots, ["print"], ["id", "text_hash"], how="left")
