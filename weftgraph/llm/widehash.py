@@ -193,7 +193,7 @@ def list_pairs(keys: np.ndarray, prints: np.ndarray, places: np.ndarray, limit:
 
 
 def _meeting(posted: DataFrame, limit: int) -> DataFrame:
-    """Pairs (a, b) of places from the groups of postings."""
+    """Pairs (place_a, place_b) from the groups of postings."""
 
     def run(group):
         rows, base = [], []
@@ -207,9 +207,9 @@ def _meeting(posted: DataFrame, limit: int) -> DataFrame:
 
         places = np.concatenate(base) + number(x[:2]).astype(np.int64)
         a, b = list_pairs(number(x[2 + PREFIX :]), number(x[2 : 2 + PREFIX]), places, limit)
-        return pa.table({"a": a, "b": b})
+        return pa.table({"place_a": a, "place_b": b})
 
-    return posted.groupBy("bucket").applyInArrow(run, "a long, b long")
+    return posted.groupBy("bucket").applyInArrow(run, "place_a long, place_b long")
 
 
 def _tallied(rows: DataFrame, least: int, apart: int) -> DataFrame:
@@ -230,9 +230,9 @@ def candidates(sigs: DataFrame, similarity: float = SIMILARITY, limit: int = LIM
     places = checkpointed(sigs.select("node", "sig").withColumn("place", F.monotonically_increasing_id()))
     slices = max(1, -(-places.count() // group))
     pairs = kept(_meeting(_posted(places, slices), limit).distinct())
-    left = places.select(F.col("place").alias("a"), F.col("node").alias("na"), F.col("sig").alias("x")).hint("merge")
-    right = places.select(F.col("place").alias("b"), F.col("node").alias("nb"), F.col("sig").alias("y")).hint("merge")
-    rows = pairs.join(left, "a").join(right, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"), "x", "y")
+    left = places.select(F.col("place").alias("place_a"), F.col("node").alias("a"), F.col("sig").alias("x")).hint("merge")
+    right = places.select(F.col("place").alias("place_b"), F.col("node").alias("b"), F.col("sig").alias("y")).hint("merge")
+    rows = pairs.join(left, "place_a").join(right, "place_b")
     return kept(_tallied(rows, least_shared(similarity), most_apart(similarity)).unionByName(small_pairs(sigs)))
 
 
@@ -249,8 +249,9 @@ def near_links(sigs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], simil
     """Links (a, b) of `sigs` (node long, sig, small), one row a node; `sets_of` gives (node, shingles) of some nodes."""
     pairs = candidates(sigs, similarity, limit, group)
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e"), "bits").select("e.*", "bits")
-    best = ends.groupBy("node").agg(F.min(F.struct("bits", "other")).alias("o")).select(F.least("node", "o.other").alias("a"), F.greatest("node", "o.other").alias("b")).distinct()
-    sets = kept(sets_of(ends.select("node").distinct()))
+    nearest = kept(ends.groupBy("node").agg(F.min(F.struct("bits", "other")).alias("o")).select("node", "o.other"))
+    best = nearest.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    sets = kept(sets_of(nearest.select("node")))
     first = kept(verified(best, sets, similarity))
     roots = components(first)
     rest = pairs.select("a", "b")
