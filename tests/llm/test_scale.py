@@ -84,6 +84,17 @@ def simhash_classes(links, n):
     return {x: x for x in range(n)} | union_find(links)
 
 
+def test_nearest_pairs_are_found_without_a_row_for_each_pair(spark):
+    """Of a cloud's many pairs each node has one, and no plan turns a pair into two rows."""
+    rng = random.Random(4)
+    both = {(a, b): rng.randrange(9) for a, b in itertools.combinations(range(40), 2)}
+    pairs = spark.createDataFrame([(*(p if rng.random() < 0.5 else p[::-1]), n) for p, n in both.items()], "a long, b long, bits int")
+    found = widehash.nearest_of(pairs)
+    want = {x: min((n, a + b - x) for (a, b), n in both.items() if x in (a, b))[1] for x in range(40)}
+    assert sorted(map(tuple, found.collect())) == sorted(want.items())
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hot_lists_are_linked_whole():
     """Postings of one key above every limit stay connected, in links that grow with their number only."""
     rng = np.random.default_rng(5)

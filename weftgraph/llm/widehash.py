@@ -245,11 +245,19 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
     return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def nearest_of(pairs: DataFrame) -> DataFrame:
+    """(node, other) for every node of `pairs`: the other end of its pair of fewest bits, then the smallest.
+
+    Each end is summed up by itself, so no row is made for a pair: a cloud of near copies has many.
+    """
+    sides = [pairs.groupBy(F.col(x).alias("node")).agg(F.min(F.struct("bits", F.col(y).alias("other"))).alias("o")) for x, y in ("ab", "ba")]
+    return sides[0].unionByName(sides[1]).groupBy("node").agg(F.min("o").alias("o")).select("node", "o.other")
+
+
 def near_links(sigs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY, limit: int = LIMIT, group: int = GROUP) -> DataFrame:
     """Links (a, b) of `sigs` (node long, sig, small), one row a node; `sets_of` gives (node, shingles) of some nodes."""
     pairs = candidates(sigs, similarity, limit, group)
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e"), "bits").select("e.*", "bits")
-    nearest = kept(ends.groupBy("node").agg(F.min(F.struct("bits", "other")).alias("o")).select("node", "o.other"))
+    nearest = kept(nearest_of(pairs))
     best = nearest.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     sets = kept(sets_of(nearest.select("node")))
     first = kept(verified(best, sets, similarity))
