@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.llm import common, minwise, simhash, widehash
+from weftgraph.llm import common, lmscore, minwise, simhash, widehash
 
 
 def test_salted_joins_broadcast_nothing(spark):
@@ -103,3 +103,37 @@ def test_hot_lists_are_linked_whole():
     a, b = widehash.list_pairs(np.zeros(5000, np.uint64), prints, np.arange(5000), limit=64)
     assert len(set(simhash_classes(zip(a.tolist(), b.tolist(), strict=True), 5000).values())) == 1 and len(a) <= 15_000
     assert widehash.list_pairs(np.arange(9, dtype=np.uint64), prints[:9], np.arange(9))[0].size == 0
+
+
+def test_scoring_hashes_a_word_once():
+    """Ids and shares of words outside the vocabulary come from one hash of each."""
+
+    class Counted(lmscore.Vocabulary):
+        calls = 0
+
+        def hash_of(self, word):
+            self.calls += 1
+            return super().hash_of(word)
+
+    known = np.array([lmscore.word_hash(b"x")], np.uint64)
+    vocab = Counted({b"a": lmscore.RARE, b"b": lmscore.RARE + 1}, hashes=known, shares=[-0.5], other=np.linspace(-9, -3, lmscore.RARE), tokens=9)
+    parts = [b"a", b"x", b"b", b"y", b"x", b"a"]
+    ids, h = lmscore.ids_and_hashes(parts, vocab)
+    assert vocab.calls == 3 and h.tolist() == [lmscore.word_hash(w) for w in (b"x", b"y", b"x")]
+    assert ids.tolist() == [vocab[w] for w in parts] == lmscore.ids_of_words(parts, vocab).tolist()
+    assert np.isclose(vocab.shares_of(h).sum(), vocab.log_shares(parts, ids)) and vocab.shares_of(h)[[0, 2]].tolist() == [-0.5, -0.5]
+    empty = lmscore.ids_and_hashes([], vocab)
+    assert [len(x) for x in empty] == [0, 0] and vocab.shares_of(empty[1]).size == 0
+
+
+@pytest.mark.parametrize("scale", [1, 3e3])
+def test_scores_are_normalised_at_any_size_of_weights(scale):
+    """The maximum of a row is only taken off where exp needs it; what exp cannot hold is no error."""
+    m = {k: v * np.float32(scale if k == "out" else 1) for k, v in lmscore.start().items()}
+    around = np.tile(np.array([[3, 5, 0, 7, lmscore.IDS]], np.int32), (lmscore.IDS, 1))
+    got = lmscore.window_scores(m, around, np.arange(lmscore.IDS))
+    assert np.isfinite(got).all() and abs(np.exp(got).sum() - 1) < 1e-3
+    h = lmscore._hidden(m, around[:1])[2]
+    z = (h @ m["out"][0]).astype(float)[0]
+    first = np.exp(got).reshape(lmscore.BASE, -1).sum(axis=1)
+    assert np.allclose(first, np.exp(z - z.max()) / np.exp(z - z.max()).sum(), atol=1e-3) and (abs(z).max() > 60) == (scale > 1)

@@ -29,6 +29,7 @@ import io
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -112,15 +113,17 @@ class Vocabulary(dict):
         return h
 
     def log_shares(self, parts: list[bytes], ids: np.ndarray) -> float:
-        """The sum of log p(word | id) over words with their ids; a word of the vocabulary is alone in its id."""
+        """The sum of log p(word | id) over words with their ids."""
         h = np.fromiter((self.hash_of(parts[i]) for i in np.flatnonzero(ids < RARE).tolist()), np.uint64)
-        if not len(h):
-            return 0.0
+        return float(self.shares_of(h).sum())
+
+    def shares_of(self, h: np.ndarray) -> np.ndarray:
+        """log p(word | id) of words outside the vocabulary, by their hashes; a word of the vocabulary is alone in its id."""
         out = self.other[(h % np.uint64(RARE)).astype(np.int64)]
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
             out = np.where(self.hashes[at] == h, self.shares[at], out)
-        return float(out.sum())
+        return out
 
 
 def word_hash(word: bytes) -> int:
@@ -166,7 +169,16 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 
 def ids_of_words(parts: list[bytes], vocab: Vocabulary) -> np.ndarray:
-    return np.fromiter(map(vocab.__getitem__, parts), np.int32, len(parts))
+    return ids_and_hashes(parts, vocab)[0]
+
+
+def ids_and_hashes(parts: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of words, and the hashes of those outside the vocabulary, in order; each is hashed once."""
+    ids = np.fromiter(map(vocab.get, parts, repeat(-1)), np.int32, len(parts))
+    rare = np.flatnonzero(ids < 0)
+    h = np.fromiter((vocab.hash_of(parts[i]) for i in rare.tolist()), np.uint64, len(rare))
+    ids[rare] = h % np.uint64(RARE)
+    return ids, h
 
 
 def token_ids(text: str | None, vocab: Vocabulary) -> np.ndarray:
@@ -222,7 +234,8 @@ def window_scores(m: dict, windows: np.ndarray, target: np.ndarray) -> np.ndarra
     ones = np.ones(m["out"].shape[2], np.float32)
     for i, (k, d) in enumerate(zip(_inputs(m, _hidden(m, windows)[2], digits), digits, strict=True)):
         z = k @ m["out"][i]
-        z -= z.max(axis=1)[:, None]
+        if max(z.max(initial=0), -z.min(initial=0)) > 60:  # only then exp can leave the 32-bit numbers, and maxima of rows are slow
+            z -= z.max(axis=1)[:, None]
         out += z[n, d]
         np.exp(z, out=z)
         out -= np.log(z @ ones)
@@ -396,6 +409,12 @@ def fit(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", id_col: str
     return _merge((r.n, bytes(r.model)) for r in sorted(rows, key=lambda r: r.part))[1] if rows else start(base=base)
 
 
+def _sums(x: np.ndarray, parts) -> np.ndarray:
+    """The sums of consecutive stretches of `x`, as long as the parts."""
+    upto = np.concatenate(([0.0], np.cumsum(x, dtype=np.float64)))
+    return np.diff(upto[np.cumsum([0, *map(len, parts)])])
+
+
 def score(docs: DataFrame, model: dict, vocab: Vocabulary, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """`docs` with n_tokens, log_likelihood and mean_log_likelihood of whole texts."""
     shared = docs.sparkSession.sparkContext.broadcast((model, vocab))
@@ -407,11 +426,9 @@ def score(docs: DataFrame, model: dict, vocab: Vocabulary, text_col: str = "text
             sums, sizes = [], []
             for at in range(0, len(texts), 64):
                 parts = [words(t) for t in texts[at : at + 64]]
-                ids = [ids_of_words(p, ids_of) for p in parts]
-                ends = np.cumsum([len(i) for i in ids])
-                upto = np.concatenate(([0.0], np.cumsum(log_probabilities(m, ids))))
-                shares = [ids_of.log_shares(p, i) for p, i in zip(parts, ids, strict=True)]
-                sums += (np.diff(upto[np.concatenate(([0], ends))]) + shares).tolist()
+                ids, rare = zip(*[ids_and_hashes(p, ids_of) for p in parts], strict=True)
+                shares = ids_of.shares_of(np.concatenate(rare))
+                sums += (_sums(log_probabilities(m, ids), ids) + _sums(shares, rare)).tolist()
                 sizes += [len(i) for i in ids]
             return {"n_tokens": sizes, "log_likelihood": sums, "mean_log_likelihood": [s / n if n else None for s, n in zip(sums, sizes, strict=True)]}
 
