@@ -95,6 +95,25 @@ def test_nearest_pairs_are_found_without_a_row_for_each_pair(spark):
     assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_clouds_do_not_meet_again_in_every_table(spark, monkeypatch):
+    """What is in one class by the first tables is no pair of the others; what is not in it still meets all."""
+    rng = random.Random(6)
+    cloud, other = words(rng, 150), words(rng, 150)
+    texts = [cloud[:k] + words(rng, 1) + cloud[k + 1 :] for k in rng.sample(range(150), 80)]  # 0.87 with each other
+    texts += [cloud + words(rng, 20), other, other[:75] + words(rng, 2) + other[77:]]
+    rows = spark.createDataFrame(list(enumerate(map(" ".join, texts), 1)), "node long, text string")
+    meeting, made = widehash._meeting, []
+    monkeypatch.setattr(widehash, "_meeting", lambda *args: made.append(found := meeting(*args)) or found)
+    sets = minwise.shingle_sets(rows)
+    links = widehash.near_links(widehash.signatures(rows, "text", ["node"]), lambda nodes: sets.join(nodes, "node", "left_semi"))
+    roots = simhash_classes([(r.a, r.b) for r in links.collect()], len(texts) + 1)
+    assert len({roots[x] for x in range(1, 82)}) == 1 and roots[82] == roots[83] != roots[1]
+    assert sum(found.count() for found in made) <= 2 * widehash.EARLY * len(texts)
+    place, classes = np.arange(6), np.array([7, 7, 0, 0, 8, 7], np.uint64)
+    a, b = widehash.list_pairs(np.array([0, 0, 1, 1, 2, 2], np.uint64), np.zeros(6, np.uint64), place, classes=classes)
+    assert list(zip(a.tolist(), b.tolist(), strict=True)) == [(2, 3), (4, 5)]
+
+
 def test_hot_lists_are_linked_whole():
     """Postings of one key above every limit stay connected, in links that grow with their number only."""
     rng = np.random.default_rng(5)

@@ -17,8 +17,11 @@ are cut into parts of LIMIT that share a leader.
 
 Pairs are then tallied on whole fingerprints: those with fewer than the least shared bytes
 (the mean at the similarity less 2.5 standard errors) or more bits apart than the like (3) go.
-The rest is verified on the whole sets of shingles: first the best pair of every node, and
-then all pairs whose ends are not yet in one class, so none is given up for a better one.
+The rest is verified on the whole sets of shingles. The first EARLY tables come alone: their
+links put near copies in classes, and postings of the other tables carry their class, so that
+a cloud does not meet itself again in every table: a pair within a class can change nothing.
+Of what those tables add, the best pair of every node is verified first, and then all pairs
+whose ends are not yet in one class, so none is given up for a better one.
 
 Sets of a few shingles are too coarse for that: of 4 and 5 with 4 in common a quarter would
 be found. So a set of at most SMALL is also looked up, exactly, among sets that have one
@@ -44,7 +47,7 @@ from weftgraph.llm.common import checkpointed, kept, map_texts
 from weftgraph.llm.components import components
 from weftgraph.llm.minwise import SHINGLE, SIMILARITY, shingle_hashes
 
-BYTES, WIDTH, TABLES = 128, 3, 252
+BYTES, WIDTH, TABLES, EARLY = 128, 3, 252, 21
 #: Bytes of the fingerprint that a posting carries, and the bits of them that may differ.
 PREFIX, FAR = 6, 16
 PAIRED, LIMIT = 4, 2048
@@ -124,20 +127,21 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BYTES)
 
 
-def _posted(places: DataFrame, slices: int) -> DataFrame:
-    """(bucket, base, payload) of (place, sig): the postings of some rows, a row each table and slice of keys."""
+def _posted(places: DataFrame, slices: int, tables: range) -> DataFrame:
+    """(bucket, base, payload) of (place, sig, class): the postings of some rows, a row each table and slice of keys."""
 
     def run(batches):
         for whole in batches:
             for start in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(start, BATCH)
                 place, x = batch.column("place").to_numpy(), _matrix(batch.column("sig"))
+                classes = batch.column("class").to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8)
                 cuts = np.flatnonzero(np.diff(place) != 1) + 1  # a base counts for consecutive places
                 for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(x)], strict=True):
                     offsets = np.arange(hi - lo, dtype="<u2").view(np.uint8).reshape(-1, 2)
-                    rows = np.concatenate([offsets, x[lo:hi, :PREFIX], np.empty((hi - lo, WIDTH), np.uint8)], axis=1)
-                    for t, positions in enumerate(POSITIONS):
-                        rows[:, -WIDTH:] = keys = x[lo:hi][:, positions]
+                    rows = np.concatenate([offsets, x[lo:hi, :PREFIX], classes[lo:hi], np.empty((hi - lo, WIDTH), np.uint8)], axis=1)
+                    for t in tables:
+                        rows[:, -WIDTH:] = keys = x[lo:hi][:, POSITIONS[t]]
                         part = keys.astype(np.int64) @ [65536, 256, 1] * slices >> 24
                         order = np.argsort(part, kind="stable")
                         found, first = np.unique(part[order], return_index=True)
@@ -145,7 +149,7 @@ def _posted(places: DataFrame, slices: int) -> DataFrame:
                         payload = [np.ascontiguousarray(r.T).tobytes() for r in some]
                         yield pa.RecordBatch.from_arrays([pa.array((t * slices + found).astype(np.int32)), pa.array(np.full(len(found), place[lo])), pa.array(payload, pa.binary())], names=["bucket", "base", "payload"])
 
-    return places.select("place", "sig").mapInArrow(run, "bucket int, base long, payload binary")
+    return places.select("place", "sig", "class").mapInArrow(run, "bucket int, base long, payload binary")
 
 
 def _earlier(prints: np.ndarray) -> list[tuple[int, int]]:
@@ -159,18 +163,19 @@ def _earlier(prints: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def list_pairs(keys: np.ndarray, prints: np.ndarray, places: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places whose postings have one key and like prefixes."""
+def list_pairs(keys: np.ndarray, prints: np.ndarray, places: np.ndarray, limit: int = LIMIT, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places whose postings have one key and like prefixes, but not one class (0: none)."""
+    classes = np.zeros(len(keys), np.uint64) if classes is None else classes
     mixed = places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     order = np.lexsort((mixed ^ mixed >> np.uint64(32), keys))
-    keys, prints, places = keys[order], prints[order], places[order]
+    keys, prints, places, classes = keys[order], prints[order], places[order], classes[order]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.append(starts, len(keys)))
     found: list[tuple[np.ndarray, np.ndarray]] = []
 
     def take(i, j):
         i, j = np.asarray(i, np.int64), np.asarray(j, np.int64)
-        near = np.bitwise_count(prints[i] ^ prints[j]) <= FAR
+        near = (np.bitwise_count(prints[i] ^ prints[j]) <= FAR) & ((classes[i] != classes[j]) | (classes[i] == 0))
         found.append((i[near], j[near]))
 
     for size in range(2, PAIRED + 1):
@@ -198,15 +203,15 @@ def _meeting(posted: DataFrame, limit: int) -> DataFrame:
     def run(group):
         rows, base = [], []
         for at, payload in zip(group.column("base").to_pylist(), group.column("payload").to_pylist(), strict=True):
-            rows.append(np.frombuffer(payload, np.uint8).reshape(2 + PREFIX + WIDTH, -1))
+            rows.append(np.frombuffer(payload, np.uint8).reshape(2 + PREFIX + 8 + WIDTH, -1))
             base.append(np.full(rows[-1].shape[1], at))
-        x = np.concatenate(rows, axis=1).astype(np.uint64)
+        x = np.concatenate(rows, axis=1)
 
         def number(part):
-            return sum((p << np.uint64(8 * i) for i, p in enumerate(part)), np.zeros(x.shape[1], np.uint64))
+            return sum((p.astype(np.uint64) << np.uint64(8 * i) for i, p in enumerate(part)), np.zeros(x.shape[1], np.uint64))
 
-        places = np.concatenate(base) + number(x[:2]).astype(np.int64)
-        a, b = list_pairs(number(x[2 + PREFIX :]), number(x[2 : 2 + PREFIX]), places, limit)
+        offsets, prints, classes, keys = map(number, np.split(x, [2, 2 + PREFIX, 2 + PREFIX + 8]))
+        a, b = list_pairs(keys, prints, np.concatenate(base) + offsets.astype(np.int64), limit, classes)
         return pa.table({"place_a": a, "place_b": b})
 
     return posted.groupBy("bucket").applyInArrow(run, "place_a long, place_b long")
@@ -225,15 +230,15 @@ def _tallied(rows: DataFrame, least: int, apart: int) -> DataFrame:
     return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, bits int")
 
 
-def candidates(sigs: DataFrame, similarity: float = SIMILARITY, limit: int = LIMIT, group: int = GROUP) -> DataFrame:
-    """Pairs (a, b, bits) of nodes that meet and pass the tally, or are small."""
-    places = checkpointed(sigs.select("node", "sig").withColumn("place", F.monotonically_increasing_id()))
+def candidates(sigs: DataFrame, tables: range, similarity: float = SIMILARITY, limit: int = LIMIT, group: int = GROUP) -> DataFrame:
+    """Pairs (a, b, bits) of nodes of `sigs` (node, sig, class) that meet in some tables, are not of one class, and pass the tally."""
+    places = checkpointed(sigs.select("node", "sig", "class").withColumn("place", F.monotonically_increasing_id()))
     slices = max(1, -(-places.count() // group))
-    pairs = kept(_meeting(_posted(places, slices), limit).distinct())
+    pairs = kept(_meeting(_posted(places, slices, tables), limit).distinct())
     left = places.select(F.col("place").alias("place_a"), F.col("node").alias("a"), F.col("sig").alias("x")).hint("merge")
     right = places.select(F.col("place").alias("place_b"), F.col("node").alias("b"), F.col("sig").alias("y")).hint("merge")
     rows = pairs.join(left, "place_a").join(right, "place_b")
-    return kept(_tallied(rows, least_shared(similarity), most_apart(similarity)).unionByName(small_pairs(sigs)))
+    return _tallied(rows, least_shared(similarity), most_apart(similarity))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -256,13 +261,20 @@ def nearest_of(pairs: DataFrame) -> DataFrame:
 
 def near_links(sigs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY, limit: int = LIMIT, group: int = GROUP) -> DataFrame:
     """Links (a, b) of `sigs` (node long, sig, small), one row a node; `sets_of` gives (node, shingles) of some nodes."""
-    pairs = candidates(sigs, similarity, limit, group)
-    nearest = kept(nearest_of(pairs))
+    early = candidates(sigs.withColumn("class", F.lit(0).cast("long")), range(EARLY), similarity, limit, group)
+    early = kept(early.unionByName(small_pairs(sigs)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = [early.select(F.col(x).alias("node")).distinct() for x in "ab"]
+    sets = kept(sets_of(ends[0].unionByName(ends[1]).distinct()))
+    first = kept(verified(early, sets, similarity))
+    classes = components(first).select("node", F.col("root").alias("class")).hint("merge")
+    classed = sigs.join(classes, "node", "left").withColumn("class", F.coalesce("class", F.lit(0)))  # a root of 0 only costs rows
+    later = kept(candidates(classed, range(EARLY, TABLES), similarity, limit, group))
+    nearest = kept(nearest_of(later))
     best = nearest.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    sets = kept(sets_of(nearest.select("node")))
-    first = kept(verified(best, sets, similarity))
+    sets = sets.unionByName(kept(sets_of(nearest.select("node").join(sets.select("node").hint("merge"), "node", "left_anti"))))
+    first = first.unionByName(kept(verified(best, sets, similarity)))
     roots = components(first)
-    rest = pairs.select("a", "b")
+    rest = later.select("a", "b")
     for end in ("a", "b"):
         of = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")).hint("merge")
         rest = rest.join(of, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
