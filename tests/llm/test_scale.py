@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.llm import common, lmscore, minwise, simhash, widehash
+from weftgraph.llm import common, lmscore, minwise, pii, simhash, widehash
 
 
 def test_salted_joins_broadcast_nothing(spark):
@@ -124,6 +125,20 @@ def test_hot_lists_are_linked_whole():
     assert widehash.list_pairs(np.arange(9, dtype=np.uint64), prints[:9], np.arange(9))[0].size == 0
 
 
+def test_pii_copies_no_text_without_a_mark(spark, monkeypatch):
+    """One search tells whether a text holds any mark; the seven patterns and their marks see only those that do."""
+    rng = random.Random(7)
+    texts = [t for t, _ in pii.samples(3, 200)] + ["".join(rng.choices("aZ09@+.[(t) at]-/\u00fc", k=rng.randrange(30))) for _ in range(2000)]
+    texts += ["no mark (a) [b] 1 Q +", "a [at] b", "a (at) b", "AB12", "1.2", "+4", "1 2 3 4 5 6 7", "", None]
+    seen, spans = [], pii.with_spans
+    monkeypatch.setattr(pii, "with_spans", lambda df, col, *rest: seen.append(df.select("i", col)) or spans(df, col, *rest))
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    assert pii.proposals(rows, "text").columns == ["i", "text", *pii.BASE, *pii.GENERATORS]
+    marks = [re.compile(p) for p in (pii.MARKS | pii.GENERATOR_MARKS).values()]
+    want = [t if t and any(p.search(t) for p in marks) else None for t in texts]
+    assert [t for _, t in sorted(map(tuple, seen[0].collect()))] == want and 100 < sum(t is None for t in want) < len(texts) - 100
+
+
 def test_scoring_hashes_a_word_once():
     """Ids and shares of words outside the vocabulary come from one hash of each."""
 

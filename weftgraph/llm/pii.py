@@ -40,6 +40,8 @@ GENERATORS = {
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){10,}+(?![A-Za-z0-9])",
 }
 GENERATOR_MARKS = {"contact": r"@|\[at\]|\(at\)", "digits": r"[0-9](?:[\x20().\-/]{0,2}[0-9]){6}", "account": "[A-Z]{2}[0-9]{2}"}
+#: What a mark starts with: where nothing does, a search for any of them tries none.
+MARK_STARTS = r"(?=[0-9A-Z@+(\[])"
 #: Words near a span that speak for a kind.
 CONTEXT_WORDS = {
     "phone": "phone|tel|call|mobile|fax|dial|reach|whatsapp",
@@ -120,9 +122,12 @@ def features(kind: str, x: Column) -> Column:
 
 def proposals(df: DataFrame, text_col: str, base: bool = True) -> DataFrame:
     """`df` with the base spans (all that match and hold) and the proposed spans of each generator."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    guards = {k: text.rlike(p) for k, p in (MARKS | GENERATOR_MARKS).items()}
-    found = with_spans(df, text_col, (BASE if base else {}) | GENERATORS, guards)
+    marks = (MARKS if base else {}) | GENERATOR_MARKS
+    # most texts hold no mark at all, and every question to a text makes a copy of it
+    marked = F.when(F.col(text_col).rlike(f"{MARK_STARTS}(?:{'|'.join(marks.values())})"), F.col(text_col))
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns], marked.alias("__marked"))
+    guards = {k: F.col("__marked").isNotNull() & F.col("__marked").rlike(p) for k, p in marks.items()}
+    found = with_spans(df, "__marked", (BASE if base else {}) | GENERATORS, guards).drop("__marked")
     for k in BASE if base else ():
         found = found.withColumn(k, _kept(k))
     return found
@@ -226,7 +231,7 @@ def _scored_spans(kind: str) -> Column:
 def scan_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with arrays of spans email, ip, card, phone and, by the trees, contact, digits, account."""
     trees, least = model(docs.sparkSession)
-    new = {*BASE, *GENERATORS, "__best"}
+    new = {*BASE, *GENERATORS, "__best", "__marked"}
     found = proposals(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]), text_col)
     taken = [F.col(k) for k in BASE]
     cols = [F.col(f"`{c}`") for c in found.columns if c not in GENERATORS]
